@@ -13,6 +13,7 @@ from millrace.operators.cdc import (
     split_changes,
     with_capture_delay,
     with_operation,
+    write_routed,
 )
 from millrace.operators.decode import (
     decode_checked,
@@ -34,7 +35,7 @@ from millrace.operators.late import (
     with_late_metadata,
     with_lateness,
 )
-from millrace.operators.reprocess import reprocess, stale_sessions
+from millrace.operators.reprocess import reprocess, reprocess_sessions, stale_sessions
 from millrace.operators.windows import EventWindow, aggregate_windows, with_event_date, with_event_watermark
 
 __all__ = [
@@ -62,6 +63,7 @@ __all__ = [
     "operation_counts",
     "quarantined",
     "reprocess",
+    "reprocess_sessions",
     "route_changes",
     "row_image",
     "split_changes",
@@ -74,4 +76,5 @@ __all__ = [
     "with_late_metadata",
     "with_lateness",
     "with_operation",
+    "write_routed",
 ]

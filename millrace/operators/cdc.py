@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.schemas import CHANGE_SOURCE, CUSTOMER_ROW, change_envelope
+from millrace.operators.decode import parsed_once
 from millrace.operators.windows import EventWindow, aggregate_windows
 
 # Fixed values of the change-event format.
@@ -25,14 +26,14 @@ def decode_changes(log: DataFrame, row: T.StructType = CUSTOMER_ROW) -> DataFram
     envelope = F.from_json(F.col("value").cast("string"), change_envelope(row))
     return (
         log.where(F.col("value").isNotNull())
-        .select(envelope.alias("__change"), "partition", "offset")
+        .select(parsed_once(envelope["payload"]), "partition", "offset")
         .select(
-            F.col("__change.payload.op").alias("op"),
-            F.col("__change.payload.ts_ms").alias("ts_ms"),
-            F.timestamp_millis("__change.payload.ts_ms").alias("change_time"),
-            *[F.col(f"__change.payload.source.{name}").alias(f"source_{name}") for name in CHANGE_SOURCE.names],
-            F.col("__change.payload.before").alias("before"),
-            F.col("__change.payload.after").alias("after"),
+            "op",
+            "ts_ms",
+            F.timestamp_millis("ts_ms").alias("change_time"),
+            *[F.col(f"source.{name}").alias(f"source_{name}") for name in CHANGE_SOURCE.names],
+            "before",
+            "after",
             "partition",
             "offset",
         )
@@ -113,10 +114,15 @@ def operation_counts(changes: DataFrame, *group_by: str) -> DataFrame:
 
 
 def route_changes(changes: DataFrame, tables: Sequence[str]) -> dict[str, DataFrame]:
-    """The changes of each source table; one scan per consumer, filtered before anything else."""
+    """The changes of each source table, for consumers that read the changes on their own."""
     return {table: changes.where(F.col("source_table") == table) for table in tables}
 
 
+def write_routed(changes: DataFrame, path: str) -> None:
+    """Write the changes of all source tables in one pass, one directory per table."""
+    changes.write.mode("append").partitionBy("source_table").parquet(path)
+
+
 def change_counts_per_window(changes: DataFrame, window: EventWindow) -> DataFrame:
     """Changes per window of change time, source table and operation."""
     return aggregate_windows(

@@ -30,17 +30,27 @@ def _lineage(log: DataFrame) -> list[Column]:
     return [_text("key").alias("key") if name == "key" else F.col(name) for name in LINEAGE if name in log.columns]
 
 
+def parsed_once(structs: Column) -> Column:
+    """The fields of a struct column as columns, computed once per row.
+
+    A filter on fields selected from a parsed struct would be moved below the parsing and repeat it, once per
+    field it names. Filters are not moved below a generator.
+    """
+    return F.inline(F.array(structs))
+
+
 def decode_events(log: DataFrame, schema: T.StructType = ORDER_EVENT, *, lineage: bool = False) -> DataFrame:
     """Decode message values to the fields of ``schema`` plus ``kafka_timestamp``.
 
     A value that cannot be read gives null fields; ``decode_checked`` tells such rows apart. ``lineage`` keeps
     key, topic, partition and offset.
     """
+    _refuse_names(schema, LINEAGE if lineage else ())
     return log.select(
-        F.from_json(_text("value"), schema).alias("__event"),
+        parsed_once(F.from_json(_text("value"), schema)),
         *(_lineage(log) if lineage else []),
         F.col("timestamp").alias("kafka_timestamp"),
-    ).select("__event.*", *(LINEAGE if lineage else ()), "kafka_timestamp")
+    )
 
 
 def decode_checked(
@@ -51,28 +61,35 @@ def decode_checked(
     Adds the lineage columns, ``quarantine_reason`` (null for a good event) and ``raw_value`` (the text of a
     bad one). ``good_events`` and ``quarantined`` pick the two sides.
     """
-    unknown = set(required) - set(schema.fieldNames())
+    unknown = set(required) - set(schema.names)
     if unknown:
         raise ValueError(f"required fields not in the schema: {sorted(unknown)}")
+    _refuse_names(schema, (*LINEAGE, "quarantine_reason", "raw_value"))
     checked = T.StructType([*schema.fields, T.StructField("__corrupt", T.StringType())])
     event = F.from_json(_text("value"), checked, {"columnNameOfCorruptRecord": "__corrupt"})
     # A null value gives a null row without a corrupt text, so it counts as missing its required fields.
-    reason = F.when(F.col("__event.__corrupt").isNotNull(), MALFORMED)
+    reason = F.when(F.col("__corrupt").isNotNull(), MALFORMED)
     for name in required:
-        reason = reason.when(F.col(f"__event.`{name}`").isNull(), MISSING)
+        reason = reason.when(F.col(f"`{name}`").isNull(), MISSING)
     return (
-        log.select(event.alias("__event"), F.col("value"), *_lineage(log), F.col("timestamp").alias("kafka_timestamp"))
-        .withColumn("quarantine_reason", reason)
-        .select(
-            *[F.col(f"__event.`{name}`") for name in schema.fieldNames()],
-            *LINEAGE,
-            "kafka_timestamp",
-            "quarantine_reason",
-            F.when(F.col("quarantine_reason").isNotNull(), _text("value")).alias("raw_value"),
+        log.select(
+            parsed_once(event),
+            F.col("value").alias("__value"),
+            *_lineage(log),
+            F.col("timestamp").alias("kafka_timestamp"),
         )
+        .withColumn("quarantine_reason", reason)
+        .withColumn("raw_value", F.when(F.col("quarantine_reason").isNotNull(), _text("__value")))
+        .drop("__corrupt", "__value")
     )
 
 
+def _refuse_names(schema: T.StructType, taken: Sequence[str]) -> None:
+    clash = set(schema.names) & {*taken, "kafka_timestamp"}
+    if clash:
+        raise ValueError(f"event fields have names of the log: {sorted(clash)}")
+
+
 def good_events(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("quarantine_reason").isNull()).drop("quarantine_reason", "raw_value")
 
@@ -122,8 +139,9 @@ def to_log(
     partition: Column,
     offset: Column,
     timestamp: Column,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows as messages with all columns of the event log, for a log kept as files."""
+    """Rows as messages with all columns of the event log, for a log kept as files, and the columns to ``keep``."""
     placed = [
         F.lit(topic).alias("topic"),
         partition.cast("int").alias("partition"),
@@ -131,5 +149,5 @@ def to_log(
         timestamp.cast("timestamp").alias("timestamp"),
         F.lit(0).alias("timestampType"),
     ]
-    parts = df.select(*message(df, key, columns), *placed)
+    parts = df.select(*message(df, key, columns), *placed, *keep)
     return parts.withColumns({name: F.col(name).cast("binary") for name in ("key", "value")})

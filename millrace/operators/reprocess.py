@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.durations import interval_micros, to_micros
 from millrace.functions.folders import stored
+from millrace.functions.measures import DEFAULT_SPEC
 from millrace.operators.windows import EventWindow, aggregate_windows
 
 _TOUCHED = "__touched"
@@ -23,38 +24,71 @@ def reprocess(
     time_column: str = "event_time",
     group_by: Sequence[str] = (),
     aggregations: Mapping[str, str] | None = None,
-    lookback: str = "1 day",
 ) -> DataFrame:
     """The windows touched by a late event, aggregated over on-time and late events together.
 
     The result has the shape of ``aggregate_windows`` and is meant to be upserted by window and keys. Late rows
     carry a mark through the aggregate and windows without one are left out, so there is one shuffle of
     partially aggregated rows and no join. The log is read only as far around the late events as a window can
-    reach. For sessions that reach is found by widening ``lookback`` until no session touches its edge.
+    reach. Sessions change their bounds; see ``reprocess_sessions``.
     """
-    if window.kind == "none":
-        raise ValueError("without a window there is nothing to reprocess")
+    if window.kind not in ("tumbling", "sliding"):
+        raise ValueError(f"not for windows of kind {window.kind!r}")
     low, high = _edges(late, time_column)
+    near = _near(on_time, time_column, low, high, to_micros(window.duration))
+    return _touched(near, late, window, time_column, group_by, aggregations)
+
 
-    def touched(reach: int) -> DataFrame:
-        near = on_time.where(F.col(time_column).between(low - interval_micros(reach), high + interval_micros(reach)))
-        marked = near.withColumn("__late", F.lit(False)).unionByName(late.withColumn("__late", F.lit(True)))
-        spec = {**({"event_count": "count(*)"} if aggregations is None else aggregations), _TOUCHED: "max(__late)"}
-        result = aggregate_windows(marked, window, time_column=time_column, group_by=group_by, aggregations=spec)
-        return result.where(_TOUCHED).drop(_TOUCHED)
+def reprocess_sessions(
+    on_time: DataFrame,
+    late: DataFrame,
+    window: EventWindow,
+    *,
+    time_column: str = "event_time",
+    group_by: Sequence[str],
+    aggregations: Mapping[str, str] | None = None,
+    lookback: str = "1 day",
+) -> tuple[DataFrame, DataFrame]:
+    """The sessions touched by a late event, and the former sessions they take the place of.
 
+    A late event can lengthen a session or join two. The second result holds the bounds and keys of former
+    sessions to delete before the first is upserted. How far a session reaches is not known beforehand: the log
+    is read ``lookback`` around the late events, and further as long as a touched session meets the edge.
+    """
     if window.kind != "session":
-        return touched(to_micros(window.duration))
+        raise ValueError(f"not for windows of kind {window.kind!r}")
+    low, high = _edges(late, time_column)
     gap, reach = to_micros(window.gap), to_micros(lookback)
     while True:
-        result = stored(touched(reach))
-        # A session this near to the limit might go on in the part of the log not read.
+        near = _near(on_time, time_column, low, high, reach)
+        sessions = stored(_touched(near, late, window, time_column, group_by, aggregations))
+        # A session this near to the edge might go on in the part of the log not read.
         cut = (F.col("window_start") <= low - interval_micros(reach) + interval_micros(gap)) | (
             F.col("window_end") >= high + interval_micros(reach)
         )
-        if result.where(cut).isEmpty():
-            return result
+        if sessions.where(cut).isEmpty():
+            break
         reach *= _WIDEN
+    former = aggregate_windows(near, window, time_column=time_column, group_by=group_by)
+    return sessions, stale_sessions(former, sessions, group_by=group_by)
+
+
+def _near(on_time: DataFrame, time_column: str, low: Column, high: Column, reach: int) -> DataFrame:
+    return on_time.where(F.col(time_column).between(low - interval_micros(reach), high + interval_micros(reach)))
+
+
+def _touched(
+    near: DataFrame,
+    late: DataFrame,
+    window: EventWindow,
+    time_column: str,
+    group_by: Sequence[str],
+    aggregations: Mapping[str, str] | None,
+) -> DataFrame:
+    marked = near.withColumn("__late", F.lit(False)).unionByName(late.withColumn("__late", F.lit(True)))
+    spec = {**(DEFAULT_SPEC if aggregations is None else aggregations), _TOUCHED: "max(__late)"}
+    result = aggregate_windows(marked, window, time_column=time_column, group_by=group_by, aggregations=spec)
+    return result.where(_TOUCHED).drop(_TOUCHED)
 
 
 def _edges(late: DataFrame, time_column: str) -> tuple[Column, Column]:

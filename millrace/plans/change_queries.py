@@ -16,6 +16,7 @@ from millrace.operators.cdc import (
     route_changes,
     row_image,
     split_changes,
+    write_routed,
 )
 from millrace.operators.windows import EventWindow
 from millrace.plans.registry import query
@@ -34,7 +35,7 @@ ACCOUNTS = """
   select 'suppliers', s_suppkey, s_name, s_acctbal, 'c', true, true from supplier"""
 CHANGES = f"""
   select "table" source_table, id, name, op, step, ts_ms, ts_ms - id % 1000 source_ts_ms, bal_before, bal_after,
-         id % 3 "partition", id * 4 + step "offset"
+         (id % 3)::int "partition", id * 4 + step "offset"
   from (select *, 1704067200000 + step * 3600000 + id ts_ms from (
     select "table", id, name, first_op op, 0 step, null bal_before, bal bal_after from ({ACCOUNTS})
     union all select "table", id, name, 'u', 1, bal, bal + 100 from ({ACCOUNTS}) where updated
@@ -55,12 +56,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "cdc_decode",
     f"""select op, ts_ms, make_timestamp(ts_ms * 1000) change_time, '2.4.0' source_version, 'postgresql' source_connector,
           'accounts' source_name, source_ts_ms, 'accounts' source_db, 'public' source_schema, source_table,
-          coalesce(bal_before, 'nan'::double) before_acctbal, coalesce(bal_after, 'nan'::double) after_acctbal,
+          coalesce(bal_before, -1000000) before_acctbal, coalesce(bal_after, -1000000) after_acctbal,
           "partition", "offset"
         from ({CHANGES})""",
 )
 def cdc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = F.lit(float("nan"))
+    missing = F.lit(-1000000.0)
     flat = changes(spark, sf_dir).withColumns(
         {
             "before_acctbal": F.coalesce("before.acctbal", missing),
@@ -128,7 +129,10 @@ def cdc_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select source_table routed_to, op, ts_ms, \"offset\" from ({CHANGES})",
 )
 def cdc_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = route_changes(changes(spark, sf_dir), ["customers", "suppliers"])
+    """All tables written in one pass and read back by directory."""
+    folder = new_folder(spark, "routed")
+    write_routed(changes(spark, sf_dir), folder)
+    routed = route_changes(spark.read.parquet(folder), ["customers", "suppliers"])
     parts = [part.select(F.lit(table).alias("routed_to"), "op", "ts_ms", "offset") for table, part in routed.items()]
     return parts[0].unionByName(parts[1])
 

@@ -30,7 +30,7 @@ from millrace.streaming.upsert import UpsertTable
 # Longer than the data: no copy and no row of a later turn is too late.
 WHOLE_HISTORY = "365 days"
 DECODED = "order_id, customer_id, product_id, quantity, unit_price::double unit_price, event_time, event_type"
-PLACED = "cast(order_id as bigint) % 3 as \"partition\", cast(order_id as bigint) // 3 as \"offset\""
+PLACED = "(cast(order_id as bigint) % 3)::int as \"partition\", cast(order_id as bigint) // 3 as \"offset\""
 
 
 def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions.folders import new_folder
 from millrace.functions.measures import ORDER_METRICS
 from millrace.operators.late import enrich_late, lateness_profile, mark_late, split_late, with_lateness
-from millrace.operators.reprocess import reprocess, stale_sessions
-from millrace.operators.windows import EventWindow, aggregate_windows
+from millrace.operators.reprocess import reprocess, reprocess_sessions
+from millrace.operators.windows import EventWindow
 from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
 from millrace.plans.window_queries import HOUR, METRICS, ORDERS, orders, plain, sessions, sliding, tumbling
@@ -51,9 +51,8 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f"select order_id, case when is_late then 'late' else 'on_time' end side, lateness_seconds from ({marked()})",
 )
 def late_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on_time, late = sides(spark, sf_dir)
-    both = on_time.withColumn("side", F.lit("on_time")).unionByName(late.withColumn("side", F.lit("late")))
-    return with_lateness(both).select("order_id", "side", "lateness_seconds")
+    side = F.when(F.col("is_late"), "late").otherwise("on_time").alias("side")
+    return with_lateness(marked_orders(spark, sf_dir)).select("order_id", side, "lateness_seconds")
 
 
 @query(
@@ -117,7 +116,8 @@ _SESSIONS_WITH_LATE = sessions(f"{TOUCHED}, bool_or(is_late) touched", "30 minut
 )
 def late_reprocess_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     on_time, late = sides(spark, sf_dir)
-    return plain(reprocess(on_time, late, SESSION, group_by=["customer_id"], aggregations=TOUCHED_SPEC))
+    new, _ = reprocess_sessions(on_time, late, SESSION, group_by=["customer_id"], aggregations=TOUCHED_SPEC)
+    return plain(new)
 
 
 @query(
@@ -131,9 +131,7 @@ def late_reprocess_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def late_stale_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     on_time, late = sides(spark, sf_dir)
-    old = aggregate_windows(on_time, SESSION, group_by=["customer_id"])
-    new = reprocess(on_time, late, SESSION, group_by=["customer_id"])
-    return stale_sessions(old, new, group_by=["customer_id"])
+    return reprocess_sessions(on_time, late, SESSION, group_by=["customer_id"])[1]
 
 
 @query(

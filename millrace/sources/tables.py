@@ -74,7 +74,7 @@ def arrival(event_id: Column, time: Column) -> Column:
     return time + F.make_dt_interval(mins=minutes.cast("int"))
 
 
-def order_log(source: DataFrame) -> DataFrame:
+def order_log(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The events table as messages of topic ``orders`` in three partitions, with status and metadata."""
     orders = order_events(source.withColumn("ts", F.col("ts").cast("timestamp")))
     number = F.col("order_id").cast("long")
@@ -95,8 +95,9 @@ def order_log(source: DataFrame) -> DataFrame:
         columns=[name for name in described.columns if name != "kafka_timestamp"],
         topic="orders",
         partition=number % 3,
-        offset=F.floor(number / 3),
+        offset=F.expr("cast(order_id as bigint) div 3"),
         timestamp=F.col("kafka_timestamp"),
+        keep=keep,
     )
 
 
@@ -107,13 +108,7 @@ def spoiled_log(source: DataFrame) -> DataFrame:
     ``purchase``: a JSON list. Quantities 25 to 49 get a field that no schema knows.
     """
     kind, quantity = F.col("event_type"), F.col("quantity")
-    told = order_log(source).withColumns(
-        {
-            "text": F.col("value").cast("string"),
-            "event_type": F.get_json_object(F.col("value").cast("string"), "$.event_type"),
-            "quantity": F.get_json_object(F.col("value").cast("string"), "$.quantity").cast("int"),
-        }
-    )
+    told = order_log(source, ("event_type", "quantity")).withColumn("text", F.col("value").cast("string"))
     low = (
         F.when(kind == "error", F.expr("left(text, length(text) - 10)"))
         .when(kind == "view", F.regexp_replace("text", '"event_time":"[^"]*",', ""))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from pathlib import Path
 
@@ -17,15 +16,19 @@ def sql_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def _value(value):
-    if isinstance(value, float) and math.isnan(value):
-        return "nan"
-    return value
-
-
 def _rows(columns: list[str], rows) -> Counter:
     order = sorted(range(len(columns)), key=columns.__getitem__)
-    return Counter(tuple(_value(row[i]) for i in order) for row in rows)
+    return Counter(tuple(row[i] for i in order) for row in rows)
+
+
+_SQL_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
 
 
 def differences(frame, sql: str, connection) -> str:
@@ -34,6 +37,10 @@ def differences(frame, sql: str, connection) -> str:
     sql_columns = [column[0] for column in result.description]
     if sorted(frame.columns) != sorted(sql_columns):
         return f"columns {sorted(frame.columns)} != {sorted(sql_columns)}"
+    kinds = {column[0]: str(column[1]) for column in result.description}
+    for name, kind in frame.dtypes:
+        if _SQL_TYPES.get(kind) != kinds[name]:
+            return f"column {name} is {kind}, in SQL {kinds[name]}"
     expected = _rows(sql_columns, result.fetchall())
     actual = _rows(frame.columns, frame.collect())
     if actual == expected:
