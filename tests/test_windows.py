@@ -1,0 +1,161 @@
+"""Windows: Spark's own expressions against the two-step form, edges, and refusals."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from streams import Feed, rows
+
+from millrace.operators import EventWindow, aggregate_windows, with_event_date, with_event_watermark
+
+SPEC = {
+    "n": "count(*)",
+    "n_price": "count(price)",
+    "total": "sum(price)",
+    "mean": "avg(price)",
+    "lo": "min(price)",
+    "hi": "max(price)",
+    "q_sum": "sum(q)",
+    "q_mean": "avg(q)",
+    "d_lo": "min(event_time)",
+}
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """20,000 events, a third of them of one key, some without key, price or time."""
+    return (
+        spark.range(20_000)
+        .select(
+            F.when(F.col("id") % 3 == 0, "hot")
+            .when(F.col("id") % 101 == 0, None)
+            .otherwise((F.xxhash64("id") % 40).cast("string"))
+            .alias("k"),
+            F.when(F.col("id") % 97 != 0, F.timestamp_micros(
+                F.lit(1_704_067_200_000_000) + F.abs(F.xxhash64("id", F.lit(1))) % (9 * 86_400_000_000)
+            )).alias("event_time"),
+            F.when(F.col("id") % 11 != 0, (F.abs(F.xxhash64("id", F.lit(2))) % 100_000 / 100).cast("decimal(12,2)")).alias("price"),
+            (F.abs(F.xxhash64("id", F.lit(3))) % 10).cast("int").alias("q"),
+        )
+        .persist()
+    )
+
+
+def native(df, window, keys, spec):
+    aggregates = {
+        name: F.count(F.lit(1)) if text == "count(*)" else getattr(F, text.split("(")[0])(text.split("(")[1][:-1])
+        for name, text in spec.items()
+    }
+    grouped = df.groupBy(window.column(F.col("event_time")).alias("w"), *keys)
+    result = grouped.agg(*[column.alias(name) for name, column in aggregates.items()])
+    return result.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *spec)
+
+
+def assert_same(actual, expected):
+    assert actual.columns == expected.columns
+    assert [f.dataType for f in actual.schema] == [f.dataType for f in expected.schema]
+    assert actual.exceptAll(expected).isEmpty() and expected.exceptAll(actual).isEmpty()
+    assert not expected.isEmpty()
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize(
+    "window",
+    [
+        EventWindow("tumbling", "7 minutes"),
+        EventWindow("sliding", "1 hour", "15 minutes"),
+        EventWindow("sliding", "50 minutes", "20 minutes"),
+        EventWindow("sliding", "1 hour", "1 hour"),
+        EventWindow("sliding", "1 hour"),
+        EventWindow("sliding", "1 day", "7 hours"),
+        EventWindow("session", gap="1 minute"),
+        EventWindow("session", gap="20 minutes"),
+        EventWindow("session", gap="1 hour"),
+    ],
+    ids=str,
+)
+def test_two_step_windows_equal_sparks_own(skewed, window, keys):
+    actual = aggregate_windows(skewed, window, group_by=keys, aggregations=SPEC)
+    assert_same(actual, native(skewed, window, keys, SPEC))
+
+
+def test_two_step_windows_on_time_without_zone(skewed):
+    local = skewed.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    for window in (EventWindow("sliding", "50 minutes", "20 minutes"), EventWindow("session", gap="20 minutes")):
+        assert_same(
+            aggregate_windows(local, window, group_by=["k"], aggregations=SPEC), native(local, window, ["k"], SPEC)
+        )
+
+
+def events(spark, *moments):
+    return spark.createDataFrame([(m, "a") for m in moments], "event_time timestamp_ntz, k string")
+
+
+def test_sessions_meet_at_exactly_one_gap(spark):
+    start = datetime(2024, 1, 1, 0, 3)
+    gap = timedelta(minutes=5)
+    joined = aggregate_windows(events(spark, start, start + gap), EventWindow("session", gap="5 minutes"), group_by=["k"])
+    assert [tuple(r) for r in joined.collect()] == [(start, start + 2 * gap, "a", 2)]
+    later = start + gap + timedelta(microseconds=1)
+    apart = aggregate_windows(events(spark, start, later), EventWindow("session", gap="5 minutes"), group_by=["k"])
+    assert sorted(tuple(r) for r in apart.collect()) == [(start, start + gap, "a", 1), (later, later + gap, "a", 1)]
+
+
+def test_windows_are_half_open_and_aligned_to_the_epoch(spark):
+    edge = datetime(2024, 1, 1, 0, 5)
+    result = aggregate_windows(
+        events(spark, edge - timedelta(microseconds=1), edge, datetime(1969, 12, 31, 23, 59)), EventWindow()
+    )
+    assert sorted(tuple(r) for r in result.collect()) == [
+        (datetime(1969, 12, 31, 23, 55), datetime(1970, 1, 1), 1),
+        (datetime(2024, 1, 1, 0, 0), edge, 1),
+        (edge, datetime(2024, 1, 1, 0, 10), 1),
+    ]
+
+
+def test_event_date(spark):
+    result = with_event_date(aggregate_windows(events(spark, datetime(2024, 2, 29, 23, 59)), EventWindow()))
+    assert str(result.first()["event_date"]) == "2024-02-29"
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [
+        {"kind": "hopping"},
+        {"kind": "sliding", "duration": "5 minutes", "slide": "6 minutes"},
+        {"kind": "tumbling", "duration": "soon"},
+        {"kind": "session", "gap": "0 minutes"},
+    ],
+)
+def test_wrong_windows_are_refused(settings):
+    with pytest.raises(ValueError):
+        EventWindow(**settings)
+
+
+def test_repeated_result_names_are_refused(skewed):
+    for keys, spec in ((["k"], {"k": "count(*)"}), (["k", "k"], None), ([], {"window_end": "count(*)"})):
+        with pytest.raises(ValueError):
+            aggregate_windows(skewed, EventWindow(), group_by=keys, aggregations=spec)
+
+
+def test_pass_through_is_the_input(skewed):
+    assert aggregate_windows(skewed, EventWindow("none")) is skewed
+
+
+def test_streams_of_sessions_need_a_key(spark, folder):
+    feed = Feed(spark, folder)
+    with pytest.raises(ValueError):
+        aggregate_windows(feed.stream(), EventWindow("session"))
+
+
+def test_watermark_is_for_streams_and_only_once(spark, folder, skewed):
+    assert with_event_watermark(skewed) is skewed
+    with pytest.raises(ValueError):
+        with_event_watermark(skewed, delay="late")
+    feed = Feed(spark, folder)
+    feed.add(rows(["01:00 a"]))
+    twice = with_event_watermark(with_event_watermark(feed.stream()))
+    with pytest.raises(PySparkException, match="(?i)watermark"):
+        query = aggregate_windows(twice, EventWindow()).writeStream.format("noop").outputMode("append").start()
+        query.processAllAvailable()
