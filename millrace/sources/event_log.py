@@ -21,11 +21,12 @@ def _known(format: str) -> str:
 
 def write_log(log: DataFrame, path: str, *, format: str = "parquet") -> None:
     """Append messages to a file log, one directory per topic and partition."""
-    log.select(*LOG_SCHEMA.names).write.mode("append").partitionBy("topic", "partition").format(_known(format)).save(path)
+    messages = log.select(*LOG_SCHEMA.names)
+    messages.write.mode("append").partitionBy("topic", "partition").format(_known(format)).save(path)
 
 
 def read_log(spark: SparkSession, path: str, *, format: str = "parquet") -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).format(_known(format)).load(path)
+    return spark.read.schema(LOG_SCHEMA).format(_known(format)).load(path).select(*LOG_SCHEMA.names)
 
 
 def stream_log(
@@ -34,7 +35,7 @@ def stream_log(
     reader = spark.readStream.schema(LOG_SCHEMA).format(_known(format))
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    return reader.load(path).select(*LOG_SCHEMA.names)
 
 
 def replay(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,7 @@ GOLDEN = [
 
 def at(text: str) -> datetime:
     minute, second = text.split(":")
-    return datetime(2024, 1, 1, int(minute) // 60, int(minute) % 60, int(second), tzinfo=timezone.utc)
+    return datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=int(minute), seconds=int(second))
 
 
 def rows(batch: list[str], arrival: str = "50:00"):

@@ -1,0 +1,127 @@
+"""Change events: hand-made histories."""
+
+import itertools
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import types as T
+
+from millrace.functions import LOG_SCHEMA
+from millrace.operators import (
+    EventWindow,
+    capture_delay,
+    change_counts_per_window,
+    changed_fields,
+    decode_changes,
+    latest_state,
+    operation_counts,
+    row_image,
+    split_changes,
+)
+from millrace.streaming import ChangeTable
+
+ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+
+
+def change(op, ts_ms, offset, before=None, after=None, table="customers"):
+    payload = {
+        "before": before,
+        "after": after,
+        "source": {"version": "2.4.0", "connector": "postgresql", "name": "db", "ts_ms": ts_ms - 40, "db": "db",
+                   "schema": "public", "table": table},
+        "op": op,
+        "ts_ms": ts_ms,
+    }
+    value = json.dumps({"schema": {"type": "struct", "name": f"{table}.Envelope"}, "payload": payload})
+    return (b"1", value.encode(), "cdc", 0, offset, datetime(2024, 1, 1), 0)
+
+
+def row(number, name):
+    return {"id": number, "name": name}
+
+
+HISTORY = [
+    change("r", 1_000, 0, after=row(1, "one")),
+    change("c", 1_000, 1, after=row(2, "two")),
+    change("u", 2_000, 2, before=row(1, "one"), after=row(1, "uno")),
+    change("d", 3_000, 3, before=row(2, "two")),
+    change("c", 4_000, 4, after=row(3, "three")),
+    change("d", 5_000, 5, before=row(3, "three")),
+    change("c", 6_000, 6, after=row(3, "drei")),  # created again
+    change("u", 7_000, 7, before=row(1, "uno"), after=row(1, "eins")),
+    change("u", 7_000, 8, before=row(1, "eins"), after=row(1, "ein")),  # same time: the offset decides
+    change("c", 1_000, 9, after=row(1, "other table"), table="suppliers"),
+]
+STATE = [("customers", 1, "ein"), ("customers", 3, "drei"), ("suppliers", 1, "other table")]
+
+
+@pytest.fixture(scope="module")
+def changes(spark):
+    return decode_changes(spark.createDataFrame(HISTORY, LOG_SCHEMA), ROW)
+
+
+def test_decoded_changes(changes):
+    first = changes.where("offset = 2").first()
+    assert (first["op"], first["ts_ms"], first["source_table"]) == ("u", 2_000, "customers")
+    assert (first["before"]["name"], first["after"]["name"]) == ("one", "uno")
+    assert first["source_ts_ms"] == 1_960
+
+
+def test_latest_state(changes):
+    assert sorted(map(tuple, latest_state(changes).collect())) == STATE
+
+
+def test_any_order_of_batches_gives_the_latest_state(spark, changes, folder):
+    parts = [changes.where("offset in (0, 1, 3, 6)"), changes.where("offset in (2, 4, 8)"), changes.where("offset in (5, 7, 9)")]
+    for number, order in enumerate(itertools.permutations(parts)):
+        table = ChangeTable(f"{folder}/{number}")
+        for batch_id, part in enumerate(order):
+            table.apply_batch(part, batch_id)
+            table.apply_batch(part, batch_id)
+            if batch_id == 1:
+                table.compact(spark)
+        assert sorted(map(tuple, table.read(spark).collect())) == STATE
+
+
+def test_unknown_operations_and_broken_messages_are_set_apart(spark, folder):
+    broken = (b"1", b"not json", "cdc", 0, 20, datetime(2024, 1, 1), 0)
+    nothing = (b"1", None, "cdc", 0, 21, datetime(2024, 1, 1), 0)
+    log = spark.createDataFrame([HISTORY[0], change("t", 9_000, 10), broken, nothing], LOG_SCHEMA)
+    decoded = decode_changes(log, ROW)
+    known, unknown = split_changes(decoded)
+    assert [r["offset"] for r in known.collect()] == [0]
+    assert sorted(r["offset"] for r in unknown.collect()) == [10, 20]
+    table = ChangeTable(folder)
+    table.apply_batch(decoded, 0)
+    assert table.read(spark).count() == 1
+    assert spark.read.parquet(f"{folder}/quarantine").count() == 2
+    assert {r["operation"]: r["change_count"] for r in operation_counts(decoded).collect()} == {"read": 1, None: 2}
+
+
+def test_row_images(changes):
+    images = {r["offset"]: (r["row_key"], r["image"]["name"]) for r in row_image(changes).collect()}
+    assert images[3] == (2, "two") and images[2] == (1, "uno") and images[0] == (1, "one")
+
+
+def test_changed_fields(spark, changes):
+    fields = [tuple(r) for r in changed_fields(changes).orderBy("ts_ms", "old_value").collect()]
+    assert fields == [
+        ("customers", 1, 2_000, "name", "one", "uno"),
+        ("customers", 1, 7_000, "name", "eins", "ein"),
+        ("customers", 1, 7_000, "name", "uno", "eins"),
+    ]
+    to_null = change("u", 1, 0, before=row(1, "x"), after=row(1, None))
+    same = change("u", 1, 1, before=row(1, None), after=row(1, None))
+    decoded = decode_changes(spark.createDataFrame([to_null, same], LOG_SCHEMA), ROW)
+    assert [tuple(r) for r in changed_fields(decoded).collect()] == [("customers", 1, 1, "name", "x", None)]
+
+
+def test_counts_per_window_and_delay(changes):
+    counts = change_counts_per_window(changes, EventWindow("tumbling", "4 seconds")).collect()
+    assert sum(r["change_count"] for r in counts) == len(HISTORY)
+    assert {(r["window_start"].second, r["source_table"], r["operation"]): r["change_count"] for r in counts}[
+        (4, "customers", "update")
+    ] == 2
+    delay = {r["source_table"]: tuple(r)[1:] for r in capture_delay(changes).collect()}
+    assert delay == {"customers": (9, 40, 40, 40.0), "suppliers": (1, 40, 40, 40.0)}
