@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def deduplicate(df: DataFrame, keys: Sequence[str] = ("order_id",), *, first_by: Sequence[str] = ()) -> DataFrame:
+def deduplicate(
+    df: DataFrame, keys: Sequence[str] = ("order_id",), *, first_by: Sequence[str] = (), salts: int = 8
+) -> DataFrame:
     """One event per ``keys``.
 
-    On a stream with a watermark, copies that arrive within the watermark delay are removed and state is
-    dropped with the watermark. On a table, the copy least by ``first_by`` is kept; without ``first_by``, copies
-    must be alike and any may stay. Both forms combine copies map side before the shuffle, so many copies of
-    one key do not meet in one task.
+    On a stream with a watermark, copies that arrive within the watermark delay are removed, and state is dropped
+    with the watermark. Spark brings all copies of a key to one task, so they are thinned out first: copies are
+    dealt over ``salts`` groups by the task that read them, and one of each group goes on. With one salt, where no
+    key has many copies, that step and its state are saved.
+
+    On a table, the copy least by ``first_by`` is kept; without ``first_by``, copies must be alike and any may
+    stay. Copies are combined map side before the shuffle.
     """
     if df.isStreaming:
+        if salts > 1:
+            dealt = df.withColumn("__salt", F.spark_partition_id() % salts)
+            df = dealt.dropDuplicatesWithinWatermark([*keys, "__salt"]).drop("__salt")
         return df.dropDuplicatesWithinWatermark(list(keys))
     rest = [name for name in df.columns if name not in keys]
     if not first_by or not rest:

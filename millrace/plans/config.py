@@ -20,7 +20,7 @@ SOURCES = ("kafka", "files", "events")
 # What a section may hold; anything else is an error rather than a setting without effect.
 _KEYS = {
     "": {
-        "app_name", "kafka", "source", "schema", "required", "dedup", "watermark", "processing", "late",
+        "app_name", "kafka", "source", "schema", "required", "dedup", "dedup_salts", "watermark", "processing", "late",
         "quarantine", "output", "checkpoint", "trigger", "shuffle_partitions",
     },
     "kafka": {"bootstrap_servers", "topics", "starting_offsets", "fail_on_data_loss", "max_offsets_per_trigger"},
@@ -59,6 +59,7 @@ class PipelineConfig:
     schema: T.StructType = field(default_factory=lambda: ORDER_EVENT)
     required: tuple[str, ...] = ORDER_REQUIRED
     dedup: tuple[str, ...] = ()
+    dedup_salts: int = 8
     time_column: str = "event_time"
     delay: str = "10 minutes"
     window: EventWindow = EventWindow()
@@ -88,6 +89,7 @@ class PipelineConfig:
             schema=schema,
             required=tuple(config.get("required", default_required)),
             dedup=tuple(config.get("dedup") or ()),
+            dedup_salts=int(config.get("dedup_salts", 8)),
             time_column=time_column,
             delay=watermark.get("delay", "10 minutes"),
             window=EventWindow(

@@ -14,7 +14,7 @@ from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
 from millrace.plans.window_queries import HOUR, METRICS, ORDERS, orders, plain, sessions, sliding, tumbling
 from millrace.sources.tables import fed_in_turns
-from millrace.streaming.router import LATE, ON_TIME
+from millrace.streaming.router import LATE, ON_TIME, LateRouter
 from millrace.streaming.triggers import AVAILABLE_NOW
 
 
@@ -148,25 +148,11 @@ def late_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.fillna(-1)
 
 
-def _weekly_router(spark: SparkSession, sf_dir: str, work: str) -> tuple[EventPipeline, DataFrame]:
-    """Run a pipeline with a late router over one micro-batch per week of arrival, restarting in between."""
-    source = orders(spark, sf_dir).withColumn("kafka_timestamp", F.col("kafka_timestamp").cast("timestamp"))
-    source = source.withColumn("event_time", F.col("event_time").cast("timestamp"))
-    weekly = source.withColumn("week", F.date_format(F.date_trunc("week", "kafka_timestamp"), "yyyy-MM-dd"))
-    for folder in fed_in_turns(weekly, "week"):
-        pipeline = EventPipeline(
-            {
-                "source": {"type": "events"},
-                "processing": {"window_type": "tumbling", "window_duration": "1 hour"},
-                "late": {"path": f"{work}/routed", "max_lateness": "1 hour"},
-                "output": {"type": "table", "path": f"{work}/table"},
-                "checkpoint": f"{work}/checkpoint",
-                "trigger": AVAILABLE_NOW,
-            }
-        )
-        pipeline.start(spark, spark.readStream.schema(weekly.schema).parquet(folder))
-        pipeline.await_all()
-    return pipeline, weekly
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order events with zoned times and the week they arrived in, to be fed as one micro-batch per week."""
+    source = orders(spark, sf_dir)
+    zoned = source.withColumns({name: F.col(name).cast("timestamp") for name in ("event_time", "kafka_timestamp")})
+    return zoned.withColumn("week", F.date_format(F.date_trunc("week", "kafka_timestamp"), "yyyy-MM-dd"))
 
 
 @query(
@@ -178,13 +164,15 @@ def _weekly_router(spark: SparkSession, sf_dir: str, work: str) -> tuple[EventPi
         from ({marked("week")})""",
 )
 def late_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides of the router on a stream: together all events, none twice."""
-    pipeline, weekly = _weekly_router(spark, sf_dir, new_folder(spark, "router"))
-    router = pipeline.router()
-    late = router.read_late(spark, weekly.schema).select(
+    """Both sides of the router on a stream, restarted after each micro-batch: together all events, none twice."""
+    source = weekly(spark, sf_dir)
+    router = LateRouter(new_folder(spark, "router"))
+    for folder in fed_in_turns(source, "week"):
+        router.start(spark.readStream.schema(source.schema).parquet(folder), AVAILABLE_NOW).awaitTermination()
+    late = router.read_late(spark, source.schema).select(
         "order_id", F.lit(LATE).alias("side"), "lateness_seconds", "lateness_class"
     )
-    on_time = router.read_on_time(spark, weekly.schema).select(
+    on_time = router.read_on_time(spark, source.schema).select(
         "order_id",
         F.lit(ON_TIME).alias("side"),
         F.lit(-1).cast("long").alias("lateness_seconds"),
@@ -196,12 +184,23 @@ def late_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("late_router_complete", tumbling(METRICS))
 def late_router_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows from the on-time log, corrected by reprocessing the side output: equal to all events at once."""
-    pipeline, weekly = _weekly_router(spark, sf_dir, new_folder(spark, "router"))
-    router = pipeline.router()
-    on_time = router.read_on_time(spark, weekly.schema)
-    late = router.read_late(spark, weekly.schema).select(*on_time.columns)
+    work, source = new_folder(spark, "complete"), weekly(spark, sf_dir)
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "events"},
+            "processing": {"window_type": "tumbling", "window_duration": "1 hour"},
+            "late": {"path": f"{work}/routed", "max_lateness": "1 hour"},
+            "output": {"type": "table", "path": f"{work}/table"},
+            "checkpoint": f"{work}/checkpoint",
+            "trigger": AVAILABLE_NOW,
+        }
+    )
+    for folder in fed_in_turns(source, "week"):
+        pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
+        pipeline.await_all()
+    on_time = pipeline.router().read_on_time(spark, source.schema)
+    late = pipeline.router().read_late(spark, source.schema).select(*on_time.columns)
     corrected = reprocess(on_time, late, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS)
     keys = ["window_start", "window_end", "event_type"]
-    streamed = pipeline.upserted().read(spark)
-    unchanged = streamed.join(corrected.select(*keys), keys, "left_anti")
+    unchanged = pipeline.upserted().read(spark).join(corrected.select(*keys), keys, "left_anti")
     return plain(unchanged.unionByName(corrected))

@@ -21,6 +21,10 @@ from millrace.streaming.triggers import AVAILABLE_NOW, triggered
 from millrace.streaming.upsert import UpsertTable, merge_into
 
 
+# Sessions of a hot key are merged in the task that read them, before the shuffle.
+_MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def session_settings(config: PipelineConfig) -> dict[str, str]:
     """Session settings that suit the pipeline; the number of state partitions is fixed by the first checkpoint."""
     settings = {
@@ -32,8 +36,7 @@ def session_settings(config: PipelineConfig) -> dict[str, str]:
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        # Sessions of a hot key are merged before the shuffle.
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+        _MERGE_SESSIONS: "true",
         # The router writes three sides at a time instead of sorting by side.
         "spark.sql.maxConcurrentOutputFileWriters": "4",
     }
@@ -89,7 +92,7 @@ class EventPipeline:
         config = self.config
         stream = with_event_watermark(events, config.time_column, config.delay)
         if config.dedup:
-            stream = deduplicate(stream, config.dedup)
+            stream = deduplicate(stream, config.dedup, salts=config.dedup_salts)
         return aggregate_windows(
             stream,
             config.window,
@@ -107,6 +110,8 @@ class EventPipeline:
         if any(query.isActive for query in self.queries):
             raise RuntimeError("the pipeline is running")
         self.queries = []
+        if self.config.window.kind == "session":
+            spark.conf.set(_MERGE_SESSIONS, "true")
         log = self.log_stream(spark) if log is None else log
         if self.config.late_path is not None:
             events = self._route(spark, log)

@@ -27,6 +27,9 @@ EVENTS_SCHEMA = T.StructType(
         T.StructField("props", T.StringType()),
     ]
 )
+# The columns a history of changes is made from.
+_CUSTOMER = "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string"
+_SUPPLIER = "s_suppkey bigint, s_name string, s_acctbal double"
 # The default order event with exact prices, so that sums do not depend on the order of rows.
 EXACT_ORDER = {
     "order_id": "string",
@@ -135,7 +138,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     AUTOMOBILE and BUILDING, and all suppliers, gain 100 in their balance (``u``). Rows whose balance began
     below zero are deleted (``d``). Each supplier also has a message with an operation nobody knows (``t``).
     """
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    customers = spark.read.schema(_CUSTOMER).parquet(f"{sf_dir}/customer.parquet").select(
         F.lit("customers").alias("table"),
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("name"),
@@ -144,7 +147,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING").alias("updated"),
         F.lit(False).alias("truncated"),
     )
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+    suppliers = spark.read.schema(_SUPPLIER).parquet(f"{sf_dir}/supplier.parquet").select(
         F.lit("suppliers").alias("table"),
         F.col("s_suppkey").alias("id"),
         F.col("s_name").alias("name"),
