@@ -19,7 +19,7 @@ from millrace.operators.decode import (
 from millrace.operators.dedup import deduplicate
 from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
-from millrace.plans.window_queries import METRICS, ORDERS, PASSED, orders, plain, tumbling
+from millrace.plans.window_queries import METRICS, ORDERS, PASSED, cores, orders, plain, tumbling
 from millrace.sources.event_log import read_log, replay, stream_log, write_log
 from millrace.sources.tables import EXACT_ORDER, events, fed_in_turns, order_log, redelivered, spoiled_log
 from millrace.streaming.sinks import parquet_sink, run
@@ -150,6 +150,7 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "output": {"type": "parquet", "path": f"{work}/out", "partition_by": None},
                 "checkpoint": f"{work}/checkpoint",
                 "trigger": AVAILABLE_NOW,
+                "shuffle_partitions": cores(spark),
             }
         )
         pipeline.start(spark, spark.readStream.schema(copies.schema).parquet(folder))
@@ -177,6 +178,7 @@ def sink_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             "output": {"type": "parquet", "path": f"{folder}/out"},
             "checkpoint": f"{folder}/checkpoint",
             "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
         }
     )
     pipeline.start(spark)
@@ -200,6 +202,7 @@ def sink_upsert_final(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "output": {"type": "table", "path": f"{work}/table"},
                 "checkpoint": f"{work}/checkpoint",
                 "trigger": AVAILABLE_NOW,
+                "shuffle_partitions": cores(spark),
             }
         )
         pipeline.start(spark, spark.readStream.schema(weekly.schema).parquet(folder))

@@ -12,7 +12,7 @@ from millrace.operators.reprocess import reprocess, reprocess_sessions
 from millrace.operators.windows import EventWindow
 from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
-from millrace.plans.window_queries import HOUR, METRICS, ORDERS, orders, plain, sessions, sliding, tumbling
+from millrace.plans.window_queries import HOUR, METRICS, ORDERS, cores, orders, plain, sessions, sliding, tumbling
 from millrace.sources.tables import fed_in_turns
 from millrace.streaming.router import LATE, ON_TIME, LateRouter
 from millrace.streaming.triggers import AVAILABLE_NOW
@@ -193,6 +193,7 @@ def late_router_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
             "output": {"type": "table", "path": f"{work}/table"},
             "checkpoint": f"{work}/checkpoint",
             "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
         }
     )
     for folder in fed_in_turns(source, "week"):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,19 @@ def build_session(config: PipelineConfig) -> SparkSession:
     return builder.getOrCreate()
 
 
+@contextmanager
+def _settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """Set while queries start: each query keeps a copy of the settings it was started with."""
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class EventPipeline:
     """One configuration for a stream (``start``, ``stop``) and for a table (``on_table``).
 
@@ -110,8 +124,10 @@ class EventPipeline:
         if any(query.isActive for query in self.queries):
             raise RuntimeError("the pipeline is running")
         self.queries = []
-        if self.config.window.kind == "session":
-            spark.conf.set(_MERGE_SESSIONS, "true")
+        with _settings(spark, self._query_settings()):
+            return self._start(spark, log)
+
+    def _start(self, spark: SparkSession, log: DataFrame | None) -> list[StreamingQuery]:
         log = self.log_stream(spark) if log is None else log
         if self.config.late_path is not None:
             events = self._route(spark, log)
@@ -159,6 +175,14 @@ class EventPipeline:
             time_column=self.config.time_column,
         )
 
+    def _query_settings(self) -> dict[str, str]:
+        settings = {}
+        if self.config.window.kind == "session":
+            settings[_MERGE_SESSIONS] = "true"
+        if self.config.shuffle_partitions is not None:
+            settings["spark.sql.shuffle.partitions"] = str(self.config.shuffle_partitions)
+        return settings
+
     def _result_key(self) -> list[str]:
         if self.config.output.key or self.config.window.kind == "none":
             return list(self.config.output.key)

@@ -93,6 +93,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_events(events(spark, sf_dir))
 
 
+def cores(spark: SparkSession) -> int:
+    """State partitions of a stream: one per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles and zoned timestamps as UTC wall time, to compare with SQL."""
     casts = {
@@ -206,6 +211,7 @@ def closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "output": {"type": "parquet", "path": f"{folder}/out", "partition_by": None},
             "checkpoint": f"{folder}/checkpoint",
             "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
         }
     )
     pipeline.start(spark, order_events(events_stream(spark, sf_dir)))
