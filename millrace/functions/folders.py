@@ -27,6 +27,7 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed now and written to the shared folder, so that a lost executor costs no recomputation."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

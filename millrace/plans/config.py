@@ -27,7 +27,7 @@ _KEYS = {
     "source": {"type", "path", "format", "max_files_per_trigger"},
     "watermark": {"column", "delay"},
     "processing": {"window_type", "window_duration", "slide_duration", "session_gap", "group_by", "aggregations"},
-    "late": {"path", "max_lateness"},
+    "late": {"path", "max_lateness", "bootstrap_servers", "topic", "key"},
     "quarantine": {"path"},
     "output": {"type", "path", "partition_by", "bootstrap_servers", "topic", "key", "table"},
 }
@@ -67,6 +67,7 @@ class PipelineConfig:
     aggregations: Mapping[str, str] = field(default_factory=lambda: dict(ORDER_METRICS))
     late_path: str | None = None
     max_lateness: str = "1 hour"
+    late_topic: OutputConfig | None = None
     quarantine_path: str | None = None
     output: OutputConfig = OutputConfig()
     checkpoint: str | None = None
@@ -104,6 +105,7 @@ class PipelineConfig:
             aggregations=dict(processing.get("aggregations") or ORDER_METRICS),
             late_path=late.get("path"),
             max_lateness=late.get("max_lateness", "1 hour"),
+            late_topic=_output({**_topic(late), "type": "kafka"}) if late.get("topic") else None,
             quarantine_path=section["quarantine"].get("path"),
             output=_output(section["output"]),
             checkpoint=config.get("checkpoint"),
@@ -126,6 +128,8 @@ class PipelineConfig:
             raise ValueError(f"not in the schema: {sorted(used - names)}")
         if self.window.kind == "session" and not self.group_by:
             raise ValueError("sessions of a stream need at least one group_by column")
+        if self.late_topic and not self.late_path:
+            raise ValueError("a topic of late events is filled from the late router's path; give both")
         if self.late_path and self.quarantine_path:
             raise ValueError("the late router has a quarantine of its own; give one path")
 
@@ -149,6 +153,10 @@ def _source(source: Mapping[str, Any], kafka: Mapping[str, Any]) -> SourceConfig
     )
 
 
+def _topic(late: Mapping[str, Any]) -> dict[str, Any]:
+    return {name: late[name] for name in ("bootstrap_servers", "topic", "key") if name in late}
+
+
 def _output(output: Mapping[str, Any]) -> OutputConfig:
     kind = output.get("type", "console")
     if kind not in SINKS:

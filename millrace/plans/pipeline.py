@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from millrace.functions.folders import shared_folder
@@ -198,8 +199,16 @@ class EventPipeline:
         self.queries.append(query)
         if self.config.trigger == AVAILABLE_NOW:
             query.awaitTermination()
+        if self.config.late_topic is not None:
+            self._keep(self.late_writer(spark, checked.schema))
         return router.on_time_stream(spark, checked.schema)
 
+    def late_writer(self, spark: SparkSession, schema: T.StructType) -> DataStreamWriter:
+        """The side output, sent on to a topic of late events."""
+        topic, late = self.config.late_topic, self.router().late_stream(spark, schema)
+        checkpoint = f"{self._checkpoint(spark)}-late-topic"
+        return kafka_sink(late, topic.servers, topic.topic, "append", checkpoint, key=topic.key)
+
     def _quarantine_writer(self, spark: SparkSession, log: DataFrame) -> DataStreamWriter:
         bad = quarantined(decode_checked(log, self.config.schema, self.config.required))
         checkpoint = f"{self._checkpoint(spark)}-quarantine"

@@ -121,6 +121,12 @@ class LateRouter:
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
         return spark.readStream.schema(T.StructType(wanted)).options(**options).parquet(self.path(ON_TIME))
 
+    def late_stream(self, spark: SparkSession, schema: T.StructType, **options: str) -> DataFrame:
+        """The side output as a stream, for example to a topic of late events."""
+        wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
+        side_output = T.StructType([*wanted, *_LATE_FIELDS])
+        return spark.readStream.schema(side_output).options(**options).parquet(self.path(LATE))
+
     def read_on_time(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
         return spark.read.schema(T.StructType([*wanted, _BATCH_ID])).parquet(self.path(ON_TIME))

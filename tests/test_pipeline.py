@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from streams import EVENT, GOLDEN, Feed, rows
 
-from millrace.operators import EventWindow, aggregate_windows, to_log
+from millrace.operators import EventWindow, aggregate_windows, encode_events, to_log
 from millrace.plans.config import PipelineConfig
 from millrace.plans.pipeline import EventPipeline, session_settings
 from millrace.sources import kafka_replay, kafka_stream, read_log, replay, replay_options, stream_options, write_log
@@ -66,6 +66,9 @@ def test_kafka_is_asked_for_by_its_name(spark, folder):
         {**base("events"), "output": output, "checkpoint": f"{folder}/c", "trigger": AVAILABLE_NOW}
     )
     calls.append(lambda: pipeline.start(spark, feed.stream()))
+    late = {"path": f"{folder}/routed", "bootstrap_servers": "h:1", "topic": "late-events", "key": "k"}
+    to_topic = EventPipeline({**base("events"), "late": late, "checkpoint": f"{folder}/c2", "trigger": AVAILABLE_NOW})
+    calls.append(lambda: to_topic.start(spark, feed.stream()))
     for call in calls:
         with pytest.raises(PySparkException, match="(?i)kafka"):
             call()
@@ -127,6 +130,8 @@ def test_a_whole_configuration(spark):
         {**KAFKA, "watermark": {"column": "eventtime"}},
         {**KAFKA, "late": {"path": "x", "max_lateness": "never"}},
         {**KAFKA, "late": {"path": "x"}, "quarantine": {"path": "y"}},
+        {**KAFKA, "late": {"path": "x", "topic": "late-events"}},
+        {**KAFKA, "late": {"topic": "late-events", "bootstrap_servers": "h:1"}},
         {"source": {"type": "files"}},
         {"source": {"type": "socket"}},
     ],
@@ -241,6 +246,21 @@ def test_pipeline_with_late_router(spark, folder):
     assert sorted(map(tuple, table.select(*expected.columns).collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_late_events_as_messages(spark, folder):
+    feed = Feed(spark, f"{folder}/in")
+    for batch in GOLDEN[:3]:
+        feed.add(rows(batch))
+    pipeline = EventPipeline({**base("events"), "late": {"path": f"{folder}/routed"}, "trigger": AVAILABLE_NOW})
+    router = pipeline.router()
+    router.start(feed.stream(), AVAILABLE_NOW).awaitTermination()
+    sent = encode_events(router.late_stream(spark, EVENT), "k")
+    query = sent.writeStream.format("parquet").option("path", f"{folder}/out").trigger(availableNow=True)
+    query.option("checkpointLocation", f"{folder}/c").start().awaitTermination()
+    messages = spark.read.parquet(f"{folder}/out").collect()
+    assert sorted(m["key"] for m in messages) == ["a", "a", "a", "a", "b"]
+    assert all('"lateness_class":"within_max"' in m["value"] for m in messages)
+
+
 def test_pass_through_and_stop(spark, folder):
     feed = Feed(spark, f"{folder}/in")
     feed.add(rows(GOLDEN[0]))
