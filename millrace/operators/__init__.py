@@ -35,7 +35,7 @@ from millrace.operators.late import (
     with_late_metadata,
     with_lateness,
 )
-from millrace.operators.reprocess import reprocess, reprocess_sessions, stale_sessions
+from millrace.operators.reprocess import reprocess, reprocess_sessions, stale_sessions, touched_windows
 from millrace.operators.windows import EventWindow, aggregate_windows, with_event_date, with_event_watermark
 
 __all__ = [
@@ -70,6 +70,7 @@ __all__ = [
     "split_late",
     "stale_sessions",
     "to_log",
+    "touched_windows",
     "with_capture_delay",
     "with_event_date",
     "with_event_watermark",

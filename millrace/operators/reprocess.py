@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.durations import interval_micros, to_micros
 from millrace.functions.folders import stored
-from millrace.functions.measures import DEFAULT_SPEC
+from millrace.functions.measures import DEFAULT_SPEC, parse_measures
 from millrace.operators.windows import EventWindow, aggregate_windows
 
 _TOUCHED = "__touched"
@@ -27,6 +27,7 @@ def reprocess(
 ) -> DataFrame:
     """The windows touched by a late event, aggregated over on-time and late events together.
 
+    Both logs need the event time, the keys and the measured columns; what else they have does not matter.
     The result has the shape of ``aggregate_windows`` and is meant to be upserted by window and keys. Late rows
     carry a mark through the aggregate and windows without one are left out, so there is one shuffle of
     partially aggregated rows and no join. The log is read only as far around the late events as a window can
@@ -77,6 +78,21 @@ def _near(on_time: DataFrame, time_column: str, low: Column, high: Column, reach
     return on_time.where(F.col(time_column).between(low - interval_micros(reach), high + interval_micros(reach)))
 
 
+def touched_windows(
+    marked: DataFrame,
+    window: EventWindow,
+    *,
+    late_column: str = "is_late",
+    time_column: str = "event_time",
+    group_by: Sequence[str] = (),
+    aggregations: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """The windows of a table that hold a row marked late, aggregated over all their rows."""
+    spec = {**(DEFAULT_SPEC if aggregations is None else aggregations), _TOUCHED: f"max({late_column})"}
+    result = aggregate_windows(marked, window, time_column=time_column, group_by=group_by, aggregations=spec)
+    return result.where(_TOUCHED).drop(_TOUCHED)
+
+
 def _touched(
     near: DataFrame,
     late: DataFrame,
@@ -85,10 +101,17 @@ def _touched(
     group_by: Sequence[str],
     aggregations: Mapping[str, str] | None,
 ) -> DataFrame:
-    marked = near.withColumn("__late", F.lit(False)).unionByName(late.withColumn("__late", F.lit(True)))
-    spec = {**(DEFAULT_SPEC if aggregations is None else aggregations), _TOUCHED: "max(__late)"}
-    result = aggregate_windows(marked, window, time_column=time_column, group_by=group_by, aggregations=spec)
-    return result.where(_TOUCHED).drop(_TOUCHED)
+    measured = [m.column for m in parse_measures(aggregations) if m.column != "*"]
+    used = list(dict.fromkeys([time_column, *group_by, *measured]))
+    marked = near.select(*used, F.lit(False).alias("__late")).unionByName(late.select(*used, F.lit(True).alias("__late")))
+    return touched_windows(
+        marked,
+        window,
+        late_column="__late",
+        time_column=time_column,
+        group_by=group_by,
+        aggregations=aggregations,
+    )
 
 
 def _edges(late: DataFrame, time_column: str) -> tuple[Column, Column]:

@@ -23,7 +23,10 @@ _KEYS = {
         "app_name", "kafka", "source", "schema", "required", "dedup", "dedup_salts", "watermark", "processing", "late",
         "quarantine", "output", "checkpoint", "trigger", "shuffle_partitions",
     },
-    "kafka": {"bootstrap_servers", "topics", "starting_offsets", "fail_on_data_loss", "max_offsets_per_trigger"},
+    "kafka": {
+        "bootstrap_servers", "topics", "starting_offsets", "fail_on_data_loss", "max_offsets_per_trigger",
+        "min_partitions",
+    },
     "source": {"type", "path", "format", "max_files_per_trigger"},
     "watermark": {"column", "delay"},
     "processing": {"window_type", "window_duration", "slide_duration", "session_gap", "group_by", "aggregations"},

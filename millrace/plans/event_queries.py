@@ -13,8 +13,6 @@ from millrace.operators.decode import (
     decode_events,
     encode_events,
     flatten_metadata,
-    good_events,
-    quarantined,
 )
 from millrace.operators.dedup import deduplicate
 from millrace.plans.pipeline import EventPipeline
@@ -81,12 +79,14 @@ def log_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = decode_checked(spoiled_log(events(spark, sf_dir)), schema_from_config(EXACT_ORDER))
-    place = ("key", "partition", "offset")
-    good = good_events(checked).select(*place, F.lit("accepted").alias("outcome"), "customer_id")
-    bad = quarantined(checked).select(
-        *place, F.col("quarantine_reason").alias("outcome"), F.lit("").alias("customer_id")
+    reason = F.col("quarantine_reason")
+    return checked.select(
+        "key",
+        "partition",
+        "offset",
+        F.coalesce(reason, F.lit("accepted")).alias("outcome"),
+        F.when(reason.isNull(), F.col("customer_id")).otherwise("").alias("customer_id"),
     )
-    return good.unionByName(bad)
 
 
 @query("encode_events", f"select order_id \"key\", {DECODED} from ({ORDERS})")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.folders import new_folder
 from millrace.functions.measures import ORDER_METRICS
 from millrace.operators.late import enrich_late, lateness_profile, mark_late, split_late, with_lateness
-from millrace.operators.reprocess import reprocess, reprocess_sessions
+from millrace.operators.reprocess import reprocess, reprocess_sessions, touched_windows
 from millrace.operators.windows import EventWindow
 from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
@@ -90,8 +90,8 @@ def late_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         using (window_start, event_type)""",
 )
 def late_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on_time, late = sides(spark, sf_dir)
-    return plain(reprocess(on_time, late, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS))
+    marked_rows = marked_orders(spark, sf_dir)
+    return plain(touched_windows(marked_rows, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS))
 
 
 @query(
@@ -200,7 +200,7 @@ def late_router_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
         pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
         pipeline.await_all()
     on_time = pipeline.router().read_on_time(spark, source.schema)
-    late = pipeline.router().read_late(spark, source.schema).select(*on_time.columns)
+    late = pipeline.router().read_late(spark, source.schema)
     corrected = reprocess(on_time, late, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS)
     keys = ["window_start", "window_end", "event_type"]
     unchanged = pipeline.upserted().read(spark).join(corrected.select(*keys), keys, "left_anti")

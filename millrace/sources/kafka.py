@@ -39,11 +39,15 @@ def stream_options(
     starting_offsets: Position = "latest",
     fail_on_data_loss: bool | str = False,
     max_offsets_per_trigger: int | None = None,
+    min_partitions: int | None = None,
 ) -> dict[str, str]:
+    """An unbounded read; ``min_partitions`` splits large topic partitions over more tasks."""
     options = subscription(servers, topics, fail_on_data_loss)
     options["startingOffsets"] = position_text(starting_offsets)
     if max_offsets_per_trigger is not None:
         options["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
+    if min_partitions is not None:
+        options["minPartitions"] = str(min_partitions)
     return options
 
 
@@ -57,10 +61,7 @@ def replay_options(
     fail_on_data_loss: bool | str = False,
     min_partitions: int | None = None,
 ) -> dict[str, str]:
-    """A bounded read by offsets, or by epoch milliseconds per partition with ``by_timestamp``.
-
-    ``min_partitions`` splits large topic partitions over more tasks than there are topic partitions.
-    """
+    """A bounded read by offsets, or by epoch milliseconds per partition with ``by_timestamp``."""
     options = subscription(servers, topics, fail_on_data_loss)
     for name, position in (("startingOffsets", start), ("endingOffsets", end)):
         timed = by_timestamp and not isinstance(position, str)

@@ -57,7 +57,7 @@ def test_nothing_is_lost_behind_the_router(spark, folder, files_per_trigger):
     on_time, late = router.read_on_time(spark, EVENT), router.read_late(spark, EVENT)
     both = on_time.drop("batch_id").unionByName(late.select(EVENT.names))
     assert both.exceptAll(feed.table()).isEmpty() and feed.table().exceptAll(both).isEmpty()
-    corrected = reprocess(on_time, late.select(*on_time.columns), EventWindow(), group_by=["k"])
+    corrected = reprocess(on_time, late, EventWindow(), group_by=["k"])
     keys = ["window_start", "window_end", "k"]
     merged = aggregate_windows(on_time, EventWindow(), group_by=["k"]).join(corrected, keys, "left_anti")
     whole = aggregate_windows(feed.table(), EventWindow(), group_by=["k"])
