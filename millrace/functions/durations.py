@@ -37,12 +37,13 @@ def to_micros(text: str) -> int:
 
 
 def interval(text: str) -> Column:
-    """``text`` as a day-time interval literal."""
+    """``text`` as an interval literal."""
     return interval_micros(to_micros(text))
 
 
 def interval_micros(micros: int) -> Column:
-    return F.make_dt_interval(secs=F.lit(Decimal(micros) / 1_000_000).cast("decimal(18,6)"))
+    """Elapsed time: unlike days of a day-time interval, it does not follow clock changes of the session's zone."""
+    return F.make_interval(secs=F.lit(Decimal(micros) / 1_000_000).cast("decimal(18,6)"))
 
 
 def as_text(micros: int) -> str:

@@ -36,11 +36,15 @@ class Measure:
             return F.count(F.lit(1) if self.column == "*" else F.col(self.column)).alias(self.name)
         return getattr(F, self.function)(F.col(self.column)).alias(self.name)
 
-    def partials(self) -> list[Column]:
-        """Partial results over the raw rows of one slot."""
+    def partials(self, df: DataFrame) -> list[Column]:
+        """Partial results over the raw rows of ``df`` in one slot."""
         if self.function == "avg":
+            # Spark's average adds decimals as decimals and all else as doubles, so whole numbers cannot overflow.
+            value = F.col(self.column)
+            if not isinstance(column_type(df, self.column), T.DecimalType):
+                value = value.cast("double")
             return [
-                F.sum(self.column).alias(self._part("sum")),
+                F.sum(value).alias(self._part("sum")),
                 F.count(self.column).alias(self._part("count")),
             ]
         return [self.whole().alias(self._part(self.function))]
@@ -73,7 +77,11 @@ def parse_measures(spec: Mapping[str, str] | None) -> list[Measure]:
     return measures
 
 
+def column_type(df: DataFrame, name: str) -> T.DataType:
+    return df.select(name).schema[0].dataType
+
+
 def measure_types(df: DataFrame, measures: list[Measure]) -> dict[str, T.DataType]:
     """Result types of measures and of their partials, from the analysed plan alone."""
-    columns = [column for m in measures for column in (m.whole(), *m.partials())]
+    columns = [column for m in measures for column in (m.whole(), *m.partials(df))]
     return {field.name: field.dataType for field in df.groupBy().agg(*columns).schema.fields}

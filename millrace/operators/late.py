@@ -71,7 +71,9 @@ def with_late_metadata(df: DataFrame, *, reason: str = LATE_REASON, routed_at: C
     return df.withColumn("_late_metadata", F.struct(at.alias("routed_at"), F.lit(reason).alias("reason")))
 
 
-def with_lateness(df: DataFrame, *, time_column: str = "event_time", arrival_column: str = "kafka_timestamp") -> DataFrame:
+def with_lateness(
+    df: DataFrame, *, time_column: str = "event_time", arrival_column: str = "kafka_timestamp"
+) -> DataFrame:
     """Add ``arrival_time`` and ``lateness_seconds``, the whole seconds from event to arrival."""
     seconds = F.timestamp_diff("SECOND", F.col(time_column), F.col(arrival_column))
     return df.withColumn("arrival_time", F.col(arrival_column)).withColumn("lateness_seconds", seconds)

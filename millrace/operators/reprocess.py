@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.durations import interval_micros, to_micros
 from millrace.functions.folders import stored
-from millrace.functions.measures import DEFAULT_SPEC, parse_measures
+from millrace.functions.measures import DEFAULT_SPEC, column_type, parse_measures
 from millrace.operators.windows import EventWindow, aggregate_windows
 
 _TOUCHED = "__touched"
@@ -117,7 +117,7 @@ def _touched(
 def _edges(late: DataFrame, time_column: str) -> tuple[Column, Column]:
     """Earliest and latest late event time as literals, so that they reach the scan of the log."""
     edges = [F.min(time_column), F.max(time_column)]
-    if late.schema[time_column].dataType.typeName() == "timestamp":
+    if column_type(late, time_column).typeName() == "timestamp":
         row = late.agg(*[F.unix_micros(edge) for edge in edges]).first()
         return F.timestamp_micros(F.lit(row[0])), F.timestamp_micros(F.lit(row[1]))
     row = late.agg(*[edge.cast("string") for edge in edges]).first()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.durations import as_text, interval_micros, to_micros
-from millrace.functions.measures import Measure, measure_types, parse_measures
+from millrace.functions.measures import Measure, column_type, measure_types, parse_measures
 
 KINDS = ("tumbling", "sliding", "session", "none")
 
@@ -59,7 +59,7 @@ def with_event_watermark(df: DataFrame, column: str = "event_time", delay: str =
     to_micros(delay)
     if not df.isStreaming:
         return df
-    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+    if column_type(df, column).typeName() == "timestamp_ntz":
         df = df.withColumn(column, F.col(column).cast("timestamp"))
     return df.withWatermark(column, delay)
 
@@ -116,7 +116,7 @@ def _sliding(
     pane = math.gcd(slide, duration)
     types = measure_types(df, measures)
     panes = df.groupBy(F.window(time_column, as_text(pane)).alias("__pane"), *keys).agg(
-        *[part for m in measures for part in m.partials()]
+        *[part for m in measures for part in m.partials(df)]
     )
     at = F.col("__pane.start")
     newest = at if pane == slide else F.window(at, as_text(slide))["start"]
@@ -146,7 +146,7 @@ def _sessions(
     slots = df.groupBy(F.window(time_column, as_text(gap)).alias("__slot"), *keys).agg(
         F.min(time_column).alias("__first"),
         F.max(time_column).alias("__last"),
-        *[part for m in measures for part in m.partials()],
+        *[part for m in measures for part in m.partials(df)],
     )
     in_order = Window.partitionBy(*keys).orderBy("__first")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

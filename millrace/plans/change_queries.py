@@ -73,7 +73,8 @@ def cdc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cdc_op_counts",
-    f"select source_table, coalesce({OPERATION}, 'unknown') operation, count(*) change_count from ({CHANGES}) group by 1, 2",
+    f"""select source_table, coalesce({OPERATION}, 'unknown') operation, count(*) change_count
+        from ({CHANGES}) group by 1, 2""",
 )
 def cdc_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operation_counts(changes(spark, sf_dir), "source_table").fillna("unknown", ["operation"])

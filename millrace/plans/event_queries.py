@@ -29,6 +29,9 @@ from millrace.streaming.upsert import UpsertTable
 WHOLE_HISTORY = "365 days"
 DECODED = "order_id, customer_id, product_id, quantity, unit_price::double unit_price, event_time, event_type"
 PLACED = "(cast(order_id as bigint) % 3)::int as \"partition\", cast(order_id as bigint) // 3 as \"offset\""
+LINEAGE_SQL = (
+    f"select {DECODED}, arrival kafka_timestamp, order_id \"key\", 'orders' topic, {PLACED} from ({ORDERS})"
+)
 
 
 def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +64,7 @@ def decode_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(flatten_metadata(decode_events(log_table(spark, sf_dir), ORDER_EVENT_WITH_METADATA)))
 
 
-@query(
-    "log_lineage",
-    f"select {DECODED}, arrival kafka_timestamp, order_id \"key\", 'orders' topic, {PLACED} from ({ORDERS})",
-)
+@query("log_lineage", LINEAGE_SQL)
 def log_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(decode_events(log_table(spark, sf_dir), schema_from_config(EXACT_ORDER), lineage=True))
 
@@ -98,23 +98,20 @@ def encode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(decoded)
 
 
-@query(
-    "log_scan",
-    f"select {DECODED}, arrival kafka_timestamp, order_id \"key\", 'orders' topic, {PLACED} from ({ORDERS})",
-)
+@query("log_scan", LINEAGE_SQL)
 def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as files, read as a stream, decoded with lineage and appended to parquet."""
     folder = new_folder(spark, "scan")
     write_log(log_table(spark, sf_dir), f"{folder}/log")
     decoded = decode_events(stream_log(spark, f"{folder}/log"), schema_from_config(EXACT_ORDER), lineage=True)
-    run(parquet_sink(decoded, f"{folder}/out", f"{folder}/checkpoint", partition_by=None), AVAILABLE_NOW).awaitTermination()
+    sink = parquet_sink(decoded, f"{folder}/out", f"{folder}/checkpoint", partition_by=None)
+    run(sink, AVAILABLE_NOW).awaitTermination()
     return plain(spark.read.parquet(f"{folder}/out"))
 
 
 @query(
     "log_replay",
-    f"""select {DECODED}, arrival kafka_timestamp, order_id "key", 'orders' topic, {PLACED}
-        from ({ORDERS}) where arrival >= timestamp '2024-01-08' and arrival < timestamp '2024-01-22'""",
+    f"""{LINEAGE_SQL} where arrival >= timestamp '2024-01-08' and arrival < timestamp '2024-01-22'""",
 )
 def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two weeks of a file log."""

@@ -124,7 +124,13 @@ def _register(
 for _name, (_spec, _columns) in SINGLE_MEASURES.items():
     _register(_name, tumbling(_columns), HOUR, ["event_type"], _spec)
 
-_register("agg_spec_multi", tumbling(ALL_COLUMNS, "1 day"), EventWindow("tumbling", "1 day"), ["event_type"], ALL_MEASURES)
+_register(
+    "agg_spec_multi",
+    tumbling(ALL_COLUMNS, "1 day"),
+    EventWindow("tumbling", "1 day"),
+    ["event_type"],
+    ALL_MEASURES,
+)
 _register(
     "group_multi_key",
     tumbling(METRICS, "1 hour", "event_type, customer_id"),

@@ -88,6 +88,30 @@ def test_two_step_windows_on_time_without_zone(skewed):
         )
 
 
+@pytest.mark.parametrize("window", [EventWindow("sliding", "2 hours", "1 hour"), EventWindow("session")], ids=str)
+def test_averages_of_large_whole_numbers_do_not_overflow(spark, window):
+    df = spark.range(8).selectExpr("timestamp_millis(id) as event_time", "id + 4000000000000000000 as v")
+    row = aggregate_windows(df, window, aggregations={"mean": "avg(v)"}).first()
+    assert row["mean"] == 4e18
+
+
+def test_windows_longer_than_a_day_do_not_follow_clock_changes(spark):
+    """Clocks changed on 10 March 2024 in New York."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(2_000).select(
+            F.timestamp_micros(
+                F.lit(1_709_900_000_000_000) + F.abs(F.xxhash64("id")) % (6 * 86_400_000_000)
+            ).alias("event_time"),
+            (F.col("id") % 700).cast("string").alias("k"),
+        )
+        for window in (EventWindow("sliding", "3 days", "1 day"), EventWindow("session", gap="26 hours")):
+            spec = {"n": "count(*)", "d_lo": "min(event_time)"}
+            assert_same(aggregate_windows(df, window, group_by=["k"], aggregations=spec), native(df, window, ["k"], spec))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def events(spark, *moments):
     return spark.createDataFrame([(m, "a") for m in moments], "event_time timestamp_ntz, k string")
 
