@@ -71,6 +71,7 @@ def aggregate_windows(
     time_column: str = "event_time",
     group_by: Sequence[str] = (),
     aggregations: Mapping[str, str] | None = None,
+    stream_panes: bool = False,
 ) -> DataFrame:
     """Aggregate per window and ``group_by`` columns.
 
@@ -78,6 +79,10 @@ def aggregate_windows(
     to no window. Streams use Spark's stateful window operators. Tables take a two-step form for sliding and
     session windows, with equal results: raw rows are first combined, map side and then by key and slot, so
     that neither the sliding expansion nor a hot key's sessions are worked out on raw rows.
+
+    ``stream_panes`` gives sliding windows of a stream the two-step form as well. Rows and state then are not
+    multiplied by duration/slide. It needs append mode, and a row is late once its pane, not its window, is closed:
+    use it behind the late router, where no row is late.
     """
     if window.kind == "none":
         return df
@@ -89,6 +94,8 @@ def aggregate_windows(
     if df.isStreaming:
         if window.kind == "session" and not keys:
             raise ValueError("sessions of a stream need at least one group_by column")
+        if stream_panes and window.kind == "sliding":
+            return _sliding_stream(df, window, time_column, keys, measures)
         return _native(df, window, time_column, keys, measures)
     if window.kind == "session":
         return _sessions(df, window, time_column, keys, measures)
@@ -132,6 +139,19 @@ def _sliding(
     return result.select("window_start", "window_end", *keys, *[m.name for m in measures])
 
 
+def _sliding_stream(
+    df: DataFrame, window: EventWindow, time_column: str, keys: list[str], measures: list[Measure]
+) -> DataFrame:
+    """Panes in one stateful aggregate, windows over finished panes in another."""
+    duration, slide = to_micros(window.duration), window.slide_micros
+    types = measure_types(df, measures)
+    panes = df.groupBy(F.window(time_column, as_text(math.gcd(slide, duration))).alias("__pane"), *keys).agg(
+        *[part for m in measures for part in m.partials(df)]
+    )
+    grouped = panes.groupBy(F.window("__pane", as_text(duration), as_text(slide)).alias("__window"), *keys)
+    return _flat(grouped.agg(*[m.combined(types) for m in measures]), keys, measures)
+
+
 def _sessions(
     df: DataFrame, window: EventWindow, time_column: str, keys: list[str], measures: list[Measure]
 ) -> DataFrame:

@@ -29,7 +29,7 @@ _KEYS = {
     },
     "source": {"type", "path", "format", "max_files_per_trigger"},
     "watermark": {"column", "delay"},
-    "processing": {"window_type", "window_duration", "slide_duration", "session_gap", "group_by", "aggregations"},
+    "processing": {"window_type", "window_duration", "slide_duration", "session_gap", "group_by", "aggregations", "panes"},
     "late": {"path", "max_lateness", "bootstrap_servers", "topic", "key"},
     "quarantine": {"path"},
     "output": {"type", "path", "partition_by", "bootstrap_servers", "topic", "key", "table"},
@@ -68,6 +68,7 @@ class PipelineConfig:
     window: EventWindow = EventWindow()
     group_by: tuple[str, ...] = ("event_type",)
     aggregations: Mapping[str, str] = field(default_factory=lambda: dict(ORDER_METRICS))
+    panes: bool = False
     late_path: str | None = None
     max_lateness: str = "1 hour"
     late_topic: OutputConfig | None = None
@@ -106,6 +107,7 @@ class PipelineConfig:
             ),
             group_by=tuple(processing.get("group_by", ("event_type",))),
             aggregations=dict(processing.get("aggregations") or ORDER_METRICS),
+            panes=bool(processing.get("panes", False)),
             late_path=late.get("path"),
             max_lateness=late.get("max_lateness", "1 hour"),
             late_topic=_output({**_topic(late), "type": "kafka"}) if late.get("topic") else None,
@@ -131,6 +133,8 @@ class PipelineConfig:
             raise ValueError(f"not in the schema: {sorted(used - names)}")
         if self.window.kind == "session" and not self.group_by:
             raise ValueError("sessions of a stream need at least one group_by column")
+        if self.panes and not (self.window.kind == "sliding" and self.late_path and self.output.kind == "parquet"):
+            raise ValueError("panes are for sliding windows behind the late router, written to parquet")
         if self.late_topic and not self.late_path:
             raise ValueError("a topic of late events is filled from the late router's path; give both")
         if self.late_path and self.quarantine_path:

@@ -114,6 +114,7 @@ class EventPipeline:
             time_column=config.time_column,
             group_by=config.group_by,
             aggregations=config.aggregations,
+            stream_panes=config.panes,
         )
 
     def on_table(self, log: DataFrame) -> DataFrame:

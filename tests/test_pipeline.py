@@ -131,6 +131,8 @@ def test_a_whole_configuration(spark):
         {**KAFKA, "late": {"path": "x", "max_lateness": "never"}},
         {**KAFKA, "late": {"path": "x"}, "quarantine": {"path": "y"}},
         {**KAFKA, "late": {"path": "x", "topic": "late-events"}},
+        {**KAFKA, "processing": {"window_type": "sliding", "panes": True}},
+        {**KAFKA, "processing": {"panes": True}, "late": {"path": "x"}, "output": {"type": "parquet", "path": "y"}},
         {**KAFKA, "late": {"topic": "late-events", "bootstrap_servers": "h:1"}},
         {"source": {"type": "files"}},
         {"source": {"type": "socket"}},

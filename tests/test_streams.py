@@ -61,6 +61,20 @@ def test_a_stream_gives_the_windows_of_the_table(spark, folder, window):
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, whole.collect()))
 
 
+@pytest.mark.parametrize("slide", ["1 minute", "3 minutes", "4 minutes"])
+def test_panes_of_a_stream_give_the_windows_of_the_table(spark, folder, slide):
+    feed, window = golden(spark, f"{folder}/in"), EventWindow("sliding", "10 minutes", slide)
+    feed.add([(at("4000:00"), "end", 1, at("4000:00"))])
+    feed.add([(at("8000:00"), "end", 1, at("8000:00"))])
+    stream = with_event_watermark(feed.stream(2), delay="1 day")
+    result = aggregate_windows(stream, window, group_by=["k"], aggregations=SPEC, stream_panes=True)
+    finished(run(parquet_sink(result, f"{folder}/out", f"{folder}/c", partition_by=None), AVAILABLE_NOW))
+    whole = aggregate_windows(feed.table(), window, group_by=["k"], aggregations=SPEC).where("k <> 'end'")
+    written = spark.read.parquet(f"{folder}/out").where("k <> 'end'").select(*whole.columns)
+    assert written.dtypes == whole.dtypes
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_upserted_windows_are_final_and_survive_restarts_and_compaction(spark, folder):
     feed, table = Feed(spark, f"{folder}/in"), UpsertTable(f"{folder}/t", ["window_start", "window_end", "k"])
     for number, batch in enumerate(GOLDEN):
