@@ -12,8 +12,19 @@ from millrace.operators.reprocess import reprocess, reprocess_sessions, touched_
 from millrace.operators.windows import EventWindow
 from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
-from millrace.plans.window_queries import HOUR, METRICS, ORDERS, cores, orders, plain, sessions, sliding, tumbling
-from millrace.sources.tables import fed_in_turns
+from millrace.plans.window_queries import (
+    HOUR,
+    METRICS,
+    ORDERS,
+    average,
+    cores,
+    orders,
+    plain,
+    sessions,
+    sliding,
+    tumbling,
+)
+from millrace.sources.tables import events_stream, fed_in_turns, order_events
 from millrace.streaming.router import LATE, ON_TIME, LateRouter
 from millrace.streaming.triggers import AVAILABLE_NOW
 
@@ -181,6 +192,40 @@ def late_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_time.unionByName(late)
 
 
+_ROLLING = sliding(f"count(*) n, {average('unit_price')} avg_price", "1 hour", "1 minute", 60)
+
+
+@query(
+    "rolling_avg_stream",
+    f"select * from ({_ROLLING}) where window_end <= (select max(ts) - interval '10 minutes' from events)",
+)
+def rolling_avg_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of an hour, every minute, on a stream behind the router: the windows closed at the end of the data."""
+    work = new_folder(spark, "rolling")
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "events"},
+            "processing": {
+                "window_type": "sliding",
+                "window_duration": "1 hour",
+                "slide_duration": "1 minute",
+                "aggregations": {"n": "count(*)", "avg_price": "avg(unit_price)"},
+                "panes": True,
+            },
+            "late": {"path": f"{work}/routed"},
+            "output": {"type": "parquet", "path": f"{work}/out", "partition_by": None},
+            "checkpoint": f"{work}/checkpoint",
+            "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
+        }
+    )
+    stream = order_events(events_stream(spark, sf_dir))
+    zoned = stream.withColumns({name: F.col(name).cast("timestamp") for name in ("event_time", "kafka_timestamp")})
+    pipeline.start(spark, zoned)
+    pipeline.await_all()
+    return plain(spark.read.parquet(f"{work}/out"))
+
+
 @query("late_router_complete", tumbling(METRICS))
 def late_router_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows from the on-time log, corrected by reprocessing the side output: equal to all events at once."""

@@ -26,6 +26,7 @@ RUN_STREAMS = {
     "late_router",
     "late_router_complete",
     "log_scan",
+    "rolling_avg_stream",
     "sink_parquet_roundtrip",
     "sink_upsert_final",
 }
