@@ -30,7 +30,7 @@ _KEYS = {
     "source": {"type", "path", "format", "max_files_per_trigger"},
     "watermark": {"column", "delay"},
     "processing": {"window_type", "window_duration", "slide_duration", "session_gap", "group_by", "aggregations", "panes"},
-    "late": {"path", "max_lateness", "bootstrap_servers", "topic", "key"},
+    "late": {"path", "max_lateness", "sized_files", "bootstrap_servers", "topic", "key"},
     "quarantine": {"path"},
     "output": {"type", "path", "partition_by", "bootstrap_servers", "topic", "key", "table"},
 }
@@ -71,6 +71,7 @@ class PipelineConfig:
     panes: bool = False
     late_path: str | None = None
     max_lateness: str = "1 hour"
+    late_sized_files: bool = False
     late_topic: OutputConfig | None = None
     quarantine_path: str | None = None
     output: OutputConfig = OutputConfig()
@@ -110,6 +111,7 @@ class PipelineConfig:
             panes=bool(processing.get("panes", False)),
             late_path=late.get("path"),
             max_lateness=late.get("max_lateness", "1 hour"),
+            late_sized_files=bool(late.get("sized_files", False)),
             late_topic=_output({**_topic(late), "type": "kafka"}) if late.get("topic") else None,
             quarantine_path=section["quarantine"].get("path"),
             output=_output(section["output"]),

@@ -126,8 +126,12 @@ class EventPipeline:
         if any(query.isActive for query in self.queries):
             raise RuntimeError("the pipeline is running")
         self.queries = []
-        with _settings(spark, self._query_settings()):
-            return self._start(spark, log)
+        try:
+            with _settings(spark, self._query_settings()):
+                return self._start(spark, log)
+        except Exception:
+            self.stop()
+            raise
 
     def _start(self, spark: SparkSession, log: DataFrame | None) -> list[StreamingQuery]:
         log = self.log_stream(spark) if log is None else log
@@ -175,6 +179,7 @@ class EventPipeline:
             delay=self.config.delay,
             max_lateness=self.config.max_lateness,
             time_column=self.config.time_column,
+            sized_files=self.config.late_sized_files,
         )
 
     def _query_settings(self) -> dict[str, str]:

@@ -31,6 +31,9 @@ class LateRouter:
     one batch later), so an aggregate over the on-time log with the same delay drops nothing. Late events are
     not lost either: ``reprocess`` adds them to the windows they belong to.
 
+    Every task that read a part of the batch writes a file per side. Where that makes many small files of late
+    events, ``sized_files`` shuffles the batch into files of even size first (with adaptive execution).
+
     One router writes to a root. Renaming must be atomic (HDFS; not object stores).
     """
 
@@ -43,6 +46,7 @@ class LateRouter:
         time_column: str = "event_time",
         arrival_column: str = "kafka_timestamp",
         reason: str = LATE_REASON,
+        sized_files: bool = False,
     ) -> None:
         self.root = root.rstrip("/")
         self.delay_micros = to_micros(delay)
@@ -51,6 +55,7 @@ class LateRouter:
         self.time_column = time_column
         self.arrival_column = arrival_column
         self.reason = reason
+        self.sized_files = sized_files
 
     @property
     def checkpoint(self) -> str:
@@ -75,9 +80,10 @@ class LateRouter:
         staged = f"{self.root}/_staging/{batch_id}"
         seen = Observation()
         routable = F.when(F.col("__side") != QUARANTINE, F.unix_micros(F.col(self.time_column).cast("timestamp")))
-        self._sided(batch, prior).observe(seen, F.max(routable).alias("high")).write.mode("overwrite").partitionBy(
-            "__side"
-        ).parquet(staged)
+        sided = self._sided(batch, prior).observe(seen, F.max(routable).alias("high"))
+        if self.sized_files:
+            sided = sided.hint("rebalance")
+        sided.write.mode("overwrite").partitionBy("__side").parquet(staged)
         for side in (ON_TIME, LATE, QUARANTINE):
             files.publish(f"{staged}/__side={side}", f"{self.path(side)}/batch_id={batch_id}")
         highs = [high for high in (prior, seen.get["high"]) if high is not None]

@@ -123,6 +123,17 @@ def test_a_crash_before_the_record_is_made_good_too(spark, folder, monkeypatch):
     assert len(router.read_late(spark, EVENT).collect()) == 4
 
 
+def test_sized_files(spark, folder):
+    many = spark.createDataFrame(rows(["02:00 a", "30:00 a"] * 40), EVENT).repartition(8)
+    for name, sized in (("as_read", False), ("sized", True)):
+        router = LateRouter(f"{folder}/{name}", sized_files=sized)
+        router.route_batch(batches(spark, 0)[0], 0)
+        router.route_batch(many, 1)
+        files = [n for n in SharedFiles(spark).names(f"{router.path(LATE)}/batch_id=1") if n.endswith(".parquet")]
+        assert len(files) == (1 if sized else 8)
+        assert router.read_late(spark, EVENT).count() == 40 and router.read_on_time(spark, EVENT).count() == 42
+
+
 def test_empty_batches_and_batches_without_times_keep_the_watermark(spark, folder):
     router = LateRouter(folder)
     untimed = [(None, "a", 1, at("50:00"))]
