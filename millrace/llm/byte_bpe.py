@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
+from array import array
 from functools import cache
 
 import numpy as np
@@ -22,6 +25,7 @@ ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 62
 SHORT_WORD = 256
+_SPACE_BEFORE_SPACE = re.compile(r" \s")
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,11 +59,11 @@ class ByteBpe:
         self.words = regex.compile(PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.ids_of_word = WordCache(lambda word: self._packed(self.word_ids(word.encode())), cached_words)
-        self.ids_of_chunk = WordCache(self._chunk, cached_words)
+        self.ids_after_space = WordCache(lambda chunk: self._chunk(" " + chunk), cached_words)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.ids_of_word.__getitem__, self.words.findall(chunk)))
@@ -120,29 +124,21 @@ class ByteBpe:
         )
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.ids_of_chunk.__getitem__, chunks(text)))
+        """Cut before single spaces, where a word of ``PATTERN`` always begins: most chunks are one or two words.
+
+        A space ends the word before it if that is no white space, and begins the next word if what follows is
+        none; only a space between white space is uncertain, and then the whole text is cut by the pattern.
+        """
+        if text.endswith(" ") or _SPACE_BEFORE_SPACE.search(text):
+            return b"".join(map(self.ids_of_word.__getitem__, self.words.findall(text)))
+        first, *rest = text.split(" ")
+        return self._chunk(first) + b"".join(map(self.ids_after_space.__getitem__, rest))
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-#: A space with white space before it, and white space or the end after it: no border of words is certain there.
-_UNCERTAIN = regex.compile(r"(?<=\s) (?=\s|$)")
-
-
-def chunks(text: str) -> list[str]:
-    """A text cut before single spaces, where a word of ``PATTERN`` always begins; most chunks are one or two words.
-
-    A space ends the word before it if that is no white space, and begins the next word if what follows is none.
-    """
-    if _UNCERTAIN.search(text):
-        return regex.findall(PATTERN, text)
-    first, *rest = text.split(" ")
-    spaced = [" " + chunk for chunk in rest]
-    return [first, *spaced] if first else spaced
-
-
 @cache
 def byte_bpe(path: str) -> ByteBpe:
     """One encoder per worker process."""
