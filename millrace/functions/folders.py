@@ -25,8 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path of its own below the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark).rstrip('/')}/millrace-{purpose}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder; nothing is created yet, and what is there goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/millrace-{purpose}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -36,7 +38,6 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, "stored")
-    atexit.register(_remove, spark, path)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     setattr(table, _PATH_OF_STORED, path)
