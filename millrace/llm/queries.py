@@ -1,6 +1,6 @@
 """All queries of this subpackage, registered by importing their modules."""
 
-from millrace.llm import encoding, packing, quality, shards, simhash, token_counts, toxicity, warc  # noqa: F401
+from millrace.llm import encoding, packing, quality, shards, simhash, sketches, token_counts, toxicity, warc  # noqa: F401
 from millrace.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
