@@ -50,6 +50,18 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, parsed)
 
 
+def filter_rows(df: DataFrame, text_column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, all columns, for whose texts a function says so; ``start`` makes it once per task."""
+    find_package_in_workers(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = start()
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch.column(text_column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def in_batches(rows: Iterable[tuple], schema: pa.Schema, rows_per_batch: int = 4096) -> Iterator[pa.RecordBatch]:
     """Tuples as record batches of at most so many rows and about ``OUTPUT_BYTES`` of strings and binaries."""
     held: list[tuple] = []

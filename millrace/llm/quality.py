@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.folders import stored
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import filter_rows, map_batches
 from millrace.llm.registry import query
 
 CLASSES = ("white", "newline", "lower", "upper", "other_letter", "digit", "symbol", "stop", "mark")
@@ -191,57 +191,74 @@ def least_divergence(counts: np.ndarray, words: list[bytes], references: Referen
     return float((by_word + class_weight * by_class).min())
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """Counts of a text and what follows from them."""
+
+    n_words: int
+    word_chars: int
+    n_symbols: int
+    n_dup_lines: int
+    n_repeat_words: int
+    base_failed: bool
+    divergence: float
+    kept: bool
+
+
+def judge(text: str, references: References, limits: Limits, table: np.ndarray) -> Verdict:
+    words = text.encode("utf-8", "surrogatepass").split()
+    counts = class_counts(text, table)
+    repeats = repeated_words(words)
+    failed = len(words) < limits.min_words or 100 * repeats > limits.repeat_percent * len(words)
+    lower = text.lower().encode("utf-8", "surrogatepass").split()
+    strays = least_divergence(counts, lower, references, limits.class_weight)
+    return Verdict(
+        len(words),
+        int(counts.sum() - counts[WHITE] - counts[NEWLINE]),
+        int(counts[SYMBOL]),
+        repeated_lines(text),
+        repeats,
+        failed,
+        strays,
+        not failed and strays <= limits.divergence + limits.per_word / max(1, len(words)),
+    )
+
+
 def judge_documents(
-    df: DataFrame,
-    references: References,
-    limits: Limits | None = None,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    carried: list[str] | None = None,
+    df: DataFrame, references: References, limits: Limits | None = None, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """Base counts, ``base_failed``, ``divergence`` and ``kept`` per row of ``df``.
+    """The id and the fields of ``Verdict`` per row of ``df``.
 
     A null text has no words and fails the base rule. Where the corpus gives no reference, the base rule decides.
-    ``carried`` columns come along unchanged.
+    Equal texts get equal verdicts.
     """
     limits = limits or Limits()
-    carried = carried or []
 
     def start():
         table = class_table()
 
         def each(batch: pa.RecordBatch):
-            for row, text, *others in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                whole = text or ""
-                words = whole.encode("utf-8", "surrogatepass").split()
-                counts = class_counts(whole, table)
-                repeats = repeated_words(words)
-                failed = len(words) < limits.min_words or 100 * repeats > limits.repeat_percent * len(words)
-                lower = whole.lower().encode("utf-8", "surrogatepass").split()
-                strays = least_divergence(counts, lower, references, limits.class_weight)
-                kept = not failed and strays <= limits.divergence + limits.per_word / max(1, len(words))
-                yield (
-                    row,
-                    len(words),
-                    int(counts.sum() - counts[WHITE] - counts[NEWLINE]),
-                    int(counts[SYMBOL]),
-                    repeated_lines(whole),
-                    repeats,
-                    failed,
-                    strays,
-                    kept,
-                    *others,
-                )
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                verdict = judge(text or "", references, limits, table)
+                yield (row, *(getattr(verdict, name) for name in Verdict.__dataclass_fields__))
 
         return each
 
-    kinds = "".join(f", `{name}` {df.schema[name].dataType.simpleString()}" for name in carried)
-    schema = (
-        f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, n_words bigint, word_chars bigint, "
-        f"n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, divergence double, "
-        f"kept boolean{kinds}"
-    )
-    return map_batches(df, [df[id_column], df[text_column], *(df[name] for name in carried)], schema, start)
+    kinds = {"int": "bigint", "float": "double", "bool": "boolean"}
+    fields = "".join(f", {name} {kinds[f.type]}" for name, f in Verdict.__dataclass_fields__.items())
+    schema = f"`{id_column}` {df.schema[id_column].dataType.simpleString()}{fields}"
+    return map_batches(df, [df[id_column], df[text_column]], schema, start)
+
+
+def kept_documents(df: DataFrame, references: References, limits: Limits | None = None, text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` with texts that are kept, all columns."""
+    limits = limits or Limits()
+
+    def start():
+        table = class_table()
+        return lambda texts: [judge(text or "", references, limits, table).kept for text in texts]
+
+    return filter_rows(df, text_column, start)
 
 
 def corpus_references(df: DataFrame, limits: Limits, text_column: str = "text", language_column: str = "lang") -> References:

@@ -363,9 +363,10 @@ def without_repeats(
     length: int = LENGTH,
     gram: int = GRAM,
     hot: int = HOT,
+    kept_text: bool = False,
 ) -> DataFrame:
     """One row per row of ``df``: its id, ``n_bytes``, ``removed`` (spans of bytes, end exclusive) and ``kept`` (the
-    other bytes), with the ``carried`` columns.
+    other bytes; with ``kept_text`` as a text, without the letters that were cut), with the ``carried`` columns.
 
     Ids are integers; a null id is smaller than any. Rows with one id are told apart and come in the order of a hash of
     their texts. A null text is empty; texts shorter than ``length`` lose nothing. Windows never cross texts.
@@ -383,7 +384,7 @@ def without_repeats(
     spans = found.where(F.col("kind") == SPAN).union(suffixes).select("block", "doc", "place", "windows")
     names = [id_column, *carried]
     kinds = "".join(f", `{name}` {df.schema[name].dataType.simpleString()}" for name in names)
-    schema = f"n_bytes bigint, removed array<struct<begin: bigint, end: bigint>>, kept binary{kinds}"
+    schema = f"n_bytes bigint, removed array<struct<begin: bigint, end: bigint>>, kept {'string' if kept_text else 'binary'}{kinds}"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def cut(texts: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -401,7 +402,7 @@ def without_repeats(
             removed = covered(first[mine], windows[mine], length) if mine else []
             borders = [0, *(border for span in removed for border in span), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
-            rows.append((len(text), [{"begin": a, "end": b} for a, b in removed], kept))
+            rows.append((len(text), [{"begin": a, "end": b} for a, b in removed], kept.decode("utf-8", "ignore") if kept_text else kept))
         own = [pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True) if rows else [[], [], []], arrow, strict=False)]
         others = [texts.column(f"other_{k}").cast(arrow.field(3 + k).type) for k in range(len(names))]
         return pa.Table.from_arrays([*own, *others], schema=arrow)
