@@ -50,14 +50,14 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, parsed)
 
 
-def filter_rows(df: DataFrame, text_column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
-    """The rows of ``df``, all columns, for whose texts a function says so; ``start`` makes it once per task."""
+def filter_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, all columns, that a function of a batch says; ``start`` makes it once per task."""
     find_package_in_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = start()
         for batch in batches:
-            yield batch.filter(pa.array(wanted(batch.column(text_column).to_pylist()), pa.bool_()))
+            yield batch.filter(pa.array(wanted(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -2,8 +2,9 @@
 
 The references are, per language, the histogram of character classes and the histogram of common words over the
 whole corpus. A document is compared with each by the Jensen-Shannon divergence (base 2), and the language nearest
-to it counts; its own language column is not looked at. Short documents stray from any reference by chance, so the
-allowed divergence is larger the fewer words there are, and below a minimum length the base rule decides alone.
+to it counts, whatever its own is said to be; only where the corpus has too little of that to make a reference, the
+base rule decides alone. Short documents stray from any reference by chance, so the allowed divergence is larger
+the fewer words there are, and below a minimum length all fail.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ class Limits:
 class References:
     """Histograms by language: ``classes`` (languages x classes), ``words`` (languages x union of common words)."""
 
+    languages: tuple[str, ...]
     classes: np.ndarray
     words: np.ndarray
     place: dict[bytes, int] = field(default_factory=dict)
@@ -163,7 +165,7 @@ def language_references(counts: DataFrame, limits: Limits) -> References:
                 classes[number[row["lang"]], CLASSES.index(bytes(row["item"]).decode())] = share
             else:
                 words[number[row["lang"]], place[bytes(row["item"])]] = share
-    return References(classes, words, place)
+    return References(tuple(languages), classes, words, place)
 
 
 def divergence(mine: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -205,13 +207,15 @@ class Verdict:
     kept: bool
 
 
-def judge(text: str, references: References, limits: Limits, table: np.ndarray) -> Verdict:
+def judge(text: str, language: str | None, references: References, limits: Limits, table: np.ndarray) -> Verdict:
     words = text.encode("utf-8", "surrogatepass").split()
     counts = class_counts(text, table)
     repeats = repeated_words(words)
     failed = len(words) < limits.min_words or 100 * repeats > limits.repeat_percent * len(words)
-    lower = text.lower().encode("utf-8", "surrogatepass").split()
-    strays = least_divergence(counts, lower, references, limits.class_weight)
+    strays = 0.0
+    if language is None or language in references.languages:
+        lower = text.lower().encode("utf-8", "surrogatepass").split()
+        strays = least_divergence(counts, lower, references, limits.class_weight)
     return Verdict(
         len(words),
         int(counts.sum() - counts[WHITE] - counts[NEWLINE]),
@@ -225,12 +229,17 @@ def judge(text: str, references: References, limits: Limits, table: np.ndarray)
 
 
 def judge_documents(
-    df: DataFrame, references: References, limits: Limits | None = None, id_column: str = "doc_id", text_column: str = "text"
+    df: DataFrame,
+    references: References,
+    limits: Limits | None = None,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    language_column: str = "lang",
 ) -> DataFrame:
     """The id and the fields of ``Verdict`` per row of ``df``.
 
-    A null text has no words and fails the base rule. Where the corpus gives no reference, the base rule decides.
-    Equal texts get equal verdicts.
+    A null text has no words and fails the base rule. Documents of a language without a reference have divergence 0;
+    those of null language are compared with all. Equal rows get equal verdicts.
     """
     limits = limits or Limits()
 
@@ -238,8 +247,8 @@ def judge_documents(
         table = class_table()
 
         def each(batch: pa.RecordBatch):
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                verdict = judge(text or "", references, limits, table)
+            for row, text, language in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                verdict = judge(text or "", language, references, limits, table)
                 yield (row, *(getattr(verdict, name) for name in Verdict.__dataclass_fields__))
 
         return each
@@ -247,18 +256,25 @@ def judge_documents(
     kinds = {"int": "bigint", "float": "double", "bool": "boolean"}
     fields = "".join(f", {name} {kinds[f.type]}" for name, f in Verdict.__dataclass_fields__.items())
     schema = f"`{id_column}` {df.schema[id_column].dataType.simpleString()}{fields}"
-    return map_batches(df, [df[id_column], df[text_column]], schema, start)
+    return map_batches(df, [df[id_column], df[text_column], df[language_column].cast("string")], schema, start)
 
 
-def kept_documents(df: DataFrame, references: References, limits: Limits | None = None, text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` with texts that are kept, all columns."""
+def kept_documents(
+    df: DataFrame, references: References, limits: Limits | None = None, text_column: str = "text", language_column: str = "lang"
+) -> DataFrame:
+    """The rows of ``df`` that are kept, all columns."""
     limits = limits or Limits()
 
     def start():
         table = class_table()
-        return lambda texts: [judge(text or "", references, limits, table).kept for text in texts]
 
-    return filter_rows(df, text_column, start)
+        def wanted(batch: pa.RecordBatch) -> list[bool]:
+            columns = (batch.column(name).to_pylist() for name in (text_column, language_column))
+            return [judge(text or "", language, references, limits, table).kept for text, language in zip(*columns, strict=True)]
+
+        return wanted
+
+    return filter_rows(df, start)
 
 
 def corpus_references(df: DataFrame, limits: Limits, text_column: str = "text", language_column: str = "lang") -> References:
