@@ -2,7 +2,8 @@
 
 Rows are shuffled within their source by a seeded hash and ranked. A row's fractional rank is its rank, moved by a
 seeded fraction of one that its source has, over the rows of the source. Sorted by it, the sources lie interleaved
-in proportion, so that every cut of the order into equal runs has the mixture of the whole, to a row of each source.
+in proportion, so that every cut of the order into equal runs has the mixture of the whole, to a few rows of a
+source.
 """
 
 from __future__ import annotations
