@@ -28,6 +28,7 @@ LOG_SCHEMA = _row(
     ("timestampType", _INT),
 )
 
+# The fields of an order event, and below those of a change event's source.
 ORDER_EVENT = _row(
     ("order_id", _STR),
     ("customer_id", _STR),

@@ -4,6 +4,7 @@ from millrace.operators.cdc import (
     change_counts_per_window,
     changed_fields,
     decode_changes,
+    decode_changes_checked,
     latest_state,
     live_rows,
     newest_changes,
@@ -48,6 +49,7 @@ __all__ = [
     "changed_fields",
     "classify_lateness",
     "decode_changes",
+    "decode_changes_checked",
     "decode_checked",
     "decode_events",
     "deduplicate",

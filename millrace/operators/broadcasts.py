@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,3 +17,19 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], *, rows: in
     """
     small = rows <= (BROADCAST_ROWS if limit is None else limit)
     return df.join(F.broadcast(lookup) if small else lookup, list(on), "left")
+
+
+def semi_join(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], *, rows: int, limit: int | None = None) -> DataFrame:
+    """The rows of ``df`` with a match in ``lookup``; ``on`` maps columns, and null matches null."""
+    return _match(df, lookup, on, rows, limit, "left_semi")
+
+
+def anti_join(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], *, rows: int, limit: int | None = None) -> DataFrame:
+    """The rows of ``df`` without a match in ``lookup``."""
+    return _match(df, lookup, on, rows, limit, "left_anti")
+
+
+def _match(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], rows: int, limit: int | None, how: str) -> DataFrame:
+    small = rows <= (BROADCAST_ROWS if limit is None else limit)
+    same = [F.col(column).eqNullSafe(F.col(other)) for column, other in on.items()]
+    return df.join(F.broadcast(lookup) if small else lookup, same, how)

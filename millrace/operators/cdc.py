@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.schemas import CHANGE_SOURCE, CUSTOMER_ROW, change_envelope
-from millrace.operators.decode import parsed_once
+from millrace.operators.decode import MALFORMED, MISSING, parsed_once
 from millrace.operators.windows import EventWindow, aggregate_windows
 
 # Fixed values of the change-event format.
 OPERATIONS = {"c": "create", "u": "update", "d": "delete", "r": "read"}
+UNKNOWN_OPERATION = "unknown_operation"
 
 
 def decode_changes(log: DataFrame, row: T.StructType = CUSTOMER_ROW) -> DataFrame:
@@ -21,22 +22,58 @@ def decode_changes(log: DataFrame, row: T.StructType = CUSTOMER_ROW) -> DataFram
 
     Columns: ``op, ts_ms, change_time``, one ``source_*`` per source field, ``before, after``, and
     ``partition, offset`` of the message. A delete is often followed by a message without a value, which
-    only tells a compacted topic to forget the key; such messages hold no change and are left out.
+    only tells a compacted topic to forget the key; such messages hold no change and are left out. What cannot be
+    read is null here; ``decode_changes_checked`` tells it apart.
     """
     envelope = F.from_json(F.col("value").cast("string"), change_envelope(row))
     return (
         log.where(F.col("value").isNotNull())
         .select(parsed_once(envelope["payload"]), "partition", "offset")
-        .select(
-            "op",
-            "ts_ms",
-            F.timestamp_millis("ts_ms").alias("change_time"),
-            *[F.col(f"source.{name}").alias(f"source_{name}") for name in CHANGE_SOURCE.names],
-            "before",
-            "after",
-            "partition",
-            "offset",
-        )
+        .select(*_change_columns(), "partition", "offset")
+    )
+
+
+def _change_columns(payload: str = "") -> list[Column]:
+    return [
+        F.col(f"{payload}op").alias("op"),
+        F.col(f"{payload}ts_ms").alias("ts_ms"),
+        F.timestamp_millis(f"{payload}ts_ms").alias("change_time"),
+        *[F.col(f"{payload}source.{name}").alias(f"source_{name}") for name in CHANGE_SOURCE.names],
+        F.col(f"{payload}before").alias("before"),
+        F.col(f"{payload}after").alias("after"),
+    ]
+
+
+def decode_changes_checked(log: DataFrame, row: T.StructType = CUSTOMER_ROW, key: str = "id") -> DataFrame:
+    """``decode_changes`` with a check of every message.
+
+    Adds ``topic``, ``quarantine_reason`` (null for a good change) and ``raw_value`` (the text of a bad message). Bad are messages
+    that are no whole envelope or hold a value of a wrong type (``malformed_json``), those without ``op``, ``ts_ms``, source table, or the row
+    image with a key that the operation needs (``missing_required``), and unknown operations (``unknown_operation``).
+    ``split_changes`` picks the two sides.
+    """
+    envelope = T.StructType([*change_envelope(row).fields, T.StructField("__corrupt", T.StringType())])
+    parsed = F.from_json(F.col("value").cast("string"), envelope, {"columnNameOfCorruptRecord": "__corrupt"})
+    decoded = (
+        log.where(F.col("value").isNotNull())
+        .select(parsed_once(parsed), F.col("value").cast("string").alias("raw_value"), "topic", "partition", "offset")
+        .select(*_change_columns("payload."), "topic", "partition", "offset", "__corrupt", "raw_value")
+    )
+    reason = F.when(F.col("__corrupt").isNotNull(), MALFORMED).otherwise(_fault(key))
+    checked = decoded.withColumn("quarantine_reason", reason)
+    bad_text = F.when(F.col("quarantine_reason").isNotNull(), F.col("raw_value"))
+    return checked.withColumn("raw_value", bad_text).drop("__corrupt")
+
+
+def _fault(key: str) -> Column:
+    """Why a decoded change cannot be applied; null if it can."""
+    deletes = F.col("op") == "d"
+    row_key = F.when(deletes, F.col(f"before.{key}")).otherwise(F.col(f"after.{key}"))
+    told = F.col("op").isNotNull() & F.col("ts_ms").isNotNull() & F.col("source_table").isNotNull()
+    return (
+        F.when(~told, MISSING)
+        .when(~F.col("op").isin(*OPERATIONS), UNKNOWN_OPERATION)
+        .when(row_key.isNull(), MISSING)
     )
 
 
@@ -52,10 +89,14 @@ def operation_name(op: Column) -> Column:
     return name
 
 
-def split_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Changes with a known ``op``, and the others for quarantine."""
-    known = F.coalesce(F.col("op").isin(*OPERATIONS), F.lit(False))
-    return changes.where(known), changes.where(~known)
+def split_changes(changes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Changes that can be applied, and the others for quarantine.
+
+    Those of ``decode_changes_checked`` carry the verdict. Others are judged by what decoding has left of them:
+    operation, time, table, and the key in the row image that the operation needs.
+    """
+    fault = F.col("quarantine_reason") if "quarantine_reason" in changes.columns else _fault(key)
+    return changes.where(fault.isNull()), changes.where(fault.isNotNull())
 
 
 def row_image(changes: DataFrame, key: str = "id") -> DataFrame:
@@ -71,7 +112,7 @@ def newest_changes(changes: DataFrame, key: str = "id", *, table_column: str = "
     Newest by ``ts_ms``, then by ``offset``; a key must keep to one partition for the offset to decide a tie.
     Map-side combination leaves one row per key and task, however many changes one key has.
     """
-    known, _ = split_changes(changes)
+    known, _ = split_changes(changes, key)
     newest = F.max_by(F.struct("op", "after", "ts_ms", "offset"), F.struct("ts_ms", "offset"))
     return (
         row_image(known, key)

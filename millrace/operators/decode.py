@@ -94,6 +94,16 @@ def good_events(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("quarantine_reason").isNull()).drop("quarantine_reason", "raw_value")
 
 
+def no_bad_events(checked: DataFrame) -> DataFrame:
+    """The good events; the first bad one is an error that names its place in the log."""
+    place = F.concat_ws("/", *[F.col(name).cast("string") for name in ("topic", "partition", "offset")])
+    error = F.raise_error(F.concat(F.lit("bad event at "), place, F.lit(": "), F.col("quarantine_reason")))
+    kept = [name for name in checked.columns if name not in ("quarantine_reason", "raw_value")]
+    event = F.when(F.col("quarantine_reason").isNotNull(), error).otherwise(F.struct(*kept))
+    # As a generator, so that no later filter is moved below the check and hides the bad event from it.
+    return checked.select(parsed_once(event))
+
+
 def quarantined(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("quarantine_reason").isNotNull()).select(
         *LINEAGE, "kafka_timestamp", "raw_value", "quarantine_reason"

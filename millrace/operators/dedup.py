@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def deduplicate(
@@ -18,8 +19,8 @@ def deduplicate(
     dealt over ``salts`` groups by the task that read them, and one of each group goes on. With one salt, where no
     key has many copies, that step and its state are saved.
 
-    On a table, the copy least by ``first_by`` is kept; without ``first_by``, copies must be alike and any may
-    stay. Copies are combined map side before the shuffle.
+    On a table, the copy least by ``first_by`` is kept, of equal ones that least by its other columns, as far as they
+    can be ordered; without ``first_by``, copies must be alike and any may stay. Copies are combined map side before the shuffle.
     """
     if df.isStreaming:
         if salts > 1:
@@ -29,5 +30,14 @@ def deduplicate(
     rest = [name for name in df.columns if name not in keys]
     if not first_by or not rest:
         return df.dropDuplicates(list(keys))
-    kept = F.min_by(F.struct(*rest), F.struct(*first_by)).alias("__kept")
+    ordered = [name for name in rest if name not in first_by and orderable(df.schema[name].dataType)]
+    kept = F.min_by(F.struct(*rest), F.struct(*first_by, *ordered)).alias("__kept")
     return df.groupBy(*keys).agg(kept).select(*keys, "__kept.*").select(*df.columns)
+
+
+def orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(orderable(field.dataType) for field in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    return not isinstance(kind, T.MapType | T.VariantType)

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.durations import as_text, interval_micros, to_micros
+from millrace.functions.folders import stored
 from millrace.functions.measures import Measure, column_type, measure_types, parse_measures
 
 KINDS = ("tumbling", "sliding", "session", "none")
+# The partition column of event logs: the date of the event time in UTC.
+DATE_COLUMN = "utc_date"
 
 
 @dataclass(frozen=True)
@@ -54,13 +57,13 @@ def with_event_watermark(df: DataFrame, column: str = "event_time", delay: str =
     """Set the watermark of a stream; a table has none and is returned as is.
 
     Spark allows one watermark per query, so none of the other operators sets one. A stream cannot put a
-    watermark on TIMESTAMP_NTZ; such a column is read as UTC wall time.
+    watermark on TIMESTAMP_NTZ; such a column is read as UTC wall time, whatever the session's zone is.
     """
     to_micros(delay)
     if not df.isStreaming:
         return df
     if column_type(df, column).typeName() == "timestamp_ntz":
-        df = df.withColumn(column, F.col(column).cast("timestamp"))
+        df = df.withColumn(column, utc_instant(F.col(column)))
     return df.withWatermark(column, delay)
 
 
@@ -168,6 +171,8 @@ def _sessions(
         F.max(time_column).alias("__last"),
         *[part for m in measures for part in m.partials(df)],
     )
+    if not keys:
+        return _chained(slots, gap, types, measures)
     in_order = Window.partitionBy(*keys).orderBy("__first")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     previous = F.lag("__last").over(in_order)
@@ -185,6 +190,39 @@ def _sessions(
     return sessions.select("window_start", "window_end", *keys, *[m.name for m in measures])
 
 
+def _chained(slots: DataFrame, gap: int, types: dict, measures: list[Measure]) -> DataFrame:
+    """Sessions over all slots at once, without bringing them into one task.
+
+    Slots are chained within time ranges in parallel. What a range needs of those before it, the last event and
+    the sessions opened so far, comes from one row per range.
+    """
+    # The range number must not change between uses, so it is stored and its lineage cut.
+    ranges = stored(slots.repartitionByRange("__first").withColumn("__range", F.spark_partition_id()))
+    by_range, in_range = Window.orderBy("__range"), Window.partitionBy("__range").orderBy("__first")
+    lasts = ranges.groupBy("__range").agg(F.max("__last").alias("__top"))
+    lasts = lasts.select("__range", F.lag("__top").over(by_range).alias("__before"))
+    previous = F.coalesce(F.lag("__last").over(in_range), "__before")
+    opens = F.when(F.col("__first") <= previous + interval_micros(gap), 0).otherwise(1)
+    chained = stored(
+        ranges.join(F.broadcast(lasts), "__range")
+        .withColumn("__opens", opens)
+        .withColumn("__here", F.sum("__opens").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
+    opened = chained.groupBy("__range").agg(F.sum("__opens").alias("__in"))
+    earlier = F.sum("__in").over(by_range.rowsBetween(Window.unboundedPreceding, -1))
+    opened = opened.select("__range", F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    sessions = (
+        chained.join(F.broadcast(opened), "__range")
+        .groupBy((F.col("__earlier") + F.col("__here")).alias("__session"))
+        .agg(
+            F.min("__first").alias("window_start"),
+            (F.max("__last") + interval_micros(gap)).alias("window_end"),
+            *[m.combined(types) for m in measures],
+        )
+    )
+    return sessions.select("window_start", "window_end", *[m.name for m in measures])
+
+
 def _flat(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
     return df.select(
         F.col("__window.start").alias("window_start"),
@@ -194,6 +232,20 @@ def _flat(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
     )
 
 
+def utc_instant(wall: Column) -> Column:
+    """The instant of a TIMESTAMP_NTZ read as UTC wall time; a cast would take the session's zone and its clock changes."""
+    seconds = F.unix_date(wall.cast("date")).cast("long") * 86_400 + F.hour(wall) * 3600 + F.minute(wall) * 60
+    return F.timestamp_micros(seconds * F.lit(1_000_000) + (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("long"))
+
+
+def utc_date(df: DataFrame, time_column: str) -> Column:
+    """The date of an event time in UTC, for columns with and without zone."""
+    if column_type(df, time_column).typeName() == "timestamp_ntz":
+        return F.col(time_column).cast("date")
+    days = F.floor(F.unix_micros(F.col(time_column)) / F.lit(86_400_000_000))
+    return F.date_from_unix_date(days.cast("int"))
+
+
 def with_event_date(df: DataFrame, time_column: str = "window_start") -> DataFrame:
-    """Add ``event_date``, the column file sinks partition by."""
-    return df.withColumn("event_date", F.to_date(time_column))
+    """Add ``event_date`` (UTC), the column file sinks partition by."""
+    return df.withColumn("event_date", utc_date(df, time_column))

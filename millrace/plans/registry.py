@@ -20,15 +20,19 @@ REGISTRY: dict[str, Registered] = {}
 
 
 def query(name: str, sql: str) -> Callable[[Query], Query]:
-    """Register a query; event times without zone are UTC, whatever the session's zone was."""
+    """Register a query; event times without zone are UTC, whatever the session's zone is."""
 
     def register(run: Query) -> Query:
         if name in REGISTRY:
             raise ValueError(f"query {name!r} is registered twice")
 
         def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            before = spark.conf.get("spark.sql.session.timeZone")
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return run(spark, sf_dir)
+            try:
+                return run(spark, sf_dir)
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", before)
 
         REGISTRY[name] = Registered(in_utc, sql)
         return run

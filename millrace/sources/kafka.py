@@ -58,10 +58,13 @@ def replay_options(
     start: Position = "earliest",
     end: Position = "latest",
     by_timestamp: bool = False,
-    fail_on_data_loss: bool | str = False,
+    fail_on_data_loss: bool | str = True,
     min_partitions: int | None = None,
 ) -> dict[str, str]:
-    """A bounded read by offsets, or by epoch milliseconds per partition with ``by_timestamp``."""
+    """A bounded read by offsets, or by epoch milliseconds per partition with ``by_timestamp``.
+
+    Offsets that the topic no longer holds are an error, unless it is asked to leave them out.
+    """
     options = subscription(servers, topics, fail_on_data_loss)
     for name, position in (("startingOffsets", start), ("endingOffsets", end)):
         timed = by_timestamp and not isinstance(position, str)

@@ -1,8 +1,9 @@
 """Physical plans: what is read, shuffled and computed how often."""
 
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
+import __spark_entry__  # noqa: F401
 from millrace.operators import (
     EventWindow,
     aggregate_windows,
@@ -15,12 +16,18 @@ from millrace.operators import (
     reprocess,
     split_late,
 )
+from millrace.plans.registry import REGISTRY
 from millrace.plans.window_queries import orders
 from millrace.sources.tables import ACCOUNT_ROW, change_log, events, order_events, spoiled_log
 
 SF_DIR = "/root/testdata/sf0.001"
 RUN_STREAMS = {
     "cdc_apply_stream",
+    "cdc_latest_state_dirty",
+    "late_router_backlog",
+    "late_sessions_complete",
+    "sink_upsert_restart",
+    "stream_late_dropped",
     "closed_windows",
     "dedup_stream",
     "late_router",
@@ -42,9 +49,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - RUN_STREAMS))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - RUN_STREAMS))
 def test_no_python_and_no_pairing_of_all_rows(spark, name):
-    text = plan(entry_points.queries()[name](spark, SF_DIR))
+    text = plan(REGISTRY[name].run(spark, SF_DIR))
     for operator in ("Python", "Pandas", "Cartesian", "NestedLoop", "GlobalLimit"):
         assert operator not in text
 
@@ -88,15 +95,28 @@ def test_a_message_is_parsed_once_whatever_is_asked_of_its_fields(spark):
     assert plan(good_events(decode_checked(stored)).where("quantity > 5 and customer_id <> ''")).count("from_json") == 1
 
 
-def test_reprocessing_reads_only_around_the_late_events(spark, folder):
-    orders(spark, SF_DIR).write.parquet(f"{folder}/on_time")
+def test_reprocessing_reads_only_the_days_of_the_late_events(spark, folder):
+    """A very old late event adds its own day, not all days since."""
+    dated = orders(spark, SF_DIR).withColumn("utc_date", F.col("event_time").cast("date"))
+    dated.write.partitionBy("utc_date").parquet(f"{folder}/on_time")
     on_time = spark.read.parquet(f"{folder}/on_time")
-    late = on_time.where("event_time >= timestamp_ntz'2024-01-20' and event_time < timestamp_ntz'2024-01-21'")
-    text = plan(reprocess(on_time, late, EventWindow("tumbling", "1 hour"), group_by=["event_type"]))
-    # One window length around the first and the last late event, 01:41 and 22:43.
-    assert "GreaterThanOrEqual(event_time,2024-01-20T00:41" in text
-    assert "LessThanOrEqual(event_time,2024-01-20T23:43" in text
-    assert text.count("Exchange") == 1 and "Join" not in text
+    chosen = "date'2024-01-20'", "date'2024-01-02'"
+    late = on_time.where(f"utc_date in ({', '.join(chosen)}) and hour(event_time) between 3 and 20").limit(400)
+    late = late.unionByName(on_time.where("utc_date = date'2024-01-02' and hour(event_time) between 3 and 20").limit(1))
+    window = EventWindow("tumbling", "1 hour")
+    result = reprocess(on_time, late, window, group_by=["event_type"])
+    text = plan(result)
+    filters = text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "utc_date" in filters and "2024-01-20" in filters and "2024-01-02" in filters and "2024-01-10" not in filters
+    assert "GreaterThanOrEqual(event_time,2024-01-20T00:00" in text
+    # The join comes before the aggregate, and the touched windows are broadcast as they were counted.
+    assert text.index("HashAggregate") < text.index("BroadcastHashJoin") and "SortMergeJoin" not in text
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        beyond = plan(reprocess(on_time, late, window, group_by=["event_type"], broadcast_rows=0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in beyond and "BroadcastExchange" not in beyond
 
 
 def test_watermarks_are_broadcast_only_when_counted_small(spark):

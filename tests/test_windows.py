@@ -143,6 +143,39 @@ def test_event_date(spark):
     assert str(result.first()["event_date"]) == "2024-02-29"
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_without_zone_are_utc_in_every_session(spark, folder, zone):
+    """Clocks changed on 10 March and 3 November 2024 in New York."""
+    moments = [datetime(2024, 3, 10, 2, 30), datetime(2024, 11, 3, 1, 30, 0, 123456), datetime(2024, 7, 1), datetime(1969, 12, 31, 23, 59, 59)]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame([(m, "a") for m in moments], "event_time timestamp_ntz, k string")
+        frame.write.parquet(f"{folder}/in")
+        stream = with_event_watermark(spark.readStream.schema(frame.schema).parquet(f"{folder}/in"), delay="40000 days")
+        query = with_event_date(stream, "event_time").writeStream.format("parquet").option("path", f"{folder}/out")
+        query.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+        out = spark.read.parquet(f"{folder}/out").selectExpr("unix_micros(event_time) at", "cast(event_date as string) d")
+        dated = with_event_date(frame, "event_time").selectExpr("cast(event_date as string) d")
+        got = sorted((r["at"], r["d"]) for r in out.collect())
+        assert sorted(r["d"] for r in dated.collect()) == sorted(str(m.date()) for m in moments)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    epoch = datetime(1970, 1, 1)
+    assert got == sorted(((m - epoch) // timedelta(microseconds=1), str(m.date())) for m in moments)
+
+
+def test_sessions_without_key_are_not_chained_in_one_task(spark):
+    df = spark.range(5_000).selectExpr(
+        "timestamp_micros(abs(xxhash64(id)) % 4000000000000) event_time", "cast(id as int) q"
+    )
+    window, spec = EventWindow("session", gap="10 minutes"), {"n": "count(*)", "total": "sum(q)"}
+    result = aggregate_windows(df, window, aggregations=spec)
+    assert_same(result, native(df, window, [], spec))
+    before = result._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in before.split("BroadcastExchange")[0]
+    assert aggregate_windows(df.where("false"), window, aggregations=spec).isEmpty()
+
+
 @pytest.mark.parametrize(
     "settings",
     [
