@@ -16,6 +16,8 @@ from millrace.operators.windows import EventWindow
 from millrace.streaming.sinks import SINKS
 
 SOURCES = ("kafka", "files", "events")
+# What happens to events that cannot be read or lack a required field; the late router has a quarantine of its own.
+BAD_EVENTS = ("fail", "drop", "quarantine")
 
 # What a section may hold; anything else is an error rather than a setting without effect.
 _KEYS = {
@@ -30,8 +32,8 @@ _KEYS = {
     "source": {"type", "path", "format", "max_files_per_trigger"},
     "watermark": {"column", "delay"},
     "processing": {"window_type", "window_duration", "slide_duration", "session_gap", "group_by", "aggregations", "panes"},
-    "late": {"path", "max_lateness", "sized_files", "bootstrap_servers", "topic", "key"},
-    "quarantine": {"path"},
+    "late": {"path", "max_lateness", "sized_files", "max_batches", "bootstrap_servers", "topic", "key"},
+    "quarantine": {"path", "bad_events"},
     "output": {"type", "path", "partition_by", "bootstrap_servers", "topic", "key", "table"},
 }
 
@@ -72,8 +74,10 @@ class PipelineConfig:
     late_path: str | None = None
     max_lateness: str = "1 hour"
     late_sized_files: bool = False
+    late_max_batches: int | None = None
     late_topic: OutputConfig | None = None
     quarantine_path: str | None = None
+    bad_events: str = "fail"
     output: OutputConfig = OutputConfig()
     checkpoint: str | None = None
     trigger: Mapping[str, Any] | None = None
@@ -112,8 +116,10 @@ class PipelineConfig:
             late_path=late.get("path"),
             max_lateness=late.get("max_lateness", "1 hour"),
             late_sized_files=bool(late.get("sized_files", False)),
+            late_max_batches=late.get("max_batches"),
             late_topic=_output({**_topic(late), "type": "kafka"}) if late.get("topic") else None,
             quarantine_path=section["quarantine"].get("path"),
+            bad_events=section["quarantine"].get("bad_events", "quarantine" if section["quarantine"].get("path") else "fail"),
             output=_output(section["output"]),
             checkpoint=config.get("checkpoint"),
             trigger=config.get("trigger"),
@@ -139,6 +145,8 @@ class PipelineConfig:
             raise ValueError("panes are for sliding windows behind the late router, written to parquet")
         if self.late_topic and not self.late_path:
             raise ValueError("a topic of late events is filled from the late router's path; give both")
+        if self.bad_events not in BAD_EVENTS or (self.bad_events == "quarantine") != bool(self.quarantine_path):
+            raise ValueError("bad events fail, are dropped, or go to quarantine, which needs a path")
         if self.late_path and self.quarantine_path:
             raise ValueError("the late router has a quarantine of its own; give one path")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from typing import Any
@@ -10,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from millrace.functions.folders import shared_folder
-from millrace.operators.decode import decode_checked, decode_events, good_events, quarantined
+from millrace.operators.decode import decode_checked, good_events, no_bad_events, quarantined
 from millrace.operators.dedup import deduplicate
 from millrace.operators.windows import aggregate_windows, with_event_watermark
 from millrace.plans.config import PipelineConfig
 from millrace.sources.event_log import read_log, stream_log
-from millrace.sources.kafka import kafka_stream
+from millrace.sources.kafka import kafka_replay, kafka_stream
 from millrace.streaming.router import LateRouter
 from millrace.streaming.sinks import console_sink, kafka_sink, output_mode, parquet_sink, table_sink
 from millrace.streaming.triggers import AVAILABLE_NOW, triggered
@@ -24,6 +24,7 @@ from millrace.streaming.upsert import UpsertTable, merge_into
 
 
 # Sessions of a hot key are merged in the task that read them, before the shuffle.
+_POLL_SECONDS = 0.5
 _MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
@@ -57,14 +58,14 @@ def build_session(config: PipelineConfig) -> SparkSession:
 @contextmanager
 def _settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
     """Set while queries start: each query keeps a copy of the settings it was started with."""
-    before = {name: spark.conf.get(name) for name in settings}
+    before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class EventPipeline:
@@ -89,19 +90,26 @@ class EventPipeline:
             )
         raise ValueError("events are handed to on_table or start, not read")
 
-    def log_table(self, spark: SparkSession) -> DataFrame:
-        """The whole file log, to run the pipeline over its history."""
-        if self.config.source.kind != "files":
-            raise ValueError("only a file log is read as a table here; see kafka_replay for topics")
-        return read_log(spark, self.config.source.path, format=self.config.source.format)
+    def log_table(self, spark: SparkSession, **bounds: Any) -> DataFrame:
+        """The log as a table, to run the pipeline over its history; of topics the part between ``start`` and ``end``."""
+        source = self.config.source
+        if source.kind == "kafka":
+            names = ("bootstrap_servers", "topics", "min_partitions")
+            kafka = {name: source.kafka[name] for name in names if name in source.kafka}
+            return kafka_replay(spark, kafka.pop("bootstrap_servers"), kafka.pop("topics"), **kafka, **bounds)
+        if source.kind != "files" or bounds:
+            raise ValueError("only a file log, whole, and topics are read as tables; see replay for parts of a log")
+        return read_log(spark, source.path, format=source.format)
 
     def decode(self, log: DataFrame) -> DataFrame:
-        """Good events of a log; events of an ``events`` source come decoded already."""
+        """Good events of a log; events of an ``events`` source come decoded and checked already.
+
+        A bad event goes to quarantine, is dropped, or ends the query, as configured.
+        """
         if self.config.source.kind == "events":
             return log
-        if self.config.quarantine_path is not None:
-            return good_events(decode_checked(log, self.config.schema, self.config.required))
-        return decode_events(log, self.config.schema)
+        checked = decode_checked(log, self.config.schema, self.config.required)
+        return good_events(checked) if self.config.bad_events != "fail" else no_bad_events(checked)
 
     def transform(self, events: DataFrame) -> DataFrame:
         config = self.config
@@ -125,6 +133,7 @@ class EventPipeline:
         """Start all queries of the pipeline and return them, the one that writes the result last."""
         if any(query.isActive for query in self.queries):
             raise RuntimeError("the pipeline is running")
+        self._checkpoint()
         self.queries = []
         try:
             with _settings(spark, self._query_settings()):
@@ -141,17 +150,35 @@ class EventPipeline:
             if self.config.quarantine_path is not None:
                 self._keep(self._quarantine_writer(spark, log))
             events = self.decode(log)
-        self._keep(self.writer(self.transform(events), self._checkpoint(spark)))
+        if self.config.late_path is not None and self.config.trigger == AVAILABLE_NOW:
+            router = self.router()
+            while router.release(spark) == router.release_batches is not None:
+                self._writer_of(events).start().awaitTermination()
+        self.queries.append(self._writer_of(events).start())
         return self.queries
 
+    def _writer_of(self, events: DataFrame) -> DataStreamWriter:
+        return triggered(self.writer(self.transform(events), self._checkpoint()), self.config.trigger)
+
     def stop(self) -> None:
         """Stop the queries after their running batch is given up; a restart resumes from the checkpoints."""
         for query in reversed(self.queries):
             query.stop()
 
-    def await_all(self, timeout: float | None = None) -> None:
-        for query in self.queries:
-            query.awaitTermination(timeout) if timeout is not None else query.awaitTermination()
+    def await_all(self, timeout: float | None = None) -> bool:
+        """Wait until all queries have ended; say whether they have. If one fails, the others are stopped and it raises."""
+        until = None if timeout is None else time.monotonic() + timeout
+        while active := [query for query in self.queries if query.isActive]:
+            if any(query.exception() for query in self.queries if not query.isActive):
+                break
+            if until is not None and time.monotonic() >= until:
+                return False
+            active[0].awaitTermination(_POLL_SECONDS)
+        failed = [error for query in self.queries if (error := query.exception())]
+        if failed:
+            self.stop()
+            raise failed[0]
+        return True
 
     def writer(self, result: DataFrame, checkpoint: str) -> DataStreamWriter:
         config, output = self.config, self.config.output
@@ -180,14 +207,14 @@ class EventPipeline:
             max_lateness=self.config.max_lateness,
             time_column=self.config.time_column,
             sized_files=self.config.late_sized_files,
+            release=self.config.late_max_batches,
         )
 
     def _query_settings(self) -> dict[str, str]:
-        settings = {}
-        if self.config.window.kind == "session":
-            settings[_MERGE_SESSIONS] = "true"
-        if self.config.shuffle_partitions is not None:
-            settings["spark.sql.shuffle.partitions"] = str(self.config.shuffle_partitions)
+        """What ``session_settings`` recommends, for the queries alone: on the caller's own session it is not set."""
+        settings = session_settings(self.config)
+        if self.config.window.kind != "session":
+            del settings[_MERGE_SESSIONS]
         return settings
 
     def _result_key(self) -> list[str]:
@@ -212,16 +239,18 @@ class EventPipeline:
     def late_writer(self, spark: SparkSession, schema: T.StructType) -> DataStreamWriter:
         """The side output, sent on to a topic of late events."""
         topic, late = self.config.late_topic, self.router().late_stream(spark, schema)
-        checkpoint = f"{self._checkpoint(spark)}-late-topic"
+        checkpoint = f"{self._checkpoint()}-late-topic"
         return kafka_sink(late, topic.servers, topic.topic, "append", checkpoint, key=topic.key)
 
     def _quarantine_writer(self, spark: SparkSession, log: DataFrame) -> DataStreamWriter:
         bad = quarantined(decode_checked(log, self.config.schema, self.config.required))
-        checkpoint = f"{self._checkpoint(spark)}-quarantine"
+        checkpoint = f"{self._checkpoint()}-quarantine"
         return parquet_sink(bad, self.config.quarantine_path, checkpoint, partition_by=None)
 
     def _keep(self, writer: DataStreamWriter) -> None:
         self.queries.append(triggered(writer, self.config.trigger).start())
 
-    def _checkpoint(self, spark: SparkSession) -> str:
-        return self.config.checkpoint or f"{shared_folder(spark).rstrip('/')}/{self.config.app_name}"
+    def _checkpoint(self) -> str:
+        if not self.config.checkpoint:
+            raise ValueError("a stream needs a checkpoint folder of its own: set checkpoint")
+        return self.config.checkpoint

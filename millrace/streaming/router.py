@@ -10,10 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions.durations import to_micros
 from millrace.operators.decode import MISSING
 from millrace.operators.late import LATE_REASON, enrich_late, with_late_metadata
-from millrace.streaming.files import SharedFiles
-from millrace.streaming.triggers import triggered
+from millrace.operators.windows import DATE_COLUMN, utc_date
+from millrace.streaming.files import SharedFiles, writer_of
+from millrace.streaming.triggers import AVAILABLE_NOW, triggered
 
 ON_TIME, LATE, QUARANTINE = "on_time", "late", "quarantine"
+WAITING = "waiting"
+#: Records of older batches are removed; only that of the last one is ever needed.
+MARKS_KEPT = 100
 _LATE_COLUMNS = ("arrival_time", "lateness_seconds", "lateness_class", "_late_metadata")
 _QUARANTINE_COLUMNS = ("quarantine_reason", "raw_value")
 
@@ -31,10 +35,15 @@ class LateRouter:
     one batch later), so an aggregate over the on-time log with the same delay drops nothing. Late events are
     not lost either: ``reprocess`` adds them to the windows they belong to.
 
+    The logs are partitioned by ``utc_date`` of the event time, for ``reprocess``. A stream over the on-time log must read
+    whole batches: part of one would move the watermark past the rest. To bound what such a stream reads at once, give
+    ``release``: batches then wait until they are released, so many at a time. A router that runs on releases so many
+    with every batch it writes; over a backlog call ``release`` between the runs of the other stream.
+
     Every task that read a part of the batch writes a file per side. Where that makes many small files of late
     events, ``sized_files`` shuffles the batch into files of even size first (with adaptive execution).
 
-    One router writes to a root. Renaming must be atomic (HDFS; not object stores).
+    One router writes to a root, with one checkpoint; another one is refused. Renaming must be atomic (HDFS; not object stores).
     """
 
     def __init__(
@@ -47,7 +56,11 @@ class LateRouter:
         arrival_column: str = "kafka_timestamp",
         reason: str = LATE_REASON,
         sized_files: bool = False,
+        release: int | None = None,
     ) -> None:
+        if release is not None and release < 1:
+            raise ValueError("at least one batch is released at a time")
+        self.release_batches = release
         self.root = root.rstrip("/")
         self.delay_micros = to_micros(delay)
         to_micros(max_lateness)
@@ -69,11 +82,18 @@ class LateRouter:
         files = SharedFiles(events.sparkSession)
         for side in (ON_TIME, LATE, QUARANTINE):
             files.make_folder(self.path(side))
-        writer = events.writeStream.foreachBatch(self.route_batch).option("checkpointLocation", self.checkpoint)
+
+        def route(batch: DataFrame, batch_id: int) -> None:
+            self.route_batch(batch, batch_id)
+            if trigger != AVAILABLE_NOW:
+                self.release(batch.sparkSession)
+
+        writer = events.writeStream.foreachBatch(route).option("checkpointLocation", self.checkpoint)
         return triggered(writer, trigger).start()
 
     def route_batch(self, batch: DataFrame, batch_id: int) -> None:
         files = SharedFiles(batch.sparkSession)
+        self._refuse_other_writers(files, writer_of(batch))
         if files.exists(self._mark(batch_id)):
             return
         prior = self._prior_high(files, batch_id)
@@ -83,12 +103,39 @@ class LateRouter:
         sided = self._sided(batch, prior).observe(seen, F.max(routable).alias("high"))
         if self.sized_files:
             sided = sided.hint("rebalance")
-        sided.write.mode("overwrite").partitionBy("__side").parquet(staged)
+        if DATE_COLUMN in sided.columns:
+            raise ValueError(f"events have a column {DATE_COLUMN!r}, by which the logs are partitioned")
+        dated = sided.withColumn(DATE_COLUMN, utc_date(sided, self.time_column))
+        dated.write.mode("overwrite").partitionBy("__side", DATE_COLUMN).parquet(staged)
         for side in (ON_TIME, LATE, QUARANTINE):
-            files.publish(f"{staged}/__side={side}", f"{self.path(side)}/batch_id={batch_id}")
+            waits = side == ON_TIME and self.release_batches is not None
+            if waits and files.exists(f"{self.path(ON_TIME)}/batch_id={batch_id}"):
+                continue
+            files.publish(f"{staged}/__side={side}", f"{self.path(WAITING if waits else side)}/batch_id={batch_id}")
         highs = [high for high in (prior, seen.get["high"]) if high is not None]
         files.write_json(self._mark(batch_id), {"prior": prior, "high": max(highs, default=None)})
         files.discard(staged)
+        files.discard(self._mark(batch_id - MARKS_KEPT))
+
+    def release(self, spark: SparkSession) -> int:
+        """Put the oldest waiting batches into the on-time log, as many as one run may read, and say how many."""
+        if self.release_batches is None:
+            return 0
+        files = SharedFiles(spark)
+        waiting = sorted(int(name.removeprefix("batch_id=")) for name in files.names(self.path(WAITING)) if name.startswith("batch_id="))
+        for batch_id in waiting[: self.release_batches]:
+            files.publish(f"{self.path(WAITING)}/batch_id={batch_id}", f"{self.path(ON_TIME)}/batch_id={batch_id}")
+        return len(waiting[: self.release_batches])
+
+    def _refuse_other_writers(self, files: SharedFiles, writer: str) -> None:
+        """Batch numbers of another query mean other batches: taking them for repeated ones would lose events."""
+        record = f"{self.root}/_writer.json"
+        files.write_json(record, {"writer": writer}, keep=True)
+        if (owner := files.read_json(record)["writer"]) != writer:
+            raise ValueError(
+                f"{self.root} belongs to another checkpoint (query {owner}, not {writer}); restore {self.checkpoint} "
+                "or route to a new root"
+            )
 
     def _mark(self, batch_id: int) -> str:
         return f"{self.root}/_marks/{batch_id}.json"
@@ -123,24 +170,28 @@ class LateRouter:
         return described.withColumns(only_late)
 
     def on_time_stream(self, spark: SparkSession, schema: T.StructType, **options: str) -> DataFrame:
-        """The on-time log as a stream, in batch order."""
+        """The on-time log as a stream, in batch order; each run reads all that is released."""
+        if limits := {name for name in options if name.lower() in ("maxfilespertrigger", "maxbytespertrigger")}:
+            raise ValueError(f"{sorted(limits)} would take batches apart and lose events; let the router release batches")
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
-        return spark.readStream.schema(T.StructType(wanted)).options(**options).parquet(self.path(ON_TIME))
+        # The partition columns are named, or a stream begun over an empty log would not know them.
+        stream = spark.readStream.schema(T.StructType([*wanted, _BATCH_ID, _DATE])).options(**options)
+        return stream.parquet(self.path(ON_TIME)).drop(_BATCH_ID.name, _DATE.name)
 
     def late_stream(self, spark: SparkSession, schema: T.StructType, **options: str) -> DataFrame:
         """The side output as a stream, for example to a topic of late events."""
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
-        side_output = T.StructType([*wanted, *_LATE_FIELDS])
-        return spark.readStream.schema(side_output).options(**options).parquet(self.path(LATE))
+        stream = spark.readStream.schema(T.StructType([*wanted, *_LATE_FIELDS, _BATCH_ID, _DATE])).options(**options)
+        return stream.parquet(self.path(LATE)).drop(_BATCH_ID.name, _DATE.name)
 
     def read_on_time(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
-        return spark.read.schema(T.StructType([*wanted, _BATCH_ID])).parquet(self.path(ON_TIME))
+        return spark.read.schema(T.StructType([*wanted, _BATCH_ID, _DATE])).parquet(self.path(ON_TIME))
 
     def read_late(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         """The side output: the event columns and what is known of the lateness."""
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
-        return spark.read.schema(T.StructType([*wanted, *_LATE_FIELDS, _BATCH_ID])).parquet(self.path(LATE))
+        return spark.read.schema(T.StructType([*wanted, *_LATE_FIELDS, _BATCH_ID, _DATE])).parquet(self.path(LATE))
 
     def read_quarantine(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         reason = [] if "quarantine_reason" in schema.names else [T.StructField("quarantine_reason", T.StringType())]
@@ -148,6 +199,7 @@ class LateRouter:
 
 
 _BATCH_ID = T.StructField("batch_id", T.LongType())
+_DATE = T.StructField(DATE_COLUMN, T.DateType())
 _LATE_FIELDS = (
     T.StructField("arrival_time", T.TimestampType()),
     T.StructField("lateness_seconds", T.LongType()),

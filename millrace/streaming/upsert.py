@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.durations import to_micros
 from millrace.operators.cdc import live_rows, newest_changes, split_changes
-from millrace.streaming.files import SharedFiles, publish_batch
+from millrace.streaming.files import SharedFiles, generation_of, publish_batch
+
+_CORRECTED, _DELETED = "__corrected", "__deleted"
 
 
 class UpsertTable:
-    """A parquet folder with upsert semantics: ``deltas/batch_id=n`` and, after ``compact``, ``base/upto=n``.
+    """A parquet folder with upsert semantics: ``deltas/generation=g/batch_id=n`` and, after ``compact``, ``base/number=k``.
 
-    ``order_by`` tells which of two rows with equal ``keys`` is newer; by default the later batch. With columns
-    of the data, such as ``ts_ms, offset``, the order in which batches arrive does not matter.
+    Every writer, told by the id of its streaming query, has a generation of its own: a batch that its writer
+    repeats changes nothing, and a stream with a new checkpoint goes on above what the former one wrote.
+    ``order_by`` tells which of two rows with equal ``keys`` is newer; by default the later generation and batch.
+    With columns of the data, such as ``ts_ms, offset``, the order in which batches arrive does not matter.
+    Corrections stand above all that streams write. Where a table format with MERGE is at hand, use ``merge_into``.
     """
 
-    def __init__(self, path: str, keys: Sequence[str], order_by: Sequence[str] = ("batch_id",)) -> None:
+    def __init__(self, path: str, keys: Sequence[str], order_by: Sequence[str] = ("generation", "batch_id")) -> None:
         if not keys:
             raise ValueError("an upsert needs key columns")
         self.path = path.rstrip("/")
@@ -26,44 +33,113 @@ class UpsertTable:
         self.order_by = list(order_by)
 
     def upsert_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``. A batch holds at most one row per key; a repeated batch changes nothing."""
-        publish_batch(batch, f"{self.path}/deltas", batch_id)
+        """For ``foreachBatch``. A batch holds at most one row per key."""
+        self._publish(self._marked(batch, corrected=False), batch_id)
+
+    def apply_corrections(self, rows: DataFrame, deletes: DataFrame | None = None, *, writer: str = "corrections") -> None:
+        """Rows that replace those with their keys, and keys to delete, in one step.
+
+        What is corrected stays so whatever a stream writes later, until it is corrected again: a stream behind the late
+        router may write a window once more without the late events. Windows that were still open when
+        they were corrected need another correction at a later time.
+        """
+        changed = self._marked(rows, corrected=True)
+        if deletes is not None:
+            gone = self._marked(deletes.select(*self.keys), corrected=True).withColumn(_DELETED, F.lit(True))
+            changed = changed.unionByName(gone, allowMissingColumns=True)
+        files = SharedFiles(rows.sparkSession)
+        done = self._published(files).get(generation_of(files, self.path, writer), [-1])
+        self._publish(changed, max(done) + 1, writer)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self._newest(self._versions(spark)).drop("batch_id")
+        newest = self._newest(self._versions(spark)).where(~F.col(_DELETED))
+        return newest.drop("generation", "batch_id", _CORRECTED, _DELETED)
 
-    def compact(self, spark: SparkSession) -> int:
-        """Write one new base of all batches published so far and return the last of them.
+    def compact(self, spark: SparkSession, keep: str = "1 day") -> int:
+        """Write a new base of all that is published, unless there is nothing new, and return its number.
 
-        Runs as a batch job beside the stream. Readers use the newest base; older files stay until removed.
+        Runs as a batch job beside the stream. Files that only a base older than ``keep`` was read with are removed
+        with the next compaction after that time; no read may take longer.
         """
-        upto = max(self._numbers(spark, "deltas", "batch_id="), default=None)
-        if upto is None:
+        files = SharedFiles(spark)
+        published = self._published(files)
+        if not published:
             raise ValueError(f"nothing to compact in {self.path}")
-        staged = f"{self.path}/base/_staging/{upto}"
-        target = f"{self.path}/base/upto={upto}"
+        bases = self._bases(files)
+        upto = {str(generation): max(numbers) for generation, numbers in published.items()}
+        number = max(bases, default=-1)
+        if number < 0 or {**bases[number]["upto"], **upto} != bases[number]["upto"]:
+            number += 1
+            staged = f"{self.path}/base/_staging/{number}"
+            self._newest(self._versions(spark, upto)).write.mode("overwrite").parquet(staged)
+            files.publish(staged, f"{self.path}/base/number={number}")
+            before = bases[number - 1]["upto"] if number else {}
+            content = {"upto": {**before, **upto}, "at": time.time()}
+            files.write_json(f"{self.path}/_bases/{number}.json", content)
+            bases[number] = content
+        self._retire(files, bases, published, time.time() - to_micros(keep) / 1e6)
+        return number
+
+    def _retire(self, files: SharedFiles, bases: dict, published: dict, before: float) -> None:
+        """Remove what bases that were newest at ``before`` have made superfluous."""
+        old = [number for number, base in bases.items() if base["at"] <= before]
+        if not old:
+            return
+        for number in [n for n in bases if n < max(old)]:
+            files.discard(f"{self.path}/_bases/{number}.json")
+            files.discard(f"{self.path}/base/number={number}")
+        for generation, numbers in published.items():
+            for batch_id in numbers:
+                if batch_id <= bases[max(old)]["upto"].get(str(generation), -1):
+                    files.discard(f"{self.path}/deltas/generation={generation}/batch_id={batch_id}")
+
+    def _publish(self, rows: DataFrame, batch_id: int, writer: str | None = None) -> None:
+        publish_batch(rows, f"{self.path}/deltas", batch_id, root=self.path, writer=writer)
+
+    @staticmethod
+    def _marked(rows: DataFrame, *, corrected: bool) -> DataFrame:
+        return rows.withColumns({_CORRECTED: F.lit(corrected), _DELETED: F.lit(False)})
+
+    def _published(self, files: SharedFiles) -> dict[int, list[int]]:
+        """The batches in ``deltas`` by generation."""
+        found = {}
+        for name in files.names(f"{self.path}/deltas"):
+            if name.startswith("generation="):
+                below = files.names(f"{self.path}/deltas/{name}")
+                numbers = [int(n.removeprefix("batch_id=")) for n in below if n.startswith("batch_id=")]
+                if numbers:
+                    found[int(name.removeprefix("generation="))] = numbers
+        return found
+
+    def _bases(self, files: SharedFiles) -> dict[int, dict]:
+        names = [n for n in files.names(f"{self.path}/_bases") if n.endswith(".json") and not n.startswith("_")]
+        return {int(n.removesuffix(".json")): files.read_json(f"{self.path}/_bases/{n}") for n in names}
+
+    def _versions(self, spark: SparkSession, limit: dict[str, int] | None = None) -> DataFrame:
+        """All versions that count: the newest base and the batches it does not hold, up to ``limit``."""
         files = SharedFiles(spark)
-        if not files.exists(target):
-            published = self._versions(spark).where(F.col("batch_id") <= upto)
-            self._newest(published).write.mode("overwrite").parquet(staged)
-            files.publish(staged, target)
-        return upto
-
-    def _numbers(self, spark: SparkSession, folder: str, prefix: str) -> list[int]:
-        names = SharedFiles(spark).names(f"{self.path}/{folder}")
-        return [int(name.removeprefix(prefix)) for name in names if name.startswith(prefix)]
-
-    def _versions(self, spark: SparkSession) -> DataFrame:
-        deltas = spark.read.parquet(f"{self.path}/deltas").withColumn("batch_id", F.col("batch_id").cast("long"))
-        upto = max(self._numbers(spark, "base", "upto="), default=None)
-        if upto is None:
-            return deltas
-        base = spark.read.parquet(f"{self.path}/base/upto={upto}")
-        return base.unionByName(deltas.where(F.col("batch_id") > upto))
+        bases = self._bases(files)
+        number = max(bases, default=None)
+        held = {} if number is None else bases[number]["upto"]
+        paths = [
+            f"{self.path}/deltas/generation={generation}/batch_id={batch_id}"
+            for generation, numbers in self._published(files).items()
+            for batch_id in numbers
+            if held.get(str(generation), -1) < batch_id <= (limit or {}).get(str(generation), batch_id)
+        ]
+        parts = []
+        if number is not None:
+            parts.append(spark.read.parquet(f"{self.path}/base/number={number}"))
+        if paths:
+            deltas = spark.read.option("basePath", f"{self.path}/deltas").parquet(*paths)
+            parts.append(deltas.withColumns({name: F.col(name).cast("long") for name in ("generation", "batch_id")}))
+        if not parts:
+            raise ValueError(f"nothing was written to {self.path} yet")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
     def _newest(self, versions: DataFrame) -> DataFrame:
         rest = [name for name in versions.columns if name not in self.keys]
-        newest = F.max_by(F.struct(*rest), F.struct(*self.order_by)).alias("__newest")
+        newest = F.max_by(F.struct(*rest), F.struct(_CORRECTED, *self.order_by)).alias("__newest")
         return versions.groupBy(*self.keys).agg(newest).select(*self.keys, "__newest.*")
 
 
@@ -92,7 +168,8 @@ class ChangeTable:
     Each micro-batch is reduced to the newest change per key and appended; a read takes the newest of all
     batches by change time and offset and leaves deleted rows out. No state is held between batches, deletes
     stay on record so that an older update cannot bring a row back, and batches may come in any order. Changes
-    with an unknown operation go to ``quarantine``.
+    that ``split_changes`` finds bad go to ``quarantine``; give it ``decode_changes_checked`` rows, or a value of a
+    wrong type is taken for null.
     """
 
     def __init__(self, path: str, key: str = "id") -> None:
@@ -103,7 +180,8 @@ class ChangeTable:
         """For ``foreachBatch`` over decoded changes."""
         changes.persist()
         try:
-            publish_batch(split_changes(changes)[1], f"{self.changes.path}/quarantine", batch_id)
+            bad = split_changes(changes, self.key)[1]
+            publish_batch(bad, f"{self.changes.path}/quarantine", batch_id, root=self.changes.path)
             self.changes.upsert_batch(newest_changes(changes, self.key), batch_id)
         finally:
             changes.unpersist()
@@ -111,5 +189,5 @@ class ChangeTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return live_rows(self.changes.read(spark))
 
-    def compact(self, spark: SparkSession) -> int:
-        return self.changes.compact(spark)
+    def compact(self, spark: SparkSession, keep: str = "1 day") -> int:
+        return self.changes.compact(spark, keep)

@@ -5,13 +5,14 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
-from streams import EVENT, GOLDEN, Feed, rows
+from streams import EVENT, GOLDEN, Feed, golden, rows
 
 from millrace.operators import EventWindow, aggregate_windows, encode_events, to_log
 from millrace.plans.config import PipelineConfig
 from millrace.plans.pipeline import EventPipeline, session_settings
 from millrace.sources import kafka_replay, kafka_stream, read_log, replay, replay_options, stream_options, write_log
 from millrace.streaming import AVAILABLE_NOW, UpsertTable, kafka_options, merge_into
+from millrace.streaming.files import SharedFiles
 
 KAFKA = {"kafka": {"bootstrap_servers": "localhost:9092", "topics": ["orders", "order-events"]}}
 SCHEMA = {"event_time": "timestamp", "k": "string", "q": "long"}
@@ -36,6 +37,7 @@ def test_kafka_stream_options():
 
 def test_kafka_replay_options():
     options = replay_options("h:1", ["orders"], start={"orders": {"0": 5}}, end="latest", min_partitions=64)
+    assert options["failOnDataLoss"] == "true"
     assert options["startingOffsets"] == '{"orders": {"0": 5}}'
     assert (options["endingOffsets"], options["minPartitions"]) == ("latest", "64")
     timed = replay_options("h:1", ["orders"], start={"orders": {0: 1000}}, end={"orders": {0: 2000}}, by_timestamp=True)
@@ -57,7 +59,8 @@ def test_kafka_is_asked_for_by_its_name(spark, folder):
     calls = [
         lambda: kafka_stream(spark, "h:1", ["orders"]),
         lambda: kafka_replay(spark, "h:1", ["orders"]),
-        lambda: EventPipeline(KAFKA).start(spark),
+        lambda: EventPipeline({**KAFKA, "checkpoint": f"{folder}/c0"}).start(spark),
+        lambda: EventPipeline(KAFKA).log_table(spark, start="earliest"),
     ]
     feed = Feed(spark, f"{folder}/in")
     feed.add(rows(GOLDEN[0]))
@@ -131,6 +134,9 @@ def test_a_whole_configuration(spark):
         {**KAFKA, "late": {"path": "x", "max_lateness": "never"}},
         {**KAFKA, "late": {"path": "x"}, "quarantine": {"path": "y"}},
         {**KAFKA, "late": {"path": "x", "topic": "late-events"}},
+        {**KAFKA, "quarantine": {"bad_events": "quarantine"}},
+        {**KAFKA, "quarantine": {"bad_events": "drop", "path": "y"}},
+        {**KAFKA, "quarantine": {"bad_events": "ignore"}},
         {**KAFKA, "processing": {"window_type": "sliding", "panes": True}},
         {**KAFKA, "processing": {"panes": True}, "late": {"path": "x"}, "output": {"type": "parquet", "path": "y"}},
         {**KAFKA, "late": {"topic": "late-events", "bootstrap_servers": "h:1"}},
@@ -223,6 +229,63 @@ def test_quarantine_beside_the_result(spark, folder):
     assert [r["k"] for r in spark.read.parquet(f"{folder}/out").collect()] == ["a"]
 
 
+def test_bad_events_fail_or_are_dropped(spark, folder):
+    write_log(messages(spark, ["01:00 a", "01:00 bad", "02:00 b"], ["[1]"]), f"{folder}/log")
+    config = {
+        **base("files", path=f"{folder}/log"),
+        "required": ["k", "event_time"],
+        "output": {"type": "table", "path": f"{folder}/out"},
+        "trigger": AVAILABLE_NOW,
+    }
+    with pytest.raises(ValueError, match="checkpoint"):
+        EventPipeline(config).start(spark)
+    failing = EventPipeline({**config, "checkpoint": f"{folder}/c"})
+    failing.start(spark)
+    with pytest.raises(Exception, match="bad event at orders/0"):
+        failing.await_all()
+    with pytest.raises(Exception, match="malformed_json"):
+        failing.on_table(failing.log_table(spark)).collect()
+    dropping = EventPipeline({**config, "checkpoint": f"{folder}/c2", "quarantine": {"bad_events": "drop"}})
+    dropping.start(spark)
+    assert dropping.await_all(120)
+    assert sorted(r["k"] for r in dropping.upserted().read(spark).collect()) == ["a", "b"]
+
+
+def test_the_first_failure_stops_the_other_queries(spark, folder, monkeypatch):
+    feed = golden(spark, f"{folder}/in")
+    output = {"type": "table", "path": f"{folder}/t"}
+    late = {"path": f"{folder}/routed"}
+    pipeline = EventPipeline({**base("events"), "late": late, "output": output, "checkpoint": f"{folder}/c"})
+    router, result = pipeline.start(spark, feed.stream())
+    assert not pipeline.await_all(1)
+    result.stop()
+    monkeypatch.setattr("millrace.streaming.router.writer_of", lambda batch: "another")
+    feed.add(rows(["59:00 a"]))
+    with pytest.raises(Exception, match="another checkpoint"):
+        pipeline.await_all(120)
+    assert not any(query.isActive for query in pipeline.queries)
+
+
+def test_a_backlog_is_read_some_batches_at_a_time(spark, folder):
+    for batch in GOLDEN:
+        write_log(messages(spark, batch), f"{folder}/log")
+    config = {
+        **base("files", path=f"{folder}/log", max_files_per_trigger=1),
+        "late": {"path": f"{folder}/routed", "max_batches": 1},
+        "output": {"type": "table", "path": f"{folder}/table"},
+        "checkpoint": f"{folder}/c",
+        "trigger": AVAILABLE_NOW,
+    }
+    pipeline = EventPipeline(config)
+    pipeline.start(spark)
+    assert pipeline.await_all(120)
+    on_time = pipeline.router().read_on_time(spark, pipeline.decode(pipeline.log_table(spark)).schema)
+    expected = aggregate_windows(on_time, EventWindow(), group_by=["k"])
+    table = pipeline.upserted().read(spark).select(*expected.columns)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, expected.collect()))
+    assert SharedFiles(spark).names(f"{folder}/routed/waiting") == []
+
+
 def test_pipeline_with_late_router(spark, folder):
     for batch in GOLDEN:
         write_log(messages(spark, [*batch, "45:00 bad"], ["{"]), f"{folder}/log")

@@ -43,19 +43,28 @@ def test_golden_batches(spark, folder):
     assert described["_late_metadata"]["routed_at"] is not None
 
 
-@pytest.mark.parametrize("files_per_trigger", [1, 3, 1000])
-def test_nothing_is_lost_behind_the_router(spark, folder, files_per_trigger):
-    feed, router = golden(spark, f"{folder}/in"), LateRouter(f"{folder}/routed")
-    routed(router, feed, 1)
-    stream = with_event_watermark(router.on_time_stream(spark, EVENT, maxFilesPerTrigger=str(files_per_trigger)))
-    result = aggregate_windows(stream, EventWindow(), group_by=["k"])
-    query = result.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append")
-    query = finished(query.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start())
-    dropped = [op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]]
-    assert dropped and sum(dropped) == 0
+@pytest.mark.parametrize("release", [1, 2, 1000, None])
+def test_nothing_is_lost_behind_the_router(spark, folder, release):
+    """Batches of many files, read so many batches at a time."""
+    feed, router = Feed(spark, f"{folder}/in"), LateRouter(f"{folder}/routed", release=release)
+    for batch in GOLDEN:
+        feed.add(rows(batch))
+        query = router.start(feed.stream().repartition(5), AVAILABLE_NOW)
+        finished(query)
+    with pytest.raises(ValueError, match="take batches apart"):
+        router.on_time_stream(spark, EVENT, maxFilesPerTrigger="1")
+    dropped, runs = [], 0
+    while router.release(spark) or not runs:
+        stream = with_event_watermark(router.on_time_stream(spark, EVENT))
+        result = aggregate_windows(stream, EventWindow(), group_by=["k"])
+        query = result.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append")
+        query = finished(query.option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start())
+        dropped += [op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]]
+        runs += 1
+    assert dropped and sum(dropped) == 0 and runs == {1: 4, 2: 2}.get(release, 1)
 
     on_time, late = router.read_on_time(spark, EVENT), router.read_late(spark, EVENT)
-    both = on_time.drop("batch_id").unionByName(late.select(EVENT.names))
+    both = on_time.drop("batch_id", "utc_date").unionByName(late.select(EVENT.names))
     assert both.exceptAll(feed.table()).isEmpty() and feed.table().exceptAll(both).isEmpty()
     corrected = reprocess(on_time, late, EventWindow(), group_by=["k"])
     keys = ["window_start", "window_end", "k"]
@@ -113,7 +122,13 @@ def test_a_crash_while_publishing_is_made_good_by_the_repeated_batch(spark, fold
 
 def test_a_crash_before_the_record_is_made_good_too(spark, folder, monkeypatch):
     router, write = LateRouter(folder), SharedFiles.write_json
-    monkeypatch.setattr(SharedFiles, "write_json", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+
+    def crashing(self, path, content, *, keep=False):
+        if "_marks" in path:
+            raise OSError("lost")
+        return write(self, path, content, keep=keep)
+
+    monkeypatch.setattr(SharedFiles, "write_json", crashing)
     with pytest.raises(OSError, match="lost"):
         router.route_batch(batches(spark, 0)[0], 0)
     monkeypatch.setattr(SharedFiles, "write_json", write)
@@ -129,7 +144,7 @@ def test_sized_files(spark, folder):
         router = LateRouter(f"{folder}/{name}", sized_files=sized)
         router.route_batch(batches(spark, 0)[0], 0)
         router.route_batch(many, 1)
-        files = [n for n in SharedFiles(spark).names(f"{router.path(LATE)}/batch_id=1") if n.endswith(".parquet")]
+        files = [n for n in SharedFiles(spark).names(f"{router.path(LATE)}/batch_id=1/utc_date=2024-01-01") if n.endswith(".parquet")]
         assert len(files) == (1 if sized else 8)
         assert router.read_late(spark, EVENT).count() == 40 and router.read_on_time(spark, EVENT).count() == 42
 
@@ -161,3 +176,24 @@ def test_bad_events_go_to_quarantine_and_do_not_move_the_watermark(spark, folder
 def test_a_root_of_another_checkpoint_is_refused(spark, folder):
     with pytest.raises(ValueError, match="another checkpoint"):
         LateRouter(folder).route_batch(batches(spark, 0)[0], 3)
+
+
+def test_a_new_checkpoint_over_an_old_root_is_refused(spark, folder):
+    feed = golden(spark, f"{folder}/in")
+    router = LateRouter(f"{folder}/routed")
+    routed(router, feed)
+    before = content(router.read_on_time(spark, EVENT))
+    SharedFiles(spark).discard(router.checkpoint)
+    feed.add(rows(["59:00 a"]))
+    query = LateRouter(f"{folder}/routed").start(feed.stream(), AVAILABLE_NOW)
+    with pytest.raises(Exception, match="another checkpoint"):
+        query.awaitTermination()
+    assert content(router.read_on_time(spark, EVENT)) == before
+
+
+def test_old_records_are_removed(spark, folder, monkeypatch):
+    monkeypatch.setattr("millrace.streaming.router.MARKS_KEPT", 2)
+    router = LateRouter(folder)
+    for number in range(5):
+        router.route_batch(batches(spark, 0)[0], number)
+    assert SharedFiles(spark).names(f"{folder}/_marks") == ["3.json", "4.json"]
