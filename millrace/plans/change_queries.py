@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.folders import new_folder
+from millrace.functions.schemas import LOG_SCHEMA
 from millrace.operators.cdc import (
     capture_delay,
     change_counts_per_window,
     changed_fields,
     decode_changes,
+    decode_changes_checked,
     latest_state,
     operation_counts,
     route_changes,
@@ -21,7 +23,7 @@ from millrace.operators.cdc import (
 from millrace.operators.windows import EventWindow
 from millrace.plans.registry import query
 from millrace.plans.window_queries import plain
-from millrace.sources.tables import ACCOUNT_ROW, change_log, fed_in_turns
+from millrace.sources.tables import ACCOUNT_ROW, change_log, fed_in_turns, spoiled_change_log
 from millrace.streaming.sinks import run, table_sink
 from millrace.streaming.triggers import AVAILABLE_NOW
 from millrace.streaming.upsert import ChangeTable
@@ -157,3 +159,40 @@ def cdc_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cdc_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_delay(changes(spark, sf_dir))
+
+
+_SPOILED = f"""
+  select source_table, op, "partition", "offset", case
+      when id % 10 = 1 then 'malformed_json'
+      when id % 10 = 2 and op <> 't' then 'malformed_json'
+      when id % 10 in (3, 4) and op <> 't' then 'missing_required'
+      when id % 10 = 5 then 'missing_required'
+      when op = 't' then 'unknown_operation' end reason
+  from ({CHANGES})"""
+
+
+def spoiled_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_changes_checked(spoiled_change_log(spark, sf_dir), ACCOUNT_ROW)
+
+
+@query(
+    "cdc_quarantine_malformed",
+    f"""select 'cdc-accounts' topic, "partition", "offset", reason, true has_text from ({_SPOILED}) where reason is not null""",
+)
+def cdc_quarantine_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken messages with their text and their place in the log."""
+    bad = split_changes(spoiled_changes(spark, sf_dir))[1]
+    has_text = F.coalesce(F.length("raw_value") > 0, F.lit(False))
+    return bad.select("topic", "partition", "offset", F.col("quarantine_reason").alias("reason"), has_text.alias("has_text"))
+
+
+@query("cdc_latest_state_dirty", f"select * from ({STATE}) where id % 10 not between 1 and 5")
+def cdc_latest_state_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current rows from a log with broken messages, through the stream: only good changes count."""
+    work = new_folder(spark, "dirty")
+    spoiled_change_log(spark, sf_dir).write.parquet(f"{work}/log")
+    log = spark.readStream.schema(LOG_SCHEMA).parquet(f"{work}/log")
+    table = ChangeTable(f"{work}/table")
+    changes = decode_changes_checked(log, ACCOUNT_ROW)
+    run(table_sink(changes, table.apply_batch, "append", f"{work}/checkpoint"), AVAILABLE_NOW).awaitTermination()
+    return table.read(spark)

@@ -17,7 +17,7 @@ from millrace.operators.decode import (
 from millrace.operators.dedup import deduplicate
 from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
-from millrace.plans.window_queries import METRICS, ORDERS, PASSED, cores, orders, plain, tumbling
+from millrace.plans.window_queries import METRICS, ORDERS, PASSED, cores, orders, plain, sessions, sliding, tumbling
 from millrace.sources.event_log import read_log, replay, stream_log, write_log
 from millrace.sources.tables import EXACT_ORDER, events, fed_in_turns, order_log, redelivered, spoiled_log
 from millrace.streaming.sinks import parquet_sink, run
@@ -205,3 +205,78 @@ def sink_upsert_final(spark: SparkSession, sf_dir: str) -> DataFrame:
         pipeline.start(spark, spark.readStream.schema(weekly.schema).parquet(folder))
         pipeline.await_all()
     return plain(UpsertTable(f"{work}/table", ["window_start", "window_end", "event_type"]).read(spark))
+
+
+@query("sink_upsert_restart", tumbling(METRICS, "1 hour"))
+def sink_upsert_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table filled by a stream per week, each with a checkpoint of its own: batch numbers begin again every time.
+
+    A week's stream is handed the events of all weeks up to then, so that its windows are whole.
+    """
+    work = new_folder(spark, "restart")
+    source = orders(spark, sf_dir)
+    weekly = source.withColumn("week", F.date_format(F.date_trunc("week", "kafka_timestamp"), "yyyy-MM-dd"))
+    for turn, folder in enumerate(fed_in_turns(weekly, "week")):
+        pipeline = EventPipeline(
+            {
+                "source": {"type": "events"},
+                "watermark": {"delay": WHOLE_HISTORY},
+                "processing": {"window_type": "tumbling", "window_duration": "1 hour"},
+                "output": {"type": "table", "path": f"{work}/table"},
+                "checkpoint": f"{work}/checkpoint-{turn}",
+                "trigger": AVAILABLE_NOW,
+                "shuffle_partitions": cores(spark),
+            }
+        )
+        pipeline.start(spark, spark.readStream.schema(weekly.schema).parquet(folder))
+        pipeline.await_all()
+    return plain(pipeline.upserted().read(spark))
+
+
+@query(
+    "pipeline_required",
+    f"""select event_type, count(*) event_count from ({ORDERS})
+        where not (quantity < 25 and event_type in ('error', 'view', 'click', 'signup', 'purchase')) group by 1""",
+)
+def pipeline_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configured pipeline over a log with spoiled messages: what lacks a required field never comes through."""
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "files", "path": "handed over"},
+            "schema": EXACT_ORDER,
+            "required": ["order_id", "customer_id", "event_time"],
+            "quarantine": {"bad_events": "drop"},
+            "processing": {"window_type": "none"},
+        }
+    )
+    good = pipeline.on_table(spoiled_log(events(spark, sf_dir)))
+    return good.groupBy("event_type").agg(F.count(F.lit(1)).alias("event_count"))
+
+
+@query(
+    "window_kinds",
+    f"""select 'tumbling' kind, count(*) windows, sum(n)::bigint events from ({tumbling("count(*) n", "1 hour")})
+        union all select 'sliding', count(*), sum(n)::bigint from ({sliding("count(*) n", "1 hour", "15 minutes", 4)})
+        union all select 'session', count(*), sum(n)::bigint from ({sessions("count(*) n", "30 minutes", "event_type")})
+        union all select 'none', count(*), count(*) from events""",
+)
+def window_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of window chosen by configuration alone."""
+    parts = []
+    for kind in ("tumbling", "sliding", "session", "none"):
+        pipeline = EventPipeline(
+            {
+                "source": {"type": "events"},
+                "processing": {
+                    "window_type": kind,
+                    "window_duration": "1 hour",
+                    "slide_duration": "15 minutes",
+                    "session_gap": "30 minutes",
+                    "aggregations": {"n": "count(*)"},
+                },
+            }
+        )
+        result = pipeline.on_table(orders(spark, sf_dir))
+        number = F.sum("n") if kind != "none" else F.count(F.lit(1))
+        parts.append(result.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("windows"), number.alias("events")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.folders import new_folder
 from millrace.functions.measures import ORDER_METRICS
+from millrace.operators.decode import encode_events
 from millrace.operators.late import enrich_late, lateness_profile, mark_late, split_late, with_lateness
 from millrace.operators.reprocess import reprocess, reprocess_sessions, touched_windows
 from millrace.operators.windows import EventWindow
@@ -101,6 +102,18 @@ def late_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         using (window_start, event_type)""",
 )
 def late_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on_time, late = sides(spark, sf_dir)
+    return plain(reprocess(on_time, late, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS))
+
+
+@query(
+    "late_touched_windows",
+    f"""select * from ({tumbling(METRICS)}) semi join
+          (select distinct time_bucket(interval '1 hour', event_time) window_start, event_type from ({LATE_ORDERS}))
+        using (window_start, event_type)""",
+)
+def late_touched_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows from a table that holds both sides, in one aggregate."""
     marked_rows = marked_orders(spark, sf_dir)
     return plain(touched_windows(marked_rows, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS))
 
@@ -247,6 +260,111 @@ def late_router_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     on_time = pipeline.router().read_on_time(spark, source.schema)
     late = pipeline.router().read_late(spark, source.schema)
     corrected = reprocess(on_time, late, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS)
-    keys = ["window_start", "window_end", "event_type"]
-    unchanged = pipeline.upserted().read(spark).join(corrected.select(*keys), keys, "left_anti")
-    return plain(unchanged.unionByName(corrected))
+    pipeline.upserted().apply_corrections(corrected)
+    return plain(pipeline.upserted().read(spark))
+
+
+_WEEKLY_SESSIONS = sessions("count(*) event_count, bool_or(is_late) touched", "30 minutes", source=marked("week"))
+
+
+@query(
+    "late_sessions_complete",
+    f"""select * exclude (touched) from ({_WEEKLY_SESSIONS})
+        where touched or window_end <= (select max(ts) - interval 10 minutes from events)""",
+)
+def late_sessions_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed sessions of the on-time log, corrected by the side output: joined ones deleted, longer ones added."""
+    work, source = new_folder(spark, "sessions"), weekly(spark, sf_dir)
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "events"},
+            "processing": {
+                "window_type": "session",
+                "session_gap": "30 minutes",
+                "group_by": ["customer_id"],
+                "aggregations": {"event_count": "count(*)"},
+            },
+            "late": {"path": f"{work}/routed"},
+            "output": {"type": "table", "path": f"{work}/table"},
+            "checkpoint": f"{work}/checkpoint",
+            "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
+        }
+    )
+    for folder in fed_in_turns(source, "week"):
+        pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
+        pipeline.await_all()
+    on_time, late = (read(spark, source.schema) for read in (pipeline.router().read_on_time, pipeline.router().read_late))
+    spec = {"event_count": "count(*)"}
+    new, former = reprocess_sessions(on_time, late, SESSION, group_by=["customer_id"], aggregations=spec)
+    pipeline.upserted().apply_corrections(new, former)
+    return plain(pipeline.upserted().read(spark))
+
+
+def hourly(source: str) -> str:
+    """Order metrics per hour and event type in SQL."""
+    start = "time_bucket(interval '1 hour', event_time)"
+    return f"select {start} window_start, {start} + interval '1 hour' window_end, event_type, {METRICS} from ({source}) group by all"
+
+
+@query("late_router_backlog", hourly(f"select * from ({marked('week')}) where not is_late"))
+def late_router_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All weeks are routed first; the windows then read them one batch at a time and lose nothing."""
+    work, source = new_folder(spark, "backlog"), weekly(spark, sf_dir)
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "events"},
+            "processing": {"window_type": "tumbling", "window_duration": "1 hour"},
+            "late": {"path": f"{work}/routed", "max_batches": 1},
+            "output": {"type": "table", "path": f"{work}/table"},
+            "checkpoint": f"{work}/checkpoint",
+            "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
+        }
+    )
+    for folder in fed_in_turns(source, "week"):
+        log = spark.readStream.schema(source.schema).parquet(folder)
+        pipeline.router().start(log, AVAILABLE_NOW).awaitTermination()
+    pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
+    pipeline.await_all()
+    return plain(pipeline.upserted().read(spark))
+
+
+@query(
+    "stream_late_dropped",
+    f"""select * from ({hourly(f"""
+          select * from ({marked("week")})
+          where wm is null or time_bucket(interval '1 hour', event_time) + interval '1 hour' > wm""")})
+        where window_end <= (select max(ts) - interval 10 minutes from events)""",
+)
+def stream_late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream without the router: Spark drops the events of windows that the watermark has closed."""
+    work, source = new_folder(spark, "dropped"), weekly(spark, sf_dir)
+    for folder in fed_in_turns(source, "week"):
+        pipeline = EventPipeline(
+            {
+                "source": {"type": "events"},
+                "processing": {"window_type": "tumbling", "window_duration": "1 hour"},
+                "output": {"type": "parquet", "path": f"{work}/out", "partition_by": None},
+                "checkpoint": f"{work}/checkpoint",
+                "trigger": AVAILABLE_NOW,
+                "shuffle_partitions": cores(spark),
+            }
+        )
+        pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
+        pipeline.await_all()
+    return plain(spark.read.parquet(f"{work}/out"))
+
+
+@query(
+    "late_messages",
+    f"""select order_id, order_id "key", lateness_seconds, 'late_arrival' reason,
+          case when arrival <= event_time + interval '1 hour' then 'within_max' else 'beyond_max' end lateness_class
+        from ({LATE_ORDERS})""",
+)
+def late_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages for a topic of late events, decoded again."""
+    _, late = sides(spark, sf_dir)
+    schema = "order_id string, lateness_seconds bigint, lateness_class string, _late_metadata struct<reason: string>"
+    read = encode_events(enrich_late(late), "order_id").select("key", F.from_json("value", schema).alias("e"))
+    return read.select("e.order_id", "key", "e.lateness_seconds", "e._late_metadata.reason", "e.lateness_class")
