@@ -11,6 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 OUTPUT_BYTES = 8 << 20
+#: Rows that are Python objects at a time; the rest of an Arrow batch stays as it came.
+ROWS_AT_A_TIME = 512
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -34,8 +36,8 @@ def map_batches(
 ) -> DataFrame:
     """``mapInArrow`` over the given columns, by a function that yields one tuple per row of the result.
 
-    ``start`` is called once per task and returns the function for one batch. Rows leave in batches of bounded
-    size, so long texts do not pile up.
+    ``start`` is called once per task and returns the function for one part of a batch; if that has a ``finish``, its
+    rows come last. Rows go in and leave in bounded numbers, so long texts do not pile up.
     """
     find_package_in_workers(df.sparkSession)
     parsed = _parse_datatype_string(schema)
@@ -44,24 +46,32 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
-        for batch in batches:
-            yield from in_batches(each(batch), arrow)
+        for part in parts_of(batches):
+            yield from in_batches(each(part), arrow)
+        if finish := getattr(each, "finish", None):
+            yield from in_batches(finish(), arrow)
 
     return df.select(*columns).mapInArrow(run, parsed)
 
 
 def filter_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
-    """The rows of ``df``, all columns, that a function of a batch says; ``start`` makes it once per task."""
+    """The rows of ``df``, all columns, that a function of a part of a batch says; ``start`` makes it once per task."""
     find_package_in_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = start()
-        for batch in batches:
-            yield batch.filter(pa.array(wanted(batch), pa.bool_()))
+        for part in parts_of(batches):
+            yield part.filter(pa.array(wanted(part), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
+def parts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+            yield batch.slice(at, ROWS_AT_A_TIME)
+
+
 def in_batches(rows: Iterable[tuple], schema: pa.Schema, rows_per_batch: int = 4096) -> Iterator[pa.RecordBatch]:
     """Tuples as record batches of at most so many rows and about ``OUTPUT_BYTES`` of strings and binaries."""
     held: list[tuple] = []

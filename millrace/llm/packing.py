@@ -37,7 +37,7 @@ MOST_PIVOTS = 4000
 class LibraryBpe(ByteBpe):
     """The same ids with the merges left to a library; its ranks are the ids of the vocabulary file."""
 
-    def __init__(self, path: str, cached_words: int = 400_000):
+    def __init__(self, path: str, cached_words: int = 100_000):
         super().__init__(path, cached_words)
         special = set(self.special.values())
         ranks = {token: token_id for token_id, token in self.bytes_of.items() if token_id not in special}

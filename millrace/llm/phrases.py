@@ -7,11 +7,12 @@ places, whatever is around them; so windows can only be equal if their phrases h
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK = 4 << 20
+CHUNK = 1 << 18
 PLACE_BITS = 24
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -59,7 +60,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(values) - width + 1], least[width - size :]) if size < width else least
 
 
-def parse(texts: list[bytes], length: int, gram: int) -> Phrases:
+def parse(texts: Iterable[bytes], length: int, gram: int) -> Phrases:
     """Phrases of all texts, in order; texts shorter than ``length`` have none."""
     found: list[Phrases] = []
     for numbers, places, chunk in _chunks(texts, length):
@@ -69,7 +70,7 @@ def parse(texts: list[bytes], length: int, gram: int) -> Phrases:
     return Phrases(*(np.concatenate([getattr(f, name) for f in found] or [np.zeros(0, kind)]) for name, kind in zip(names, kinds, strict=True)))
 
 
-def _chunks(texts: list[bytes], length: int):
+def _chunks(texts: Iterable[bytes], length: int):
     """Texts put together to about ``CHUNK`` bytes; longer ones are cut with an overlap, so that each window is in one."""
     numbers: list[int] = []
     places: list[int] = []

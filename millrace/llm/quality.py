@@ -27,7 +27,7 @@ CLASSES = ("white", "newline", "lower", "upper", "other_letter", "digit", "symbo
 WHITE, NEWLINE, LOWER, UPPER, OTHER, DIGIT, SYMBOL, STOP, MARK = range(len(CLASSES))
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 TABLE_SIZE = 0x3000
-HELD_WORDS = 300_000
+HELD_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,33 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+class CorpusCounter:
+    """What one task has counted, by language."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.classes: dict[str, np.ndarray] = {}
+        self.words: dict[str, Counter] = {}
+
+    def __call__(self, batch: pa.RecordBatch):
+        for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if text and language is not None:
+                self.classes[language] = self.classes.get(language, 0) + class_counts(text, self.table)
+                self.words.setdefault(language, Counter()).update(text.lower().encode("utf-8", "surrogatepass").split())
+        if sum(map(len, self.words.values())) >= HELD_WORDS:
+            yield from self.flushed()
+
+    def flushed(self):
+        held, self.words = self.words, {}
+        for language, counter in held.items():
+            yield from ((language, "word", word, n) for word, n in counter.items())
+
+    def finish(self):
+        for language, counts in self.classes.items():
+            yield from ((language, "class", name.encode(), int(n)) for name, n in zip(CLASSES, counts, strict=True))
+        yield from self.flushed()
+
+
 def corpus_counts(df: DataFrame, text_column: str = "text", language_column: str = "lang") -> DataFrame:
     """Counts over all texts as ``lang, kind, item, count``: kind ``class`` by class name, ``word`` by lower-case word.
 
@@ -117,26 +144,7 @@ def corpus_counts(df: DataFrame, text_column: str = "text", language_column: str
     """
 
     def start():
-        table = class_table()
-
-        def each(batch: pa.RecordBatch):
-            classes: dict[str, np.ndarray] = {}
-            words: dict[str, Counter] = {}
-            for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text or language is None:
-                    continue
-                classes[language] = classes.get(language, 0) + class_counts(text, table)
-                counter = words.setdefault(language, Counter())
-                counter.update(text.lower().encode("utf-8", "surrogatepass").split())
-                if len(counter) >= HELD_WORDS:
-                    yield from ((language, "word", word, n) for word, n in counter.items())
-                    del words[language]
-            for language, counts in classes.items():
-                yield from ((language, "class", name.encode(), int(n)) for name, n in zip(CLASSES, counts, strict=True))
-            for language, counter in words.items():
-                yield from ((language, "word", word, n) for word, n in counter.items())
-
-        return each
+        return CorpusCounter(class_table())
 
     columns = [df[text_column], df[language_column].cast("string")]
     counted = map_batches(df, columns, "lang string, kind string, item binary, count bigint", start)

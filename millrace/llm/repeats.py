@@ -157,8 +157,7 @@ def repeated_keys(blocks: DataFrame, parts: int, length: int, gram: int, hot: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_blocks = [], []
         for batch in batches:
-            texts = [text.as_py() for text in batch.column(1)]
-            phrases = parse(texts, length, gram)
+            phrases = parse((text.as_py() for text in batch.column(1)), length, gram)
             held_keys.append(phrases.key)
             held_blocks.append(batch.column(0).to_numpy(zero_copy_only=False)[phrases.text])
         if not held_keys:
