@@ -15,7 +15,7 @@ from millrace.streaming.files import SharedFiles, writer_of
 from millrace.streaming.triggers import AVAILABLE_NOW, triggered
 
 ON_TIME, LATE, QUARANTINE = "on_time", "late", "quarantine"
-WAITING = "waiting"
+WAITING, HISTORY = "waiting", "history"
 #: Records of older batches are removed; only that of the last one is ever needed.
 MARKS_KEPT = 100
 _LATE_COLUMNS = ("arrival_time", "lateness_seconds", "lateness_class", "_late_metadata")
@@ -127,6 +127,26 @@ class LateRouter:
             files.publish(f"{self.path(WAITING)}/batch_id={batch_id}", f"{self.path(ON_TIME)}/batch_id={batch_id}")
         return len(waiting[: self.release_batches])
 
+    def retire(self, spark: SparkSession, keep: int = 100) -> int:
+        """Move all but the last ``keep`` batches of each log to ``history`` and say how many directories that were.
+
+        Streams over the logs list their folders with every run; what they have read long ago need not be there.
+        ``keep`` must cover what any of them has yet to finish. Reads as tables cover the history.
+        """
+        files, moved = SharedFiles(spark), 0
+        for side in (ON_TIME, LATE, QUARANTINE):
+            names = [name for name in files.names(self.path(side)) if name.startswith("batch_id=")]
+            names.sort(key=lambda name: int(name.removeprefix("batch_id=")))
+            for name in names[: max(0, len(names) - keep)]:
+                files.publish(f"{self.path(side)}/{name}", f"{self.path(HISTORY)}/{side}/{name}")
+                moved += 1
+        return moved
+
+    def _read(self, spark: SparkSession, side: str, fields: list[T.StructField]) -> DataFrame:
+        schema, old = T.StructType([*fields, _BATCH_ID, _DATE]), f"{self.path(HISTORY)}/{side}"
+        rows = spark.read.schema(schema).parquet(self.path(side))
+        return rows.union(spark.read.schema(schema).parquet(old)) if SharedFiles(spark).exists(old) else rows
+
     def _refuse_other_writers(self, files: SharedFiles, writer: str) -> None:
         """Batch numbers of another query mean other batches: taking them for repeated ones would lose events."""
         record = f"{self.root}/_writer.json"
@@ -186,16 +206,16 @@ class LateRouter:
 
     def read_on_time(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
-        return spark.read.schema(T.StructType([*wanted, _BATCH_ID, _DATE])).parquet(self.path(ON_TIME))
+        return self._read(spark, ON_TIME, wanted)
 
     def read_late(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         """The side output: the event columns and what is known of the lateness."""
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
-        return spark.read.schema(T.StructType([*wanted, *_LATE_FIELDS, _BATCH_ID, _DATE])).parquet(self.path(LATE))
+        return self._read(spark, LATE, [*wanted, *_LATE_FIELDS])
 
     def read_quarantine(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         reason = [] if "quarantine_reason" in schema.names else [T.StructField("quarantine_reason", T.StringType())]
-        return spark.read.schema(T.StructType([*schema.fields, *reason, _BATCH_ID])).parquet(self.path(QUARANTINE))
+        return self._read(spark, QUARANTINE, [*schema.fields, *reason])
 
 
 _BATCH_ID = T.StructField("batch_id", T.LongType())

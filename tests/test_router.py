@@ -197,3 +197,15 @@ def test_old_records_are_removed(spark, folder, monkeypatch):
     for number in range(5):
         router.route_batch(batches(spark, 0)[0], number)
     assert SharedFiles(spark).names(f"{folder}/_marks") == ["3.json", "4.json"]
+
+
+def test_retired_batches_are_still_read_as_tables(spark, folder):
+    router, files = LateRouter(folder), SharedFiles(spark)
+    for number, batch in enumerate(batches(spark, 0, 1, 2, 3)):
+        router.route_batch(batch, number)
+    before = content(router.read_on_time(spark, EVENT)), content(router.read_late(spark, EVENT))
+    assert router.retire(spark, keep=1) == 2
+    assert files.names(router.path(ON_TIME)) == ["batch_id=3"] and files.names(router.path(LATE)) == ["batch_id=2"]
+    assert (content(router.read_on_time(spark, EVENT)), content(router.read_late(spark, EVENT))) == before
+    router.route_batch(batches(spark, 0)[0], 4)
+    assert len(content(router.read_late(spark, EVENT))) == 7
