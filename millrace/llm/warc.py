@@ -197,7 +197,17 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
     return map_batches(archives, [F.col("content")], schema + ", payload binary" * payloads, start)
 
 
-@query("op4_warc")
+OP4_SQL = f"""
+  select page_id, size payload_bytes, digest payload_digest,
+         case when revisit then 'revisit' else 'response' end record_type, case when revisit then largest end refers_to
+  from (select page_id, size, digest, largest,
+               size >= {REVISIT_BYTES} and largest is not null and page_id is distinct from largest revisit
+        from (select page_id, strlen(payload)::bigint size, sha1(payload) digest,
+                     max(page_id) over (partition by payload) largest
+              from (select page_id, coalesce(html, '') payload from pages)))"""
+
+
+@query("op4_warc", OP4_SQL)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to archives in the shared folder and read back."""
     folder = new_folder(spark, "warc")

@@ -85,6 +85,19 @@ def test_archives_come_back(spark):
     assert all(bytes(r.payload) == html[r.page_id] for r in found if r.payload is not None)
 
 
+def test_query_against_its_sql(spark, tmp_path):
+    from oracle import differences, sql_connection
+
+    import __spark_entry__
+
+    spark.createDataFrame(page_rows(), PAGES).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    connection = sql_connection("/root/testdata/sf0.001")
+    query = __spark_entry__.queries()["op4_warc"]
+    assert differences(query(spark, "/root/testdata/sf0.001"), __spark_entry__.oracle_sql()["op4_warc"], connection) == ""
+    connection.sql(f"create or replace view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert differences(query(spark, str(tmp_path)), __spark_entry__.oracle_sql()["op4_warc"], connection) == ""
+
+
 def test_files_are_nothing_but_members(spark):
     folder = new_folder(spark, "warc")
     write_warc(spark.createDataFrame(page_rows(), PAGES), folder)
