@@ -54,13 +54,13 @@ def signed(value):
     return value - (1 << 64) if value >> 63 else value
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "hub_links"), [(0, 1000), (1, 1000), (2, 5), (3, 0)])
+def test_components(spark, seed, hub_links):
     chosen = random.Random(seed)
     links = [(chosen.randrange(60), chosen.randrange(60)) for _ in range(35)] + [(100 + k, 101 + k) for k in range(40)] + [(200, 200 + k) for k in range(30)]
     links += [(-5, 7), (7, -5), (9, 9)]
     chosen.shuffle(links)
-    found = connected_components(spark.createDataFrame(links, "a bigint, b bigint"))
+    found = connected_components(spark.createDataFrame(links, "a bigint, b bigint"), hub_links)
     nodes = {node for a, b in links if a != b for node in (a, b)}
     assert {(r.node, r.component) for r in found.collect()} == set(roots(nodes, [p for p in links if p[0] != p[1]]).items())
 
