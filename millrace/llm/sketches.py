@@ -22,6 +22,7 @@ LARGER = (8, 32, 128)
 BLOCK_DIGESTS = 8
 PART_BLOCKS = 64
 ROUNDS = 16
+RANGES = 4
 LEAST_ID = -(1 << 63)
 
 
@@ -103,14 +104,14 @@ def printed(cells: str) -> str:
 def with_following_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``id, text, following``: the text of the row after it by falling id, of the last row that of the first.
 
-    Rows are dealt by ranges of ids of about equal counts, as many as there are shuffle partitions, and a window
-    runs within each; the row after a range's last is the first of the range below, which is sent there in copy.
+    Rows are dealt by ranges of ids of about equal counts, some for each shuffle partition, and a window runs within
+    each; the row after a range's last is the first of the range below, which is sent there in copy.
     The driver gets the ranges' bounds and largest ids. Null ids come last; rows with one id follow by their text,
     null texts being empty.
     """
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(LEAST_ID)).cast("long"))
-    number = shuffle_partitions(df.sparkSession)
+    number = RANGES * shuffle_partitions(df.sparkSession)
     shares = F.array(*[F.lit(k / number) for k in range(1, number)]) if number > 1 else F.array(F.lit(0.5))
     found = keyed.agg(F.percentile_approx("key", shares, 10 * number).alias("bounds")).first()["bounds"]
     bounds = sorted(set(found or [0]))
