@@ -1,0 +1,80 @@
+"""Similar texts against brute force."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from cases import awkward_rows, documents, ordered, prose
+from test_dedup import roots
+
+from millrace.llm.similar import shingle_set, similar_groups
+
+
+def brute_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(chosen, text, share):
+    """A copy with that share of its words changed."""
+    words = text.split(" ")
+    for at in chosen.sample(range(len(words)), max(1, int(share * len(words)))):
+        words[at] = f"new{chosen.randrange(10**6)}"
+    return " ".join(words)
+
+
+def edited_rows():
+    """Copies with one word in a hundred to one in twenty changed, copies of copies, and a crowd with a common head."""
+    chosen, rows = random.Random(4), []
+    for k in range(60):
+        text = prose(3000 + k, chosen.randint(30, 400))
+        rows.append(text)
+        for share in (0.002, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05):
+            rows.append(edited(chosen, text, share))
+        rows.append(edited(chosen, rows[-5], 0.015))
+    base, head = prose(4000, 200), prose(4001, 60)
+    rows += [edited(chosen, base, 0.02) for _ in range(50)]
+    rows += [f"{head} {prose(5000 + k, 40)}" for k in range(30)] + [f"{head} {prose(6000 + k, 8)}" for k in range(30)]
+    rows += [" ".join(f"w{k}" for k in range(at, at + 60)) for at in range(0, 200, 5)]
+    chosen.shuffle(rows)
+    return [(k, text, "en", "s", len(text)) for k, text in enumerate(rows)]
+
+
+def brute_components(rows):
+    """By place in ``rows``, the smallest id of its component, all pairs compared."""
+    sets = [brute_shingles(row[1]) for row in rows]
+    links = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (not a and not b) or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                links.append((i, j))
+    group = roots(range(len(rows)), links)
+    least = {}
+    for k, row in enumerate(rows):
+        if row[0] is not None:
+            least[group[k]] = min(row[0], least.get(group[k], row[0]))
+    return [least.get(group[k]) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("large_key", [1, 8, 10**9])
+def test_all_similar_texts_are_linked(spark, large_key):
+    rows = edited_rows()
+    wanted = ordered((row[0], least) for row, least in zip(rows, brute_components(rows), strict=True))
+    found = similar_groups(documents(spark, rows), large_key=large_key)
+    assert ordered(found.select("doc_id", "component_id").collect()) == wanted
+
+
+def test_similar_awkward_texts(spark):
+    rows = awkward_rows()
+    wanted = ordered((row[0], least) for row, least in zip(rows, brute_components(rows), strict=True))
+    assert ordered(similar_groups(documents(spark, rows)).select("doc_id", "component_id").collect()) == wanted
+    assert similar_groups(documents(spark, [])).count() == 0
+    for row in rows:
+        assert len(shingle_set(row[1])) == len(brute_shingles(row[1]))
+
+
+def test_stage_removes_edited_copies(spark):
+    rows = edited_rows()
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    kept = stage(spark, documents(spark, rows), "")
+    assert sorted(row.doc_id for row in kept.collect()) == sorted(set(brute_components(rows)))
