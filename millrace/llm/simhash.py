@@ -94,18 +94,19 @@ def fingerprint_of(text: str | None) -> int:
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``fingerprint`` (bigint, its 64 bits) of each row of ``df``, beside its id; a null text has no words."""
+    """``fingerprint`` (bigint, its 64 bits) of each row of ``df``, beside its id and ``text_hash``; a null text has no words."""
 
     def start():
         def each(batch: pa.RecordBatch):
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, digest, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 found = fingerprint_of(text)
-                yield row, found - (1 << 64) if found >> 63 else found
+                yield row, digest, found - (1 << 64) if found >> 63 else found
 
         return each
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_batches(df, [df[id_column], df[text_column]], f"{id_column} {kind}, fingerprint bigint", start)
+    columns = [df[id_column], F.xxhash64(df[text_column]), df[text_column]]
+    return map_batches(df, columns, f"{id_column} {kind}, text_hash bigint, fingerprint bigint", start)
 
 
 def fingerprint_keys(distinct: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def fingerprint_links(distinct: DataFrame, large_key: int = LARGE_KEY) -> DataFr
 
 
 def near_duplicate_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", large_key: int = LARGE_KEY) -> DataFrame:
-    """One row per row of ``df``: its id, ``fingerprint`` and ``component_id``, the smallest id in its component.
+    """One row per row of ``df``: its id, ``text_hash``, ``fingerprint``, ``component`` and ``component_id``, the smallest id in it.
 
     Texts without words share the fingerprint zero and are linked like any other; copies have one fingerprint, which
     is looked at once. Rows without an id take part; a component that has none but them has no id.
@@ -157,18 +158,22 @@ def near_duplicate_groups(df: DataFrame, id_column: str = "doc_id", text_column:
     member = distinct.join(found, distinct["fingerprint"] == found["node"], "left")
     member = member.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
     names = member.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("component_id"))
-    named = stored(member.join(names, F.col("component") == F.col("of")).select(F.col("fingerprint").alias("print"), "component_id"))
-    return rows.join(named, rows["fingerprint"] == named["print"]).select(id_column, "fingerprint", "component_id")
+    named = stored(member.join(names, F.col("component") == F.col("of")).select(F.col("fingerprint").alias("print"), "component", "component_id"))
+    return rows.join(named, rows["fingerprint"] == named["print"]).select(id_column, "text_hash", "fingerprint", "component", "component_id")
 
 
-def one_of_each(df: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that give their component its id; of rows with one id, one."""
-    chosen = groups.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_chosen")).distinct()
-    return df.join(chosen, df[id_column] == chosen["_chosen"], "left_semi").dropDuplicates([id_column])
+def one_of_each(df: DataFrame, groups: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of ``df`` per component of ``groups``, which has ``text_hash`` and ``component`` of each row: that of the
+    smallest id, of rows with one id that of the smallest hash. Rows without an id stay where there are no others."""
+    first = F.min(F.struct(F.isnull(id_column).alias("last"), F.col(id_column).alias("id"), "text_hash"))
+    chosen = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    hashed = df.withColumn("_text_hash", F.xxhash64(text_column))
+    same = (hashed["_text_hash"] == chosen["_hash"]) & hashed[id_column].eqNullSafe(chosen["_id"])
+    return hashed.join(chosen, same, "left_semi").dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")
 
 
 @query("op8_simhash_near_dedup")
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents, the fingerprint as 16 lower-case hex digits."""
     groups = near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return groups.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

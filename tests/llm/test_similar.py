@@ -7,6 +7,7 @@ import pytest
 from cases import awkward_rows, documents, ordered, prose
 from test_dedup import roots
 
+from millrace.llm.simhash import near_duplicate_groups, one_of_each
 from millrace.llm.similar import shingle_set, similar_groups
 
 
@@ -78,3 +79,14 @@ def test_stage_removes_edited_copies(spark):
     stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
     kept = stage(spark, documents(spark, rows), "")
     assert sorted(row.doc_id for row in kept.collect()) == sorted(set(brute_components(rows)))
+
+
+def test_texts_without_id_or_with_one_id_stay(spark):
+    texts = [prose(7000 + k, 80) for k in range(5)]
+    rows = [(None, texts[0], "en", "s", 0), (None, texts[1], "en", "s", 0), (None, texts[1], "en", "s", 0), (5, texts[2], "en", "s", 0)]
+    rows += [(5, texts[3], "en", "s", 0), (6, texts[4], "en", "s", 0), (None, texts[4], "en", "s", 0), (7, texts[4], "en", "s", 0)]
+    df = documents(spark, rows)
+    for groups in (similar_groups(df), near_duplicate_groups(df)):
+        kept = one_of_each(df, groups).collect()
+        wanted = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4])]
+        assert ordered((row.doc_id, row.text) for row in kept) == ordered(wanted)
