@@ -2,9 +2,11 @@
 
 The references are, per language, the histogram of character classes and the histogram of common words over the
 whole corpus. A document is compared with each by the Jensen-Shannon divergence (base 2), and the language nearest
-to it counts, whatever its own is said to be; only where the corpus has too little of that to make a reference, the
-base rule decides alone. Short documents stray from any reference by chance, so the allowed divergence is larger
-the fewer words there are, and below a minimum length all fail.
+to it counts, whatever its own is said to be. Languages with less than a share of the corpus give no reference, so
+that their number is bounded; their documents are compared with those of the others and with that of the whole
+corpus, and are allowed a margin, as a document strays a little from the words of other languages. Short documents
+stray from any reference by chance, so the allowed divergence is larger the fewer words there are, and below a
+minimum length all fail.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ class Limits:
         at most.
     divergence, per_word: rejected above ``divergence + per_word / n_words``.
     class_weight: weight of the divergence of character classes beside that of common words.
-    min_language_words: languages with fewer words in the corpus give no reference.
+    language_share: languages with a smaller share of the corpus' words give no reference, so 1 / language_share do
+        at most.
+    foreign: how much more a document of such a language may stray.
     """
 
     min_words: int = 50
@@ -48,12 +52,14 @@ class Limits:
     divergence: float = 0.12
     per_word: float = 3.75
     class_weight: float = 1.0
-    min_language_words: int = 10_000
+    language_share: float = 0.01
+    foreign: float = 0.06
 
 
 @dataclass(frozen=True)
 class References:
-    """Histograms by language: ``classes`` (languages x classes), ``words`` (languages x union of common words)."""
+    """Histograms by language, that of the whole corpus last: ``classes`` (references x classes), ``words``
+    (references x union of common words)."""
 
     languages: tuple[str, ...]
     classes: np.ndarray
@@ -115,26 +121,23 @@ class CorpusCounter:
 
     def __init__(self, table: np.ndarray):
         self.table = table
-        self.classes: dict[str, np.ndarray] = {}
-        self.words: dict[str, Counter] = {}
+        self.classes: dict[str | None, np.ndarray] = {}
+        self.words: dict[str | None, Counter] = {}
 
     def __call__(self, batch: pa.RecordBatch):
         for text, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text and language is not None:
+            if text:
                 self.classes[language] = self.classes.get(language, 0) + class_counts(text, self.table)
                 self.words.setdefault(language, Counter()).update(text.lower().encode("utf-8", "surrogatepass").split())
-        if sum(map(len, self.words.values())) >= HELD_WORDS:
-            yield from self.flushed()
-
-    def flushed(self):
-        held, self.words = self.words, {}
-        for language, counter in held.items():
-            yield from ((language, "word", word, n) for word, n in counter.items())
+        if sum(map(len, self.words.values())) + len(CLASSES) * len(self.classes) >= HELD_WORDS:
+            yield from self.finish()
 
     def finish(self):
-        for language, counts in self.classes.items():
+        words, classes, self.words, self.classes = self.words, self.classes, {}, {}
+        for language, counter in words.items():
+            yield from ((language, "word", word, n) for word, n in counter.items())
+        for language, counts in classes.items():
             yield from ((language, "class", name.encode(), int(n)) for name, n in zip(CLASSES, counts, strict=True))
-        yield from self.flushed()
 
 
 def corpus_counts(df: DataFrame, text_column: str = "text", language_column: str = "lang") -> DataFrame:
@@ -152,27 +155,32 @@ def corpus_counts(df: DataFrame, text_column: str = "text", language_column: str
 
 
 def language_references(counts: DataFrame, limits: Limits) -> References:
-    """What the driver gets: class counts and the common words, at most ``1 / common_share`` per language."""
-    totals = counts.groupBy("lang", "kind").agg(F.sum("count").alias("total"))
-    totals = totals.withColumnsRenamed({"lang": "of", "kind": "of_kind"})
-    same = (counts["lang"] == totals["of"]) & (counts["kind"] == totals["of_kind"])
+    """What the driver gets: class counts and common words of at most ``1 / language_share`` languages and of the whole
+    corpus, at most ``1 / common_share`` words each. Texts of null language count for the whole corpus alone."""
+    whole = counts.groupBy("kind", "item").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(None).cast("string"))
+    totals = counts.groupBy(F.col("lang").alias("of"), F.col("kind").alias("of_kind")).agg(F.sum("count").alias("total"))
+    sums = {row["of_kind"]: row["total"] for row in totals.groupBy("of_kind").agg(F.sum("total").alias("total")).collect()}
+    if not sums.get("word"):
+        return References((), np.zeros((0, len(CLASSES))), np.zeros((0, 0)))
+    large = totals.where((F.col("of_kind") == "word") & F.col("of").isNotNull() & (F.col("total") >= sums["word"] * limits.language_share))
+    languages = sorted(row["of"] for row in large.collect())
     common = (F.col("kind") == "class") | (F.col("count") >= F.col("total") * F.lit(limits.common_share))
-    rows = counts.join(totals, same).where(common).select("lang", "kind", "item", "count", "total").collect()
-    sizes = {row["lang"]: row["total"] for row in rows if row["kind"] == "word"}
-    languages = sorted(language for language, size in sizes.items() if size >= limits.min_language_words)
-    number = {language: k for k, language in enumerate(languages)}
+    same = (counts["lang"] == totals["of"]) & (counts["kind"] == totals["of_kind"])
+    by_language = counts.where(F.col("lang").isin(languages)).join(totals, same).select("lang", "kind", "item", "count", "total")
+    total = F.when(F.col("kind") == "word", F.lit(sums["word"])).otherwise(F.lit(sums["class"]))
+    rows = by_language.union(whole.withColumn("total", total).select("lang", "kind", "item", "count", "total")).where(common).collect()
+    number: dict[str | None, int] = {language: k for k, language in enumerate([*languages, None])}
     place: dict[bytes, int] = {}
     for row in sorted(rows, key=lambda row: bytes(row["item"])):
-        if row["kind"] == "word" and row["lang"] in number:
+        if row["kind"] == "word":
             place.setdefault(bytes(row["item"]), len(place))
-    classes, words = np.zeros((len(languages), len(CLASSES))), np.zeros((len(languages), len(place)))
+    classes, words = np.zeros((len(number), len(CLASSES))), np.zeros((len(number), len(place)))
     for row in rows:
-        if row["lang"] in number:
-            share = row["count"] / row["total"] if row["total"] else 0.0
-            if row["kind"] == "class":
-                classes[number[row["lang"]], CLASSES.index(bytes(row["item"]).decode())] = share
-            else:
-                words[number[row["lang"]], place[bytes(row["item"])]] = share
+        share = row["count"] / row["total"] if row["total"] else 0.0
+        if row["kind"] == "class":
+            classes[number[row["lang"]], CLASSES.index(bytes(row["item"]).decode())] = share
+        else:
+            words[number[row["lang"]], place[bytes(row["item"])]] = share
     return References(tuple(languages), classes, words, place)
 
 
@@ -184,20 +192,23 @@ def divergence(mine: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return terms.sum(axis=-1) / 2
 
 
-def least_divergence(counts: np.ndarray, words: list[bytes], references: References, class_weight: float) -> float:
-    """Divergence from the nearest language: that of the common words plus, weighted, that of the classes."""
-    if not len(references.classes) or not words:
+def least_divergence(counts: np.ndarray, words: list[bytes], references: References, class_weight: float, foreign: bool = False) -> float:
+    """Divergence from the nearest language: that of the common words plus, weighted, that of the classes. The whole
+    corpus counts as one for a ``foreign`` document, and where no language has a reference."""
+    last = len(references.classes) if foreign or not references.languages else len(references.languages)
+    if not last or not words:
         return 0.0
     found = Counter(filter(references.place.__contains__, words))
     share = np.array(list(found.values()), np.float64) / len(words)
-    theirs = references.words[:, [references.place[word] for word in found]]
+    every = references.words[:last]
+    theirs = every[:, [references.place[word] for word in found]]
     mine = np.where(theirs > 0, share, 0.0)
-    rest = np.stack([1 - mine.sum(axis=1), 1 - references.words.sum(axis=1)])
+    rest = np.stack([1 - mine.sum(axis=1), 1 - every.sum(axis=1)])
     both = np.where((mine > 0) | (theirs > 0), 1, 0)
     by_word = divergence(mine, theirs * both) + divergence(rest[0][:, None], rest[1][:, None])
     # Common words that the document lacks: the reference's share against nothing, one bit a half.
-    by_word += (references.words.sum(axis=1) - theirs.sum(axis=1)) / 2
-    by_class = divergence(counts / max(1, counts.sum()), references.classes)
+    by_word += (every.sum(axis=1) - theirs.sum(axis=1)) / 2
+    by_class = divergence(counts / max(1, counts.sum()), references.classes[:last])
     return float((by_word + class_weight * by_class).min())
 
 
@@ -220,10 +231,10 @@ def judge(text: str, language: str | None, references: References, limits: Limit
     counts = class_counts(text, table)
     repeats = repeated_words(words)
     failed = len(words) < limits.min_words or 100 * repeats > limits.repeat_percent * len(words)
-    strays = 0.0
-    if language is None or language in references.languages:
-        lower = text.lower().encode("utf-8", "surrogatepass").split()
-        strays = least_divergence(counts, lower, references, limits.class_weight)
+    foreign = language is not None and language not in references.languages
+    lower = text.lower().encode("utf-8", "surrogatepass").split()
+    strays = least_divergence(counts, lower, references, limits.class_weight, foreign)
+    allowed = limits.divergence + limits.per_word / max(1, len(words)) + (limits.foreign if foreign else 0.0)
     return Verdict(
         len(words),
         int(counts.sum() - counts[WHITE] - counts[NEWLINE]),
@@ -232,7 +243,7 @@ def judge(text: str, language: str | None, references: References, limits: Limit
         repeats,
         failed,
         strays,
-        not failed and strays <= limits.divergence + limits.per_word / max(1, len(words)),
+        not failed and strays <= allowed,
     )
 
 
@@ -246,8 +257,9 @@ def judge_documents(
 ) -> DataFrame:
     """The id and the fields of ``Verdict`` per row of ``df``.
 
-    A null text has no words and fails the base rule. Documents of a language without a reference have divergence 0;
-    those of null language are compared with all. Equal rows get equal verdicts.
+    A null text has no words and fails the base rule. Documents of a language without a reference are compared with
+    all and with the whole corpus, and may stray by ``foreign`` more; those of null language are compared with all.
+    Equal rows get equal verdicts.
     """
     limits = limits or Limits()
 

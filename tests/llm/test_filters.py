@@ -45,7 +45,7 @@ def base_counts(text):
 def test_base_counts(spark):
     rows = [*awkward_rows(), (400, "a b c a b c d", "en", "s", 1), (401, "same\n\nsame\n \nsame\x0b\nsame", "en", "s", 1), (402, "# $ <a> | * %\x0c&", "en", "s", 1)]
     df = documents(spark, rows, clashing=True)
-    judged = judge_documents(df, corpus_references(df, Limits(min_language_words=100)))
+    judged = judge_documents(df, corpus_references(df, Limits()))
     got = ordered((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in judged.collect())
     assert got == ordered((row[0], *base_counts(row[1])) for row in rows)
 
@@ -58,7 +58,7 @@ def test_repeated_words_by_brute_force():
 
 def test_references_and_divergence_by_brute_force(spark):
     rows = [(k, prose(k, 300), "en" if k % 2 else "fr", "s", 0) for k in range(8)] + [(9, None, "en", "s", 0), (10, "x y", None, "s", 0)]
-    limits = Limits(common_share=1 / 40, min_language_words=100)
+    limits = Limits(common_share=1 / 40)
     found = corpus_references(documents(spark, rows), limits)
     assert found.languages == ("en", "fr")
     table = class_table()
@@ -97,12 +97,34 @@ def test_junk_goes_and_prose_stays(spark):
     rows = [(k, prose(k, 150), "en", "s", 0) for k in range(60)]
     junk = " ".join(f"{word.upper()}%%%" for word in prose(70, 150).split())
     rows += [(100, junk, "en", "s", 0), (101, "ab cd ef " * 60, "en", "s", 0), (102, "zq jx " + junk, None, "s", 0), (103, prose(71, 120), "sv", "s", 0)]
+    rows += [(104, junk, "xx", "s", 0), (105, junk[: len(junk) // 2], "", "s", 0)]
     df = documents(spark, rows, clashing=True)
-    kept = kept_documents(df, corpus_references(df, Limits(common_share=1 / 100, min_language_words=1000)))
+    kept = kept_documents(df, corpus_references(df, Limits(common_share=1 / 100, language_share=0.05)))
     assert kept.columns == df.columns
     assert sorted(row.doc_id for row in kept.collect()) == [*range(60), 103]
 
 
+def test_references_are_bounded_whatever_languages_there_are(spark):
+    rows = [(k, prose(k, 60), f"lang{k}", "s", 0) for k in range(300)] + [(400 + k, prose(k, 400), "en", "s", 0) for k in range(20)]
+    found = corpus_references(documents(spark, rows), Limits())
+    assert found.languages == ("en",) and len(found.classes) == 2 and len(found.place) <= 2 * 500
+    everything = Counter(word for _, text, *_ in rows for word in text.lower().encode().split())
+    share = {word: n / everything.total() for word, n in everything.items() if n * 500 >= everything.total()}
+    assert {w: p for w, p in zip(found.place, found.words[-1], strict=True) if p} == share
+    table = class_table()
+    classes = sum(class_counts(text, table) for _, text, *_ in rows)
+    assert np.allclose(found.classes[-1], classes / classes.sum())
+
+
+def test_documents_without_any_language(spark):
+    junk = " ".join(f"{word.upper()}%%%" for word in prose(70, 150).split())
+    df = documents(spark, [(k, prose(k, 150), None, "s", 0) for k in range(40)] + [(50, junk, None, "s", 0), (51, junk, "xx", "s", 0)])
+    limits = Limits(common_share=1 / 100, language_share=0.05)
+    references = corpus_references(df, limits)
+    assert references.languages == ()
+    assert sorted(row.doc_id for row in kept_documents(df, references, limits).collect()) == list(range(40))
+
+
 def test_class_names_match_counts(spark):
     df = documents(spark, [(1, "Ab1 .#\n", "en", "s", 0)])
     counts = {bytes(r["item"]).decode(): r["count"] for r in corpus_counts(df).collect() if r["kind"] == "class"}
