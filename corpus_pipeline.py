@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.folders import stored
+from millrace.functions.folders import remove_stored, stored
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import Limits, corpus_references, kept_documents
 from millrace.llm.repeats import without_repeats
-from millrace.llm.simhash import one_of_each
-from millrace.llm.similar import similar_groups
+from millrace.llm.simhash import near_duplicate_groups, one_of_each
 from millrace.llm.toxicity import clean_documents, learn
 
 
@@ -29,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by five-word shingles at a Jaccard similarity of 0.8, the document with the smallest id."""
-    return one_of_each(docs, similar_groups(docs))
+    """Of each component of texts whose SimHash fingerprints are two bits apart or less, the document with the smallest id."""
+    return one_of_each(docs, near_duplicate_groups(docs))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of ``STAGES[-1]``; all stages before return the columns of ``documents``, whatever these are called.
+
+    Null texts have no words and go with the first stage, as do empty ones; null ids, repeated rows and ties are told in
+    the docstrings of the operators, and an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir))
+        if number:
+            remove_stored(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
