@@ -28,6 +28,14 @@ def find_package_in_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [root, *paths]))
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` is called so."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_batches(
     df: DataFrame,
     columns: list,

@@ -32,7 +32,7 @@ def encode_documents(df: DataFrame, id_column: str = "doc_id", text_column: str
         return each
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_batches(df, [df[id_column], df[text_column]], f"{id_column} {kind}, ids binary", start)
+    return map_batches(df, [df[id_column], df[text_column]], f"`{id_column}` {kind}, ids binary", start)
 
 
 def decode_documents(df: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", path: str = VOCABULARY) -> DataFrame:
@@ -48,7 +48,7 @@ def decode_documents(df: DataFrame, id_column: str = "doc_id", ids_column: str =
         return each
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_batches(df, [df[id_column], df[ids_column]], f"{id_column} {kind}, text string", start)
+    return map_batches(df, [df[id_column], df[ids_column]], f"`{id_column}` {kind}, text string", start)
 
 
 def _round_trip(path: str):

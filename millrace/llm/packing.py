@@ -1,9 +1,9 @@
 """Operator 3: packing tokenized documents into sequences by cutting-stock column generation.
 
-A document becomes pieces: full sequences first, then what remains. Piece lengths, rounded up to a unit, give a
-histogram of fixed size. A linear program over patterns (multisets of lengths that fit a sequence) covers it with
-as few sequences as possible; its columns come from a knapsack by dynamic programming over the dual prices. The
-rounded patterns say how many pieces of each length go to which run of sequences; pieces take these places by
+A document becomes pieces: full sequences first, then what remains. Piece lengths, short ones as they are and longer
+ones rounded up by a sixty-fourth at most, give a histogram of bounded size. A linear program over patterns (multisets
+of lengths that fit a sequence) covers it with nearly as few sequences as possible; its columns come from a knapsack by
+dynamic programming over the dual prices, first with all sizes in coarse units, then exactly. The rounded patterns say how many pieces of each length go to which run of sequences; pieces take these places by
 their rank among the pieces of their length. Only the histogram reaches the driver.
 """
 
@@ -18,7 +18,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.folders import stored
@@ -32,6 +32,14 @@ SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
 MOST_PIVOTS = 4000
+#: The linear program ends when no pattern is worth this much more than a sequence: it is that near to the least number.
+GAIN = 5e-4
+#: After so many pivots the inverse is computed anew, as rounding errors pile up.
+REFRESHED = 64
+#: It ends as well when that many pivots saved less than this share of the sequences.
+STALLED = 2e-5
+#: Lengths below this are sizes of their own.
+EXACT = 64
 
 
 class LibraryBpe(ByteBpe):
@@ -83,22 +91,31 @@ def token_pieces(
     return map_batches(
         df,
         [df[id_column], df[text_column]],
-        f"{id_column} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint",
+        f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint",
         start,
     )
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """So many sequences, each with these (size, pieces) in units."""
+    """So many sequences, each with these (size, pieces)."""
 
     sizes: tuple[tuple[int, int], ...]
     sequences: int
 
 
-def cutting_patterns(demand: dict[int, int], capacity: int) -> list[Pattern]:
+def size_of(length: Column, sequence: int, unit: int = UNIT) -> Column:
+    """The size a piece is planned with: steps of 1 below ``EXACT``, of 2 below twice that, and so on up to ``unit``."""
+    size, step, below = F.ceil(length / unit) * unit, unit // 2, EXACT * unit // 2
+    while step:
+        size = F.when(length < below, F.ceil(length / step) * step).otherwise(size)
+        step, below = step // 2, below // 2
+    return F.least(size, F.lit(sequence)).cast("long")
+
+
+def cutting_patterns(demand: dict[int, int], capacity: int, unit: int = UNIT) -> list[Pattern]:
     """Patterns that together have a place for every demanded piece: the linear program rounded down, then the rest
-    first fit by falling size."""
+    first fit by falling size. Whatever fits in units fits exactly, so columns come from the shorter knapsack first."""
     sizes = np.array(sorted(size for size, count in demand.items() if count), dtype=np.int64)
     if not len(sizes):
         return []
@@ -106,16 +123,29 @@ def cutting_patterns(demand: dict[int, int], capacity: int) -> list[Pattern]:
     columns = np.diag((capacity // sizes).astype(np.float64))
     inverse, level = np.diag(1.0 / np.diag(columns)), wanted / np.diag(columns)
     cost = np.ones(len(sizes))
-    for _ in range(MOST_PIVOTS):
+    rounded, coarse = -(-sizes // unit), capacity // unit > 1
+    needed = float("inf")
+    for pivot in range(1, MOST_PIVOTS):
+        if pivot % REFRESHED == 0:
+            inverse = np.linalg.inv(columns)
+            level = np.maximum(inverse @ wanted, 0.0)
+            if cost @ level > (1 - STALLED) * needed:
+                break
+            needed = cost @ level
         prices = cost @ inverse
         worst = int(prices.argmin())
         if prices[worst] < -1e-9:
             entering, price = np.zeros(len(sizes)), 0.0
             entering[worst] = -1.0
         else:
-            entering, price = knapsack(sizes, prices, capacity), 1.0
-            if prices @ entering <= 1 + 1e-7:
-                break
+            price = 1.0
+            if coarse:
+                entering = knapsack(rounded, prices, capacity // unit)
+                coarse = prices @ entering > 1 + GAIN
+            if not coarse:
+                entering = knapsack(sizes, prices, capacity)
+                if prices @ entering <= 1 + GAIN:
+                    break
         change = inverse @ entering
         ratios = np.full(len(sizes), np.inf)
         np.divide(level, change, out=ratios, where=change > 1e-9)
@@ -140,23 +170,28 @@ def cutting_patterns(demand: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """The pattern of greatest price within the capacity, any number of each size."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fitting = int(np.searchsorted(sizes, room, side="right"))
-        if fitting:
-            values = best[room - sizes[:fitting]] + prices[:fitting]
-            top = int(values.argmax())
-            if values[top] > best[room] + 1e-12:
-                best[room], choice[room] = values[top], top
+    """The pattern of greatest price within the capacity, any number of each size; of equal sizes the dearest counts.
+
+    One size after another, copies by doubling: 1 more, then 2, 4 and so on.
+    """
+    best = np.zeros(capacity + 1)
+    order = np.lexsort((-prices, sizes))
+    dearest = order[np.append(True, np.diff(sizes[order]) > 0)]
+    dearest = dearest[(prices[dearest] > 0) & (sizes[dearest] <= capacity)]
+    for size, price in zip(sizes[dearest].tolist(), prices[dearest].tolist(), strict=True):
+        while size <= capacity:
+            np.maximum(best[size:], best[:-size] + price, out=best[size:])
+            size, price = 2 * size, 2 * price
     pattern, room = np.zeros(len(sizes)), capacity
     while room > 0:
-        if choice[room] < 0:
+        fitting = dearest[sizes[dearest] <= room]
+        values = best[room - sizes[fitting]] + prices[fitting]
+        top = int(values.argmax()) if len(values) else -1
+        if top < 0 or values[top] <= best[room - 1] + 1e-12:
             room -= 1
         else:
-            pattern[choice[room]] += 1
-            room -= sizes[choice[room]]
+            pattern[fitting[top]] += 1
+            room -= int(sizes[fitting[top]])
     return pattern
 
 
@@ -202,13 +237,13 @@ def pack(pieces: DataFrame, id_column: str = "doc_id", sequence: int = SEQUENCE,
     """``pieces`` with ``sequence_id`` and ``offset``: no sequence is longer than ``sequence``, offsets have no gaps.
 
     ``pieces`` has the columns of ``token_pieces`` and must be cheap to read twice. Pieces of one length are ranked
-    over hashed buckets, so a frequent length needs no task of its own size; a sequence has at most
-    ``sequence / unit`` pieces.
+    over hashed buckets, so a frequent length needs no task of its own size; a sequence has at most ``sequence``
+    pieces.
     """
     find_package_in_workers(pieces.sparkSession)
-    sized = pieces.withColumn("size", F.ceil(F.col("length") / unit))
+    sized = pieces.withColumn("size", size_of(F.col("length"), sequence, unit))
     demand = {row["size"]: row["count"] for row in sized.groupBy("size").count().collect()}
-    runs = places(cutting_patterns(demand, sequence // unit))
+    runs = places(cutting_patterns(demand, sequence, unit))
     ranked = with_rank(sized, ["size"], [id_column, "start", "length", "ids_crc32"], "rank")
 
     def assign(frames):

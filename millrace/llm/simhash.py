@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.folders import stored
-from millrace.llm.batches import find_package_in_workers, map_batches
+from millrace.llm.batches import find_package_in_workers, map_batches, unused_name
 from millrace.llm.components import connected_components
 from millrace.llm.registry import query
 
@@ -106,7 +106,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     kind = df.schema[id_column].dataType.simpleString()
     columns = [df[id_column], F.xxhash64(df[text_column]), df[text_column]]
-    return map_batches(df, columns, f"{id_column} {kind}, text_hash bigint, fingerprint bigint", start)
+    return map_batches(df, columns, f"`{id_column}` {kind}, text_hash bigint, fingerprint bigint", start)
 
 
 def fingerprint_keys(distinct: DataFrame) -> DataFrame:
@@ -167,9 +167,10 @@ def one_of_each(df: DataFrame, groups: DataFrame, id_column: str = "doc_id", tex
     smallest id, of rows with one id that of the smallest hash. Rows without an id stay where there are no others."""
     first = F.min(F.struct(F.isnull(id_column).alias("last"), F.col(id_column).alias("id"), "text_hash"))
     chosen = groups.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    hashed = df.withColumn("_text_hash", F.xxhash64(text_column))
-    same = (hashed["_text_hash"] == chosen["_hash"]) & hashed[id_column].eqNullSafe(chosen["_id"])
-    return hashed.join(chosen, same, "left_semi").dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")
+    own = unused_name(df, "_text_hash")
+    hashed = df.withColumn(own, F.xxhash64(text_column))
+    same = (hashed[own] == chosen["_hash"]) & hashed[id_column].eqNullSafe(chosen["_id"])
+    return hashed.join(chosen, same, "left_semi").dropDuplicates([id_column, own]).drop(own)
 
 
 @query("op8_simhash_near_dedup")

@@ -124,7 +124,7 @@ def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         return each
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_batches(df, [df[id_column], df[text_column]], f"{id_column} {kind}, n_chars bigint, n_tokens bigint", start)
+    return map_batches(df, [df[id_column], df[text_column]], f"`{id_column}` {kind}, n_chars bigint, n_tokens bigint", start)
 
 
 @query("op2_token_counts")

@@ -7,6 +7,7 @@ import random
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns that operators use for results of their own.
 CLASHING = ["n_tokens", "ids", "rank", "size", "sequence_id", "offset", "fingerprint", "component_id", "kept", "block", "copy", "shard", "slot", "score", "bucket"]
+CLASHING += ["removed", "n_bytes", "chosen", "_text_hash", "text_hash", "_id", "_hash", "component", "words", "divergence"]
 COMMON = ["the", "of", "and", "to", "in"]
 STEMS = ["".join(random.Random(k).choices("abcdeéghiklmnoprstuü", k=2 + k % 9)) for k in range(2000)]
 

@@ -138,13 +138,29 @@ def test_near_duplicate_groups(spark, tmp_path):
     documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert ordered(op8_simhash_near_dedup(spark, str(tmp_path)).collect()) == wanted
     df = documents(spark, clashing=True)
-    groups = near_duplicate_groups(df.drop("fingerprint", "component_id"))
+    groups = near_duplicate_groups(df)
     kept = one_of_each(df, groups)
     assert kept.columns == df.columns
     assert sorted(row.doc_id for row in kept.collect()) == sorted(set(least.values()))
     assert near_duplicate_groups(documents(spark, [])).count() == 0
 
 
+def test_texts_without_id_or_with_one_id_stay(spark):
+    texts = [prose(7000 + k, 80) for k in range(5)]
+    rows = [(None, texts[0], "en", "s", 0), (None, texts[1], "en", "s", 0), (None, texts[1], "en", "s", 0), (5, texts[2], "en", "s", 0)]
+    rows += [(5, texts[3], "en", "s", 0), (6, texts[4], "en", "s", 0), (None, texts[4], "en", "s", 0), (7, texts[4], "en", "s", 0)]
+    df = documents(spark, rows)
+    kept = one_of_each(df, near_duplicate_groups(df)).collect()
+    wanted = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4])]
+    assert ordered((row.doc_id, row.text) for row in kept) == ordered(wanted)
+
+
+def test_column_names_with_spaces(spark):
+    df = documents(spark).withColumnRenamed("doc_id", "doc id")
+    assert near_duplicate_groups(df, "doc id").columns[0] == "doc id"
+    assert one_of_each(df, near_duplicate_groups(df, "doc id"), "doc id").columns == df.columns
+
+
 def brute_repeats(rows, length=100):
     """Per row by id: bytes, removed, spans, what is kept."""
     seen, results = set(), []

@@ -8,11 +8,12 @@ import pytest
 from cases import awkward_rows, documents, ordered, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from millrace.llm.byte_bpe import byte_bpe
 from millrace.llm.encoding import VOCABULARY, decode_documents, encode_documents
-from millrace.llm.packing import cutting_patterns, first_fit, library_bpe, pack, pack_documents, token_pieces
+from millrace.llm.packing import cutting_patterns, first_fit, library_bpe, pack, pack_documents, size_of, token_pieces
 from millrace.llm.token_counts import VOCABULARY as UNIGRAMS
 from millrace.llm.token_counts import count_tokens, unigram_counter, unigram_vocabulary
 from millrace.llm.word_cache import WordCache
@@ -147,6 +148,30 @@ def test_packing_leaves_little_room(spark):
     assert sum(row.length for row in rows) > 0.985 * 2048 * len(sequences)
 
 
+def lengths_frame(spark, lengths):
+    rows = [(k, 0, int(length), 0, 0) for k, length in enumerate(lengths)]
+    return spark.createDataFrame(rows, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint").repartition(3)
+
+
+@pytest.mark.parametrize("lengths, wanted", [([1] * 1000, 1), ([9] * 1000, 5), ([1] * 2048 + [2048] * 3, 4), ([65] * 310, 10)])
+def test_short_pieces_fill_sequences(spark, lengths, wanted):
+    sequences = check_packed(pack(lengths_frame(spark, lengths)).collect(), 2048)
+    assert len(sequences) == wanted
+
+
+def test_packing_of_short_and_mixed_texts(spark):
+    draw = np.random.default_rng(8)
+    for lengths in (draw.integers(1, 40, 20_000), np.concatenate([draw.integers(1, 12, 9000), draw.integers(60, 700, 9000)])):
+        sequences = check_packed(pack(lengths_frame(spark, lengths)).collect(), 2048)
+        assert lengths.sum() > 0.985 * 2048 * (len(sequences) - 1)
+
+
+def test_planned_sizes_hold_the_pieces(spark):
+    sizes = spark.range(1, 1002).select("id", size_of(F.col("id"), 1001).alias("size")).collect()
+    assert all(row.id <= row["size"] <= min(1001, row.id + row.id // 32) for row in sizes)
+    assert all(row["size"] == row.id for row in sizes if row.id <= 64)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(0, 300), max_size=20))
 def test_patterns_hold_the_demand(demand):

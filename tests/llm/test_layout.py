@@ -153,7 +153,7 @@ def pipeline_rows():
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
     rows = pipeline_rows()
-    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    documents(spark, rows, clashing=True).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(k, 1, int(k % 8 == 0)) for k in range(160)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
@@ -165,6 +165,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         ids[name] = sorted({row.doc_id for row in docs.collect()})
         if number < 4:
             assert docs.columns == columns
+            assert docs.where(" or ".join(f"`{name}` <> 'clash'" for name in CLASHING)).count() == 0
+            assert docs.where("n_chars <> char_length(text)").count() == 0 or number < 3
             text[name] = {row.doc_id: row.text for row in docs.collect()}
     assert ids["quality rules"] == [*range(160), 300, 301, 302, 303, 310]
     toxic = set(ids["quality rules"]) - set(ids["toxicity"])
