@@ -34,10 +34,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 100 bytes or more that come earlier; ``n_chars`` is that of the new text."""
-    others = [name for name in docs.columns if name not in ("doc_id", "text", "n_chars")]
-    kept = without_repeats(docs, carried=others, kept_text=True).withColumnRenamed("kept", "text")
-    counted = kept.withColumn("n_chars", F.char_length("text").cast("long"))
-    return counted.select(*[F.col(name).cast(docs.schema[name].dataType) for name in docs.columns])
+    names = [f"_column_{k}" if name not in ("doc_id", "text") else name for k, name in enumerate(docs.columns)]
+    numbered = docs.toDF(*names)
+    carried = [name for name in names if name not in ("doc_id", "text")]
+    kept = without_repeats(numbered, carried=carried, kept_text=True)
+    made = {"text": F.col("kept"), "n_chars": F.char_length("kept")}
+    columns = [made.get(old, F.col(name)).cast(docs.schema[old].dataType).alias(old) for old, name in zip(docs.columns, names, strict=True)]
+    return kept.select(*columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
