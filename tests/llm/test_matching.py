@@ -1,0 +1,311 @@
+"""Benchmark passages, periodic runs and centroid clusters against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from cases import CLASHING, awkward_rows, documents, ordered, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.llm import periods, winnowing
+from millrace.llm.centroids import cluster_vectors, nearest, op13_centroid_clustering, restored, transformed
+from millrace.llm.periods import WaveletTree, op12_periodic_runs, periodic_runs, planted, runs_of_texts
+from millrace.llm.registry import ORACLES
+from millrace.llm.winnowing import ORACLE, find_contamination, fingerprints, op11_benchmark_decontamination, words_of
+
+BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ITEMS = "item_id bigint, text string"
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute_contamination(rows, items):
+    windows = {}
+    for item, text in items:
+        words = BENCH_WORD.findall(lower(text))
+        size = min(10, len(words))
+        for at in range(len(words) - size + 1 if size else 0):
+            windows.setdefault(tuple(words[at : at + size]), set()).add(item)
+    sizes = {len(window) for window in windows}
+    results = []
+    for doc, text in rows:
+        words, hit, found = BENCH_WORD.findall(lower(text)), set(), set()
+        for size in sizes:
+            for at in range(len(words) - size + 1):
+                if (window := tuple(words[at : at + size])) in windows:
+                    hit.update(range(at, at + size))
+                    found |= windows[window]
+        names = sorted(str(item) for item in found if item is not None)
+        results.append((doc, len(words), len(hit), names))
+    return results
+
+
+def benchmark_items():
+    chosen = random.Random(11)
+    items = [(k, prose(8000 + k, chosen.randint(12, 60))) for k in range(60)]
+    head = prose(8100, 25)
+    items += [(100 + k, f"{head} {prose(8200 + k, 12)}") for k in range(30)]
+    items += [(200, None), (201, ""), (202, " ... !?"), (203, "One two three"), (204, "ÉCOLE É42"), (205, "solo"), (None, prose(8300, 30))]
+    items += [(0, prose(8301, 15)), (1, items[1][1]), (206, "a b c d e f g h i"), (207, "a a a a a a a a a a a a"), (208, "word " * 40)]
+    return items
+
+
+def passages(items):
+    """Awkward documents, and documents with whole, cut, repeated, overlapping and shouted passages of items."""
+    chosen, rows = random.Random(12), [row[:2] for row in awkward_rows()]
+    with_words = [text for _, text in items if text and len(text.split()) > 9]
+    for k in range(120):
+        parts = [prose(9000 + k, chosen.randint(0, 60))]
+        for _ in range(chosen.randint(0, 3)):
+            words = chosen.choice(with_words).split()
+            begin = chosen.randint(0, max(0, len(words) - 9))
+            parts.append(" ".join(words[begin : begin + chosen.randint(8, 30)]))
+            parts.append(chosen.choice(["", ", ", "-", prose(9500 + k, chosen.randint(1, 5))]))
+        rows.append((1000 + k, " ".join(parts).upper() if k % 7 == 0 else "\n".join(parts)))
+    rows += [(2000 + k, items[5][1]) for k in range(40)] + [(2100, "x one, TWO\tthree\x0bfour"), (2101, "école école É42 é42"), (2102, "a " * 30)]
+    return rows + [(2103, items[64][1] + "\n" + items[70][1]), (2104, "two three one two"), (2105, "SOLO"), (2106, "word-" * 11)]
+
+
+def frame(spark, rows):
+    return documents(spark, [(*row, None, None, None) for row in rows], clashing=True)
+
+
+@pytest.mark.parametrize("bits, broadcast_rows", [((16, 27), None), ((3, 4), 5)])
+def test_contamination_by_brute_force(spark, monkeypatch, bits, broadcast_rows):
+    """Also with a bitmap that lets nearly everything through, and with a join by shuffle."""
+    monkeypatch.setattr(winnowing, "LEAST_BITS", bits[0])
+    monkeypatch.setattr(winnowing, "MOST_BITS", bits[1])
+    items = benchmark_items()
+    rows = passages(items)
+    df = spark.createDataFrame(items, ITEMS).withColumn("window", F.lit("clash")).repartition(3)
+    found = find_contamination(frame(spark, rows), df, broadcast_rows=broadcast_rows).collect()
+    assert ordered((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found) == ordered(brute_contamination(rows, items))
+    for row in found:
+        assert row.n_hit == len({p for hit in row.hits for p in range(hit.begin, hit.begin + hit.words)})
+
+
+def test_contamination_query_against_its_sql(spark, tmp_path):
+    items = benchmark_items()
+    rows = passages(items)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op11_benchmark_decontamination(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+        wanted = db.execute(f"select {', '.join(got.columns)} from ({ORACLE})").fetchall()
+    assert ordered(got.collect()) == ordered(wanted)
+
+
+def test_contamination_of_nothing(spark):
+    none = spark.createDataFrame([], ITEMS)
+    assert find_contamination(frame(spark, []), spark.createDataFrame(benchmark_items(), ITEMS)).count() == 0
+    found = find_contamination(frame(spark, [(1, "a b"), (2, None)]), none).collect()
+    assert ordered((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found) == [(1, 2, 0, []), (2, 0, 0, [])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=30), st.lists(st.sampled_from("abcd"), max_size=20), st.integers(1, 10))
+def test_shared_windows_keep_a_fingerprint_at_the_same_word(shared, before, window):
+    shared = (shared * window)[: max(window, len(shared))]
+    alone, within = (words_of([" ".join(words).encode()]) for words in (shared, [*before, *shared, *before]))
+    mine, theirs = (dict(zip(*map(np.ndarray.tolist, fingerprints(words, window)), strict=True)) for words in (alone, within))
+    for at in range(len(shared) - window + 1):
+        kept = {place for place in mine if at <= place <= at + window - winnowing.gram_words(window)}
+        assert any(theirs.get(place + len(before)) == mine[place] for place in kept)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30)), min_size=1, max_size=6))
+def test_words_are_those_of_the_pattern(texts):
+    texts = [text and text.encode("utf-8", "replace") for text in texts]
+    words = words_of(texts)
+    got = [[] for _ in texts]
+    for at, number in enumerate(words.text.tolist()):
+        got[number].append(words.joined(at, 1).decode())
+    assert got == [BENCH_WORD.findall(lower((text or b"").decode())) for text in texts]
+
+
+def brute_runs(words, shortest=24, exponent=3):
+    smallest = {}
+    for period in range(len(words) // exponent, 0, -1):
+        at = 0
+        while at + period < len(words):
+            end = at
+            while end + period < len(words) and words[end] == words[end + period]:
+                end += 1
+            if end + period - at >= max(shortest, exponent * period):
+                smallest[at, end + period] = period
+            at = end + 1
+    return sorted((start, end - start, period) for (start, end), period in smallest.items())
+
+
+def repetitive_words(seed):
+    """Few words, powers, nested powers, Fibonacci words and powers between other words."""
+    r, kind = random.Random(seed), seed % 7
+    few = [b"%d" % r.randrange(r.choice([1, 2, 5]) + 1) for _ in range(r.randrange(1, 40))]
+    if kind == 0:
+        return few * 5
+    if kind == 1:
+        return [b"a"] * r.randrange(0, 200)
+    if kind == 2:
+        nested = [b"x"] * r.randrange(1, 12) + [b"y"] * r.randrange(0, 12)
+        return (nested * r.randrange(1, 4) + [b"z"] * r.randrange(0, 3)) * r.randrange(1, 6)
+    if kind == 3:
+        a, b = [b"0"], [b"0", b"1"]
+        for _ in range(r.randrange(3, 9)):
+            a, b = b, b + a
+        return b * r.randrange(1, 5)
+    if kind == 4:
+        return [b"p"] * r.randrange(0, 20) + [b"%d" % k for k in range(r.randrange(1, 70))] * r.randrange(1, 6)
+    out = []
+    while len(out) < 120:
+        out += [b"%d" % r.randrange(3) for _ in range(r.randrange(1, 20))] * r.randrange(1, 8)
+    return out
+
+
+@pytest.mark.parametrize("at_a_time", [1, 500, 1 << 19])
+def test_runs_by_brute_force(monkeypatch, at_a_time):
+    monkeypatch.setattr(periods, "WORDS_AT_A_TIME", at_a_time)
+    texts = [repetitive_words(seed) for seed in range(700)]
+    for words, runs in zip(texts, runs_of_texts(texts), strict=True):
+        assert [tuple(run) for run in runs.tolist()] == brute_runs(words)
+
+
+def test_range_successor():
+    draw = np.random.default_rng(3)
+    for size in (0, 1, 2, 50, 300):
+        values = draw.permutation(2 * size)[:size]
+        tree = WaveletTree(values, 2 * size)
+        left, right = np.sort(draw.integers(0, size + 1, (2, 400)), axis=0)
+        bound = draw.integers(0, 2 * size + 1, 400)
+        wanted = [min([v for v in values[a:b] if v >= x], default=2 * size) for a, b, x in zip(left, right, bound, strict=True)]
+        assert tree.successor(left, right, bound).tolist() == wanted
+
+
+def brute_planted(row, text):
+    words, check = WORD.findall(text or ""), zlib.crc32(str(row).encode())
+    draw, n = check // 10, len(words)
+    if row is None or check % 10 or not n:
+        return words
+    a = draw % n
+    p = 1 + (n - a) // (3 + draw % 8)
+    return [word if k < a else words[a + (k - a) % p] for k, word in enumerate(words)]
+
+
+def periodic_rows():
+    rows = [row[:2] for row in awkward_rows()] + [(5000 + k, prose(400 + k, 30 + 9 * k)) for k in range(80)]
+    rows += [(6000 + k, b" ".join(repetitive_words(k)).decode()) for k in range(60)]
+    return rows + [(7000, "a b " * 12), (7001, "a b " * 11 + "a"), (7002, "tab\tnew\nline\x0b " * 9), (7003, "x y z w " * 20)]
+
+
+def test_periodic_runs_query(spark, tmp_path):
+    rows = periodic_rows()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = []
+    for row, text in rows:
+        words = brute_planted(row, text)
+        runs = brute_runs(words)
+        best = max(runs, key=lambda run: (math.floor(10**12 * run[1] / run[2]), -run[0], -run[2]), default=(None, None, None))
+        dropped = {k for start, length, period in runs for k in range(start + period, start + length)}
+        kept = " ".join(word for k, word in enumerate(words) if k not in dropped)
+        lines = "".join("%d,%d,%d\n" % run for run in runs)
+        milli = 1000 * best[1] // best[2] if runs else None
+        wanted.append((row, len(runs), *best, milli, *(hashlib.sha256(x.encode()).hexdigest() for x in (lines, kept))))
+    assert ordered(op12_periodic_runs(spark, str(tmp_path)).collect()) == ordered(wanted)
+
+
+def test_planted_repeats():
+    for row, text in [*periodic_rows(), *((k, prose(k, 40)) for k in range(300))]:
+        assert WORD.findall((planted(row, text and text.encode()) or b"").decode()) == brute_planted(row, text)
+
+
+def test_no_periodic_runs(spark):
+    assert periodic_runs(frame(spark, [])).count() == 0
+    row = periodic_runs(frame(spark, [(1, None)])).collect()[0]
+    assert (row.n_words, row.runs, row.collapsed) == (0, [], "")
+    with pytest.raises(ValueError, match="at least 24 words"):
+        periodic_runs(frame(spark, []), shortest=10)
+
+
+VECTORS = "vec_id bigint, embedding array<float>"
+
+
+def vector_rows(count=150, components=64):
+    """Vectors in groups, ties, repeated rows, and rows that are left out."""
+    draw = np.random.default_rng(5)
+    rows = [(k, (draw.normal(0, 0.05, components) + (k % 5) / 4).astype("f4").tolist()) for k in range(count)]
+    rows += [(1000 + k, rows[3][1]) for k in range(9)] + [rows[7], rows[7], (None, rows[8][1]), (7, rows[9][1])]
+    rows += [(2000, None), (2001, []), (2002, rows[0][1][:-1]), (2003, [*rows[0][1][:-1], None])]
+    return rows + [(2004, [*rows[0][1][:-1], x]) for x in (math.nan, math.inf, -math.inf)] + [(3000, [0.0] * components), (3001, [-40000.5] * components)]
+
+
+def brute_clusters(rows, components=64, clusters=8, rounds=10):
+    kept = [(k, v) for k, v in rows if v is not None and len(v) == components and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(k, [math.floor(1024 * float(np.float32(x))) for x in v]) for k, v in kept]
+
+    def order(row):
+        packed = transformed(np.array([row[1]])).astype("<i8").tobytes()
+        return hashlib.sha256(f"3:{'' if row[0] is None else row[0]}".encode()).hexdigest(), packed
+
+    centroids = [v for _, v in sorted(kept, key=order)[:clusters]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(centroids)) for _, v in kept]
+
+    for _ in range(rounds):
+        chosen = assign()
+        for k in range(len(centroids)):
+            if mine := [v for (_, v), (_, cluster) in zip(kept, chosen, strict=True) if cluster == k]:
+                centroids[k] = [sum(column) // len(mine) for column in zip(*mine, strict=True)]
+    chosen = assign()
+    inertia = {k: sum(d for d, cluster in chosen if cluster == k) for k in range(len(centroids))}
+    whole = sum(inertia.values())
+    return [(row, k, d, inertia[k], whole, centroids[k]) for (row, _), (d, k) in zip(kept, chosen, strict=True)]
+
+
+def test_clusters_by_brute_force(spark):
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, VECTORS).repartition(4).withColumns({name: F.lit(0) for name in [*CLASHING, "cluster", "coefficients", "centroid"]})
+    assert ordered(cluster_vectors(df).collect()) == ordered(brute_clusters(rows))
+
+
+def test_fewer_vectors_and_components(spark):
+    rows = vector_rows(count=4, components=8)[:4]
+    df = spark.createDataFrame(rows, VECTORS)
+    assert ordered(cluster_vectors(df, components=8, rounds=2).collect()) == ordered(brute_clusters(rows, components=8, rounds=2))
+    assert cluster_vectors(df).collect() == []
+    assert cluster_vectors(spark.createDataFrame([], VECTORS)).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid"]
+
+
+def test_cluster_query_against_its_sql(spark, tmp_path):
+    rows = [row for row in vector_rows() if row[0] is not None and row[0] != 7]
+    spark.createDataFrame(rows, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = op13_centroid_clustering(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        wanted = db.execute(f"select {', '.join(got.columns)} from ({ORACLES['op13_centroid_clustering']})").fetchall()
+    assert ordered(got.collect()) == ordered(wanted)
+
+
+@pytest.mark.parametrize("size, components", [(3, 64), (1000, 64), (1 << 40, 64), (2, 2), (5, 16)])
+def test_nearest_with_ties_and_large_values(size, components):
+    draw = np.random.default_rng(size)
+    vectors, centroids = (draw.integers(-size, size + 1, (n, components)) for n in (300, 12))
+    centroids[7] = centroids[2]
+    vectors[5] = centroids[7]
+    best, distance = nearest(transformed(vectors), transformed(centroids))
+    exact = [min((sum((int(a) - int(b)) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(centroids)) for v in vectors]
+    assert list(zip(distance.tolist(), best.tolist(), strict=True)) == exact
+    assert (restored(transformed(vectors)) == vectors).all()
+    assert nearest(transformed(vectors[:0]), transformed(centroids))[0].tolist() == []
