@@ -49,6 +49,12 @@ class Measure:
             ]
         return [self.whole().alias(self._part(self.function))]
 
+    def merges(self) -> dict[str, str]:
+        """How each partial result is put together with others of its kind."""
+        if self.function == "avg":
+            return {self._part("sum"): "sum", self._part("count"): "sum"}
+        return {self._part(self.function): "sum" if self.function in ("count", "sum") else self.function}
+
     def combined(self, types: Mapping[str, T.DataType]) -> Column:
         """The measure from the partial results of many slots, in the type ``whole`` would give."""
         if self.function == "avg":

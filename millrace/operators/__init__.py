@@ -26,6 +26,7 @@ from millrace.operators.decode import (
     to_log,
 )
 from millrace.operators.dedup import deduplicate
+from millrace.operators.history import as_of, chain_breaks, history
 from millrace.operators.late import (
     batch_watermarks,
     classify_lateness,
@@ -36,6 +37,7 @@ from millrace.operators.late import (
     with_late_metadata,
     with_lateness,
 )
+from millrace.operators.quantiles import pane_sketches, rank_error, window_quantiles
 from millrace.operators.reprocess import reprocess, reprocess_sessions, stale_sessions, touched_windows
 from millrace.operators.windows import EventWindow, aggregate_windows, with_event_date, with_event_watermark
 
@@ -43,8 +45,10 @@ __all__ = [
     "EventWindow",
     "OPERATIONS",
     "aggregate_windows",
+    "as_of",
     "batch_watermarks",
     "capture_delay",
+    "chain_breaks",
     "change_counts_per_window",
     "changed_fields",
     "classify_lateness",
@@ -57,13 +61,16 @@ __all__ = [
     "enrich_late",
     "flatten_metadata",
     "good_events",
+    "history",
     "lateness_profile",
     "latest_state",
     "live_rows",
     "mark_late",
     "newest_changes",
     "operation_counts",
+    "pane_sketches",
     "quarantined",
+    "rank_error",
     "reprocess",
     "reprocess_sessions",
     "route_changes",
@@ -73,6 +80,7 @@ __all__ = [
     "stale_sessions",
     "to_log",
     "touched_windows",
+    "window_quantiles",
     "with_capture_delay",
     "with_event_date",
     "with_event_watermark",

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.durations import interval
 from millrace.functions.schemas import ORDER_EVENT, ORDER_REQUIRED
 
 LINEAGE = ("key", "topic", "partition", "offset")
 MALFORMED = "malformed_json"
 MISSING = "missing_required"
+FUTURE = "future_time"
+PAST = "past_time"
 
 # The default JSON formats cut timestamps to milliseconds.
 _JSON_FORMATS = {
@@ -53,13 +56,34 @@ def decode_events(log: DataFrame, schema: T.StructType = ORDER_EVENT, *, lineage
     )
 
 
+def wrong_time(time: Column, arrival: Column, max_ahead: str | None, max_behind: str | None = None) -> Column:
+    """Why an event time cannot be right: it is further ahead of the arrival, or behind it, than a clock may be wrong.
+
+    Null where it can be right, and where there is no arrival to compare it with. One event far ahead would move
+    the watermark past all others; event times far behind would each open a day of their own in the logs.
+    """
+    reason = F.lit(None).cast("string")
+    if max_behind is not None:
+        reason = F.when(time < arrival - interval(max_behind), PAST).otherwise(reason)
+    if max_ahead is not None:
+        reason = F.when(time > arrival + interval(max_ahead), FUTURE).otherwise(reason)
+    return reason
+
+
 def decode_checked(
-    log: DataFrame, schema: T.StructType = ORDER_EVENT, required: Sequence[str] = ORDER_REQUIRED
+    log: DataFrame,
+    schema: T.StructType = ORDER_EVENT,
+    required: Sequence[str] = ORDER_REQUIRED,
+    *,
+    time_column: str | None = None,
+    max_ahead: str | None = None,
+    max_behind: str | None = None,
 ) -> DataFrame:
     """Decode every message, good or bad.
 
     Adds the lineage columns, ``quarantine_reason`` (null for a good event) and ``raw_value`` (the text of a
-    bad one). ``good_events`` and ``quarantined`` pick the two sides.
+    bad one). ``good_events`` and ``quarantined`` pick the two sides. With ``time_column``, events whose time is
+    further from the message's than ``max_ahead`` and ``max_behind`` allow are bad as well.
     """
     unknown = set(required) - set(schema.names)
     if unknown:
@@ -71,6 +95,9 @@ def decode_checked(
     reason = F.when(F.col("__corrupt").isNotNull(), MALFORMED)
     for name in required:
         reason = reason.when(F.col(f"`{name}`").isNull(), MISSING)
+    if time_column is not None:
+        wrong = wrong_time(F.col(f"`{time_column}`"), F.col("kafka_timestamp"), max_ahead, max_behind)
+        reason = F.coalesce(reason, wrong)
     return (
         log.select(
             parsed_once(event),

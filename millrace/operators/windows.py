@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from millrace.functions.folders import stored
 from millrace.functions.measures import Measure, column_type, measure_types, parse_measures
 
 KINDS = ("tumbling", "sliding", "session", "none")
+# Windows over more panes than this are put together from parts of blocks, not from panes.
+EXPANDED_PANES = 6
 # The partition column of event logs: the date of the event time in UTC.
 DATE_COLUMN = "utc_date"
 
@@ -128,6 +131,8 @@ def _sliding(
     panes = df.groupBy(F.window(time_column, as_text(pane)).alias("__pane"), *keys).agg(
         *[part for m in measures for part in m.partials(df)]
     )
+    if duration // pane > EXPANDED_PANES:
+        return _from_blocks(panes, duration, slide, keys, measures, types)
     at = F.col("__pane.start")
     newest = at if pane == slide else F.window(at, as_text(slide))["start"]
     # Every window start from the newest one back to, but without, one whole duration before the pane.
@@ -142,6 +147,59 @@ def _sliding(
     return result.select("window_start", "window_end", *keys, *[m.name for m in measures])
 
 
+def _from_blocks(
+    panes: DataFrame, duration: int, slide: int, keys: list[str], measures: list[Measure], types: dict
+) -> DataFrame:
+    """Windows over panes, from two rows per window at most."""
+    parts = window_parts(panes, duration, slide, keys, measures, types)
+    result = parts.groupBy("__start", *keys).agg(*[m.combined(types) for m in measures])
+    if panes.schema["__pane"].dataType["start"].dataType.typeName() == "timestamp_ntz":
+        elapsed = F.make_interval(secs=(F.col("__start") / F.lit(Decimal(1_000_000))).cast("decimal(18,6)"))
+        begin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + elapsed
+    else:
+        begin = F.timestamp_micros("__start")
+    result = result.withColumn("window_start", begin)
+    result = result.withColumn("window_end", F.col("window_start") + interval_micros(duration))
+    return result.select("window_start", "window_end", *keys, *[m.name for m in measures])
+
+
+def window_parts(
+    panes: DataFrame, duration: int, slide: int, keys: list[str], measures: list[Measure], types: dict
+) -> DataFrame:
+    """Partial results by ``__start`` of windows and keys: two rows per window at most, whatever number of panes it has.
+
+    Time is cut into blocks as long as a window. A window is the end of one block, from the window's start on, and the
+    beginning of the next, up to the window's end: running aggregates over a block from either side give both, for
+    measures of any kind. A pane stands for all window bounds between it and the pane beside it. What one key brings to
+    one task is one block. The running aggregates need no more exchange than the blocks themselves.
+    """
+    plain = panes.schema["__pane"].dataType["start"].dataType.typeName() == "timestamp_ntz"
+    start = F.col("__pane.start")
+    placed = panes.withColumn("__at", F.unix_micros(utc_instant(start) if plain else start))
+    placed = placed.withColumn("__block", F.col("__at") - F.pmod("__at", F.lit(duration)))
+    block = Window.partitionBy(*keys, "__block")
+    from_start, from_end = (block.orderBy(order) for order in (F.asc("__at"), F.desc("__at")))
+    parts = {name: how for m in measures for name, how in m.merges().items()}
+
+    def running(order) -> list[Column]:
+        over = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return [getattr(F, how)(name).over(over).cast(types[name]).alias(name) for name, how in parts.items()]
+
+    def last_start(time: Column) -> Column:
+        return time - F.pmod(time, F.lit(slide))
+
+    # Windows that begin after the pane before, up to this one: this pane and all after it in the block are in them.
+    before = F.coalesce(F.lead("__at").over(from_end), F.col("__block") - 1)
+    ends = F.struct((last_start(before) + slide).alias("low"), last_start(F.col("__at")).alias("high"), *running(from_end))
+    # Windows that end after this pane, up to the next one: this pane and all before it in the block are in them.
+    after = F.coalesce(F.lead("__at").over(from_start), F.col("__block") + (duration - 1))
+    low, high = last_start(F.col("__at") - duration) + slide, last_start(after - duration)
+    beginnings = F.struct(low.alias("low"), high.alias("high"), *running(from_start))
+    sides = placed.select(*keys, ends.alias("__ends"), beginnings.alias("__beginnings"))
+    sides = sides.select(*keys, F.inline(F.array("__ends", "__beginnings"))).where("low <= high")
+    return sides.withColumn("__start", F.explode(F.sequence("low", "high", F.lit(slide).cast("long"))))
+
+
 def _sliding_stream(
     df: DataFrame, window: EventWindow, time_column: str, keys: list[str], measures: list[Measure]
 ) -> DataFrame:
@@ -203,7 +261,8 @@ def _chained(slots: DataFrame, gap: int, types: dict, measures: list[Measure]) -
     lasts = lasts.select("__range", F.lag("__top").over(by_range).alias("__before"))
     previous = F.coalesce(F.lag("__last").over(in_range), "__before")
     opens = F.when(F.col("__first") <= previous + interval_micros(gap), 0).otherwise(1)
-    chained = stored(
+    # Used twice, for the counts per range and for the sessions: working it out again costs less than to store it.
+    chained = (
         ranges.join(F.broadcast(lasts), "__range")
         .withColumn("__opens", opens)
         .withColumn("__here", F.sum("__opens").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -20,6 +20,7 @@ from millrace.operators.cdc import (
     split_changes,
     write_routed,
 )
+from millrace.operators.history import as_of, chain_breaks, history
 from millrace.operators.windows import EventWindow
 from millrace.plans.registry import query
 from millrace.plans.window_queries import plain
@@ -104,7 +105,7 @@ def cdc_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cdc_apply_stream", STATE)
 def cdc_apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes applied by a stream in the worst order, deletes first, with a compaction at the end."""
+    """Changes applied by a stream in the worst order, deletes first."""
     work = new_folder(spark, "changes")
     table = ChangeTable(f"{work}/table")
     rank = F.when(F.col("op") == "d", 0).when(F.col("op") == "u", 1).otherwise(2)
@@ -112,7 +113,6 @@ def cdc_apply_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for folder in fed_in_turns(source, "turn"):
         stream = spark.readStream.schema(source.schema).parquet(folder)
         run(table_sink(stream, table.apply_batch, "append", f"{work}/checkpoint"), AVAILABLE_NOW).awaitTermination()
-    table.compact(spark)
     return table.read(spark)
 
 
@@ -196,3 +196,49 @@ def cdc_latest_state_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = decode_changes_checked(log, ACCOUNT_ROW)
     run(table_sink(changes, table.apply_batch, "append", f"{work}/checkpoint"), AVAILABLE_NOW).awaitTermination()
     return table.read(spark)
+
+
+#: The history with holes: some updates, and the beginnings of some rows, never came.
+_HOLES = "not (op = 'u' and id % 5 = 0) and not (op in ('c', 'r') and id % 7 = 0)"
+
+
+@query(
+    "cdc_chain_breaks",
+    f"""select source_table, id row_key, ts_ms, "offset", op, reason from (
+          select *, case when op = 'r' then null when number = 1 and bal_before is not null then 'no_beginning'
+                         when number > 1 and bal_before is distinct from former then 'changed_between' end reason
+          from (select *, lag(bal_after) over w former, row_number() over w number
+                from ({CHANGES}) where op <> 't' and {_HOLES}
+                window w as (partition by source_table, id order by ts_ms, "offset")))
+        where reason is not null""",
+)
+def cdc_chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = row_image(split_changes(changes(spark, sf_dir))[0])
+    return chain_breaks(known.withColumn("id", F.col("row_key")).where(_HOLES).drop("id", "row_key", "image"))
+
+
+@query(
+    "cdc_history",
+    f"""select source_table, id row_key, ts_ms valid_from,
+          lead(ts_ms) over (partition by source_table, id order by ts_ms, "offset") valid_to, name, bal_after::double acctbal
+        from ({CHANGES}) where op <> 't' qualify op <> 'd'""",
+)
+def cdc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history(split_changes(changes(spark, sf_dir))[0])
+    return plain(found.select("source_table", "row_key", "valid_from", "valid_to", "image.name", "image.acctbal"))
+
+
+@query(
+    "cdc_as_of",
+    f"""select o_orderkey, row_key, at_ms, bal_after::double acctbal
+        from (select o_orderkey, o_custkey row_key, 1704067200000 + (o_orderkey * 7919) % 12000000 at_ms from orders) l
+        asof left join (select * from ({CHANGES}) where op <> 't' and source_table = 'customers') c
+          on l.row_key = c.id and l.at_ms >= c.ts_ms""",
+)
+def cdc_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account of each order's customer as it was at some time of the history."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = (F.lit(1704067200000) + (F.col("o_orderkey").cast("long") * 7919) % 12_000_000).alias("at_ms")
+    asked = orders.select("o_orderkey", F.lit("customers").alias("source_table"), F.col("o_custkey").cast("int").alias("row_key"), at)
+    found = as_of(split_changes(changes(spark, sf_dir))[0], asked)
+    return plain(found.select("o_orderkey", "row_key", "at_ms", F.col("image.acctbal").alias("acctbal")))

@@ -30,7 +30,7 @@ _KEYS = {
         "min_partitions",
     },
     "source": {"type", "path", "format", "max_files_per_trigger"},
-    "watermark": {"column", "delay"},
+    "watermark": {"column", "delay", "max_ahead", "max_behind"},
     "processing": {"window_type", "window_duration", "slide_duration", "session_gap", "group_by", "aggregations", "panes"},
     "late": {"path", "max_lateness", "sized_files", "max_batches", "bootstrap_servers", "topic", "key"},
     "quarantine": {"path", "bad_events"},
@@ -67,6 +67,8 @@ class PipelineConfig:
     dedup_salts: int = 8
     time_column: str = "event_time"
     delay: str = "10 minutes"
+    max_ahead: str | None = "1 day"
+    max_behind: str | None = None
     window: EventWindow = EventWindow()
     group_by: tuple[str, ...] = ("event_type",)
     aggregations: Mapping[str, str] = field(default_factory=lambda: dict(ORDER_METRICS))
@@ -102,6 +104,8 @@ class PipelineConfig:
             dedup_salts=int(config.get("dedup_salts", 8)),
             time_column=time_column,
             delay=watermark.get("delay", "10 minutes"),
+            max_ahead=watermark.get("max_ahead", "1 day"),
+            max_behind=watermark.get("max_behind"),
             window=EventWindow(
                 processing.get("window_type", "tumbling"),
                 processing.get("window_duration", "5 minutes"),
@@ -130,7 +134,8 @@ class PipelineConfig:
         return result
 
     def _check(self) -> None:
-        to_micros(self.delay)
+        for duration in filter(None, (self.delay, self.max_ahead, self.max_behind)):
+            to_micros(duration)
         to_micros(self.max_lateness)
         names = set(self.schema.names)
         used = {self.time_column, *self.required, *self.dedup}

@@ -9,9 +9,11 @@ from millrace.functions.folders import new_folder
 from millrace.functions.measures import ORDER_METRICS
 from millrace.operators.decode import encode_events
 from millrace.operators.late import enrich_late, lateness_profile, mark_late, split_late, with_lateness
+from millrace.operators.quantiles import pane_sketches, window_quantiles
 from millrace.operators.reprocess import reprocess, reprocess_sessions, touched_windows
 from millrace.operators.windows import EventWindow
-from millrace.plans.pipeline import EventPipeline
+from millrace.plans.config import PipelineConfig
+from millrace.plans.pipeline import EventPipeline, query_settings, session_settings
 from millrace.plans.registry import query
 from millrace.plans.window_queries import (
     HOUR,
@@ -26,20 +28,23 @@ from millrace.plans.window_queries import (
     tumbling,
 )
 from millrace.sources.tables import events_stream, fed_in_turns, order_events
-from millrace.streaming.router import LATE, ON_TIME, LateRouter
+from millrace.streaming.router import LATE, ON_TIME, QUARANTINE, LateRouter
+from millrace.streaming.sessions import apply_session_changes, session_changes
+from millrace.streaming.sinks import run, table_sink
 from millrace.streaming.triggers import AVAILABLE_NOW
+from millrace.streaming.upsert import UpsertTable
 
 
-def marked(batch: str = "hour") -> str:
+def marked(batch: str = "hour", source: str = ORDERS) -> str:
     """Order events in SQL with the watermark of their micro-batch (one per hour of arrival)."""
     return f"""
       select o.*, wm, coalesce(event_time < wm, false) is_late, date_diff('second', event_time, arrival) lateness_seconds
-      from (select *, date_trunc('{batch}', arrival) batch from ({ORDERS})) o
+      from (select *, date_trunc('{batch}', arrival) batch from ({source})) o
       join (select date_trunc('{batch}', arrival) batch,
                    max(max(event_time)) over (order by date_trunc('{batch}', arrival)
                                               rows between unbounded preceding and 1 preceding)
                    - interval 10 minutes wm
-            from ({ORDERS}) group by 1) using (batch)"""
+            from ({source}) group by 1) using (batch)"""
 
 
 LATE_ORDERS = f"select * from ({marked()}) where is_late"
@@ -239,6 +244,55 @@ def rolling_avg_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(spark.read.parquet(f"{work}/out"))
 
 
+@query("late_sessions_stream", sessions("count(*) event_count, sum(quantity)::bigint total_quantity", "30 minutes"))
+def late_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream that late events lengthen and join as they come: equal to those of all events at once."""
+    work, source = new_folder(spark, "sessions"), weekly(spark, sf_dir)
+    table = UpsertTable(f"{work}/table", ["window_start", "window_end", "customer_id"])
+    settings = session_settings(PipelineConfig.from_dict({"source": {"type": "events"}, "shuffle_partitions": cores(spark)}))
+    for folder in fed_in_turns(source, "week"):
+        events = spark.readStream.schema(source.schema).parquet(folder)
+        changed = session_changes(events, "30 minutes", group_by=["customer_id"], aggregations=TOUCHED_SPEC, horizon="3650 days")
+        with query_settings(spark, settings):
+            run(table_sink(changed, apply_session_changes(table), "update", f"{work}/checkpoint"), AVAILABLE_NOW).awaitTermination()
+    return plain(table.read(spark))
+
+
+@query("open_windows_state", tumbling(METRICS))
+def open_windows_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that a stream has closed, from its sink, and those it holds open, from its state: all there are."""
+    work, source = new_folder(spark, "open"), weekly(spark, sf_dir)
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "events"},
+            "processing": {"window_type": "tumbling", "window_duration": "1 hour"},
+            # No event of this table is further behind the others than its delay.
+            "watermark": {"delay": "4 hours"},
+            "output": {"type": "parquet", "path": f"{work}/out", "partition_by": None},
+            "checkpoint": f"{work}/checkpoint",
+            "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
+        }
+    )
+    for folder in fed_in_turns(source, "week"):
+        pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
+        pipeline.await_all()
+    return plain(spark.read.parquet(f"{work}/out").unionByName(pipeline.open_windows(spark, source)))
+
+
+@query(
+    "lateness_quantiles",
+    f"""select date_trunc('day', event_time) window_start, date_trunc('day', event_time) + interval 1 day window_end, event_type,
+          count(*) n, quantile_disc(lateness_seconds, 0.5)::bigint p50, quantile_disc(lateness_seconds, 0.95)::bigint p95,
+          quantile_disc(lateness_seconds, 0.99)::bigint p99 from ({marked()}) where is_late group by all""",
+)
+def lateness_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How late the late events of a day are, from sketches of each hour."""
+    late = with_lateness(split_late(marked_orders(spark, sf_dir))[1])
+    sketches = pane_sketches(late, "lateness_seconds", "1 hour", group_by=["event_type"])
+    return plain(window_quantiles(sketches, EventWindow("tumbling", "1 day"), "1 hour", group_by=["event_type"]))
+
+
 @query("late_router_complete", tumbling(METRICS))
 def late_router_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows from the on-time log, corrected by reprocessing the side output: equal to all events at once."""
@@ -257,13 +311,62 @@ def late_router_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     for folder in fed_in_turns(source, "week"):
         pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
         pipeline.await_all()
-    on_time = pipeline.router().read_on_time(spark, source.schema)
-    late = pipeline.router().read_late(spark, source.schema)
-    corrected = reprocess(on_time, late, HOUR, group_by=["event_type"], aggregations=ORDER_METRICS)
-    pipeline.upserted().apply_corrections(corrected)
+    pipeline.correct(spark, source.schema)
     return plain(pipeline.upserted().read(spark))
 
 
+@query("late_router_corrections", tumbling(METRICS))
+def late_router_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected while the stream goes on, which writes open windows again without their late events, and at the end."""
+    work, source = new_folder(spark, "corrections"), weekly(spark, sf_dir)
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "events"},
+            "processing": {"window_type": "tumbling", "window_duration": "1 hour"},
+            "late": {"path": f"{work}/routed"},
+            "output": {"type": "table", "path": f"{work}/table"},
+            "checkpoint": f"{work}/checkpoint",
+            "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
+        }
+    )
+    for turn, folder in enumerate(fed_in_turns(source, "week")):
+        pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
+        pipeline.await_all()
+        if turn in (1, 2):
+            pipeline.correct(spark, source.schema)
+    pipeline.correct(spark, source.schema)
+    return plain(pipeline.upserted().read(spark))
+
+
+WRONG_CLOCK = 400
+
+
+@query(
+    "late_router_future",
+    f"""select order_id, case when is_late then 'late' else 'on_time' end side, '' reason
+        from ({marked("week", f"select * from ({ORDERS}) where order_id::bigint % {WRONG_CLOCK} <> 7")})
+        union all select order_id, 'quarantine', 'future_time' from ({ORDERS}) where order_id::bigint % {WRONG_CLOCK} = 7""",
+)
+def late_router_future(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some events come from a clock seventy years ahead: they go to quarantine, and no other event becomes late by them."""
+    source = weekly(spark, sf_dir)
+    wrong = F.col("order_id").cast("long") % WRONG_CLOCK == 7
+    ahead = F.when(wrong, F.col("event_time") + F.expr("interval 70 years")).otherwise(F.col("event_time"))
+    source = source.withColumn("event_time", ahead)
+    router = LateRouter(new_folder(spark, "future"))
+    for folder in fed_in_turns(source, "week"):
+        router.start(spark.readStream.schema(source.schema).parquet(folder), AVAILABLE_NOW).awaitTermination()
+    read = {ON_TIME: router.read_on_time, LATE: router.read_late, QUARANTINE: router.read_quarantine}
+    sides = [
+        rows(spark, source.schema).select(
+            "order_id", F.lit(side).alias("side"), F.col("quarantine_reason").alias("reason") if side == QUARANTINE else F.lit("").alias("reason")
+        )
+        for side, rows in read.items()
+    ]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
+
+
 _WEEKLY_SESSIONS = sessions("count(*) event_count, bool_or(is_late) touched", "30 minutes", source=marked("week"))
 
 
@@ -294,10 +397,7 @@ def late_sessions_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     for folder in fed_in_turns(source, "week"):
         pipeline.start(spark, spark.readStream.schema(source.schema).parquet(folder))
         pipeline.await_all()
-    on_time, late = (read(spark, source.schema) for read in (pipeline.router().read_on_time, pipeline.router().read_late))
-    spec = {"event_count": "count(*)"}
-    new, former = reprocess_sessions(on_time, late, SESSION, group_by=["customer_id"], aggregations=spec)
-    pipeline.upserted().apply_corrections(new, former)
+    pipeline.correct(spark, source.schema)
     return plain(pipeline.upserted().read(spark))
 
 

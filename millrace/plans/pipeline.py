@@ -8,19 +8,22 @@ from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from millrace.operators.decode import decode_checked, good_events, no_bad_events, quarantined
 from millrace.operators.dedup import deduplicate
+from millrace.operators.reprocess import reprocess, reprocess_sessions
 from millrace.operators.windows import aggregate_windows, with_event_watermark
 from millrace.plans.config import PipelineConfig
 from millrace.sources.event_log import read_log, stream_log
 from millrace.sources.kafka import kafka_replay, kafka_stream
-from millrace.streaming.router import LateRouter
+from millrace.streaming.router import LateRouter, ReaderPace
 from millrace.streaming.sinks import console_sink, kafka_sink, output_mode, parquet_sink, table_sink
+from millrace.streaming.state import open_windows
 from millrace.streaming.triggers import AVAILABLE_NOW, triggered
-from millrace.streaming.upsert import UpsertTable, merge_into
+from millrace.streaming.upsert import SEEN, UpsertTable, merge_corrections, merge_into
 
 
 # Sessions of a hot key are merged in the task that read them, before the shuffle.
@@ -56,7 +59,7 @@ def build_session(config: PipelineConfig) -> SparkSession:
 
 
 @contextmanager
-def _settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+def query_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
     """Set while queries start: each query keeps a copy of the settings it was started with."""
     before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
@@ -78,6 +81,7 @@ class EventPipeline:
     def __init__(self, config: Mapping[str, Any] | PipelineConfig) -> None:
         self.config = config if isinstance(config, PipelineConfig) else PipelineConfig.from_dict(config)
         self.queries: list[StreamingQuery] = []
+        self._pace: ReaderPace | None = None
 
     def log_stream(self, spark: SparkSession) -> DataFrame:
         source = self.config.source
@@ -108,9 +112,14 @@ class EventPipeline:
         """
         if self.config.source.kind == "events":
             return log
-        checked = decode_checked(log, self.config.schema, self.config.required)
+        checked = self._checked(log)
         return good_events(checked) if self.config.bad_events != "fail" else no_bad_events(checked)
 
+    def _checked(self, log: DataFrame) -> DataFrame:
+        config = self.config
+        bounds = {"time_column": config.time_column, "max_ahead": config.max_ahead, "max_behind": config.max_behind}
+        return decode_checked(log, config.schema, config.required, **bounds)
+
     def transform(self, events: DataFrame) -> DataFrame:
         config = self.config
         stream = with_event_watermark(events, config.time_column, config.delay)
@@ -121,10 +130,51 @@ class EventPipeline:
             config.window,
             time_column=config.time_column,
             group_by=config.group_by,
-            aggregations=config.aggregations,
+            aggregations=self._measures(events),
             stream_panes=config.panes,
         )
 
+    def open_windows(self, spark: SparkSession, log: DataFrame) -> DataFrame:
+        """The windows that the stream has begun and not yet written, from its state; ``log`` tells the types alone."""
+        config = self.config
+        if config.window.kind == "none" or config.panes:
+            raise ValueError("only windows of a single aggregate can be read from the state")
+        events = self.decode(log)
+        if config.late_path is not None:
+            events = events.withColumn("batch_id", F.lit(None).cast("long"))
+        parts = {"group_by": config.group_by, "aggregations": self._measures(events)}
+        found = open_windows(spark, self._checkpoint(), events, config.window, **parts)
+        return found.drop(SEEN) if SEEN in found.columns else found
+
+    def _measures(self, events: DataFrame) -> Mapping[str, str]:
+        """Results for a table behind the router also say which of its batches they have seen."""
+        tells = self._corrected() and self.config.window.kind != "none" and "batch_id" in events.columns
+        return {**self.config.aggregations, SEEN: "max(batch_id)"} if tells else self.config.aggregations
+
+    def _corrected(self) -> bool:
+        return self.config.late_path is not None and self.config.output.kind == "table"
+
+    def correct(self, spark: SparkSession, schema: T.StructType | None = None) -> None:
+        """Write the windows that late events belong to again, from both logs of the router, into the output table.
+
+        May run beside the stream and as often as wanted: what the stream writes later has seen more of the log, and
+        the next correction more than that. ``schema`` is that of the events where they come decoded.
+        """
+        config, router = self.config, self.router()
+        if not self._corrected() or config.window.kind == "none":
+            raise ValueError("corrections are for windows behind the late router, in a table")
+        schema = schema or config.schema
+        on_time, late = router.read_on_time(spark, schema), router.read_late(spark, schema)
+        parts = {"time_column": config.time_column, "group_by": config.group_by, "aggregations": self._measures(on_time)}
+        if config.window.kind == "session":
+            rows, former = reprocess_sessions(on_time, late, config.window, **parts)
+        else:
+            rows, former = reprocess(on_time, late, config.window, **parts), None
+        if config.output.table is None:
+            self.upserted().apply_corrections(rows, former)
+        else:
+            merge_corrections(config.output.table, self._result_key(), SEEN, rows, former)
+
     def on_table(self, log: DataFrame) -> DataFrame:
         """The pipeline over a bounded log: every window, no watermark."""
         return self.transform(self.decode(log))
@@ -136,7 +186,7 @@ class EventPipeline:
         self._checkpoint()
         self.queries = []
         try:
-            with _settings(spark, self._query_settings()):
+            with query_settings(spark, self._query_settings()):
                 return self._start(spark, log)
         except Exception:
             self.stop()
@@ -152,9 +202,16 @@ class EventPipeline:
             events = self.decode(log)
         if self.config.late_path is not None and self.config.trigger == AVAILABLE_NOW:
             router = self.router()
-            while router.release(spark) == router.release_batches is not None:
+            router.release(spark)
+            while router.waiting(spark):
                 self._writer_of(events).start().awaitTermination()
+                router.note_read(spark)
+                router.release(spark)
+        if self.config.late_max_batches is not None:
+            self._pace = self.router().follow(spark)
         self.queries.append(self._writer_of(events).start())
+        if self._pace is not None:
+            self._pace.of(self.queries[-1])
         return self.queries
 
     def _writer_of(self, events: DataFrame) -> DataStreamWriter:
@@ -164,6 +221,9 @@ class EventPipeline:
         """Stop the queries after their running batch is given up; a restart resumes from the checkpoints."""
         for query in reversed(self.queries):
             query.stop()
+        if self._pace is not None:
+            self._pace.spark.streams.removeListener(self._pace)
+            self._pace = None
 
     def await_all(self, timeout: float | None = None) -> bool:
         """Wait until all queries have ended; say whether they have. If one fails, the others are stopped and it raises."""
@@ -193,12 +253,14 @@ class EventPipeline:
         if output.kind == "kafka":
             return kafka_sink(result, output.servers, output.topic, mode, checkpoint, key=self._result_key())
         if output.table is not None:
-            return table_sink(result, merge_into(output.table, self._result_key()), mode, checkpoint)
+            seen = SEEN if SEEN in result.columns else None
+            return table_sink(result, merge_into(output.table, self._result_key(), seen=seen), mode, checkpoint)
         return table_sink(result, self.upserted().upsert_batch, mode, checkpoint)
 
     def upserted(self) -> UpsertTable:
         """The table a ``table`` sink with a path writes to."""
-        return UpsertTable(self.config.output.path, self._result_key())
+        seen = SEEN if self._corrected() and self.config.window.kind != "none" else None
+        return UpsertTable(self.config.output.path, self._result_key(), seen=seen)
 
     def router(self) -> LateRouter:
         return LateRouter(
@@ -208,6 +270,8 @@ class EventPipeline:
             time_column=self.config.time_column,
             sized_files=self.config.late_sized_files,
             release=self.config.late_max_batches,
+            max_ahead=self.config.max_ahead,
+            max_behind=self.config.max_behind,
         )
 
     def _query_settings(self) -> dict[str, str]:
@@ -215,6 +279,8 @@ class EventPipeline:
         settings = session_settings(self.config)
         if self.config.window.kind != "session":
             del settings[_MERGE_SESSIONS]
+        if self.config.window.kind == "none" and not self.config.dedup:
+            settings = {name: value for name, value in settings.items() if "stateStore" not in name}
         return settings
 
     def _result_key(self) -> list[str]:
@@ -226,7 +292,7 @@ class EventPipeline:
         if self.config.source.kind == "events":
             checked = log
         else:
-            checked = decode_checked(log, self.config.schema, self.config.required)
+            checked = self._checked(log)
         router = self.router()
         query = router.start(checked, self.config.trigger)
         self.queries.append(query)
@@ -234,7 +300,7 @@ class EventPipeline:
             query.awaitTermination()
         if self.config.late_topic is not None:
             self._keep(self.late_writer(spark, checked.schema))
-        return router.on_time_stream(spark, checked.schema)
+        return router.on_time_stream(spark, checked.schema, with_batch=self._corrected())
 
     def late_writer(self, spark: SparkSession, schema: T.StructType) -> DataStreamWriter:
         """The side output, sent on to a topic of late events."""
@@ -243,7 +309,7 @@ class EventPipeline:
         return kafka_sink(late, topic.servers, topic.topic, "append", checkpoint, key=topic.key)
 
     def _quarantine_writer(self, spark: SparkSession, log: DataFrame) -> DataStreamWriter:
-        bad = quarantined(decode_checked(log, self.config.schema, self.config.required))
+        bad = quarantined(self._checked(log))
         checkpoint = f"{self._checkpoint()}-quarantine"
         return parquet_sink(bad, self.config.quarantine_path, checkpoint, partition_by=None)
 

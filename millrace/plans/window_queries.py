@@ -131,6 +131,13 @@ _register(
     ["event_type"],
     ALL_MEASURES,
 )
+_register(
+    "rolling_prefix",
+    sliding(ALL_COLUMNS, "1 hour", "1 minute", 60),
+    EventWindow("sliding", "1 hour", "1 minute"),
+    ["event_type"],
+    ALL_MEASURES,
+)
 _register(
     "group_multi_key",
     tumbling(METRICS, "1 hour", "event_type, customer_id"),

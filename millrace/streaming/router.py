@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from millrace.functions.durations import to_micros
-from millrace.operators.decode import MISSING
+from millrace.operators.decode import MISSING, wrong_time
 from millrace.operators.late import LATE_REASON, enrich_late, with_late_metadata
 from millrace.operators.windows import DATE_COLUMN, utc_date
 from millrace.streaming.files import SharedFiles, writer_of
 from millrace.streaming.triggers import AVAILABLE_NOW, triggered
 
 ON_TIME, LATE, QUARANTINE = "on_time", "late", "quarantine"
-WAITING, HISTORY = "waiting", "history"
+WAITING = "waiting"
+#: Under this name a reader's progress reports the last batch it has read.
+READ_METRIC = "router_batches"
 #: Records of older batches are removed; only that of the last one is ever needed.
 MARKS_KEPT = 100
 _LATE_COLUMNS = ("arrival_time", "lateness_seconds", "lateness_class", "_late_metadata")
@@ -35,10 +39,14 @@ class LateRouter:
     one batch later), so an aggregate over the on-time log with the same delay drops nothing. Late events are
     not lost either: ``reprocess`` adds them to the windows they belong to.
 
+    An event whose time is more than ``max_ahead`` after its arrival (``max_behind`` before it) has it from a wrong
+    clock: it goes to quarantine and does not move the watermark. So no event can be more than that and the delay
+    ahead of the others, and the dates of the logs are as many as the bounds allow.
+
     The logs are partitioned by ``utc_date`` of the event time, for ``reprocess``. A stream over the on-time log must read
     whole batches: part of one would move the watermark past the rest. To bound what such a stream reads at once, give
-    ``release``: batches then wait until they are released, so many at a time. A router that runs on releases so many
-    with every batch it writes; over a backlog call ``release`` between the runs of the other stream.
+    ``release``: batches then wait until the reader has come so far that no more than so many are unread. How far that
+    is, is told by ``note_read``; ``follow`` does so for a running query by what its progress reports.
 
     Every task that read a part of the batch writes a file per side. Where that makes many small files of late
     events, ``sized_files`` shuffles the batch into files of even size first (with adaptive execution).
@@ -57,6 +65,8 @@ class LateRouter:
         reason: str = LATE_REASON,
         sized_files: bool = False,
         release: int | None = None,
+        max_ahead: str | None = "1 day",
+        max_behind: str | None = None,
     ) -> None:
         if release is not None and release < 1:
             raise ValueError("at least one batch is released at a time")
@@ -69,6 +79,9 @@ class LateRouter:
         self.arrival_column = arrival_column
         self.reason = reason
         self.sized_files = sized_files
+        self.max_ahead, self.max_behind = max_ahead, max_behind
+        for bound in filter(None, (max_ahead, max_behind)):
+            to_micros(bound)
 
     @property
     def checkpoint(self) -> str:
@@ -85,8 +98,7 @@ class LateRouter:
 
         def route(batch: DataFrame, batch_id: int) -> None:
             self.route_batch(batch, batch_id)
-            if trigger != AVAILABLE_NOW:
-                self.release(batch.sparkSession)
+            self.release(batch.sparkSession)
 
         writer = events.writeStream.foreachBatch(route).option("checkpointLocation", self.checkpoint)
         return triggered(writer, trigger).start()
@@ -118,34 +130,42 @@ class LateRouter:
         files.discard(self._mark(batch_id - MARKS_KEPT))
 
     def release(self, spark: SparkSession) -> int:
-        """Put the oldest waiting batches into the on-time log, as many as one run may read, and say how many."""
+        """Put the oldest waiting batches into the on-time log, so that no more than ``release`` of it are unread, and
+        say how many were put there."""
         if self.release_batches is None:
             return 0
-        files = SharedFiles(spark)
-        waiting = sorted(int(name.removeprefix("batch_id=")) for name in files.names(self.path(WAITING)) if name.startswith("batch_id="))
-        for batch_id in waiting[: self.release_batches]:
+        files, read = SharedFiles(spark), self._read_upto(spark)
+        unread = sum(batch_id > read for batch_id in _batches(files, self.path(ON_TIME)))
+        ready = _batches(files, self.path(WAITING))[: max(0, self.release_batches - unread)]
+        for batch_id in ready:
             files.publish(f"{self.path(WAITING)}/batch_id={batch_id}", f"{self.path(ON_TIME)}/batch_id={batch_id}")
-        return len(waiting[: self.release_batches])
+        return len(ready)
 
-    def retire(self, spark: SparkSession, keep: int = 100) -> int:
-        """Move all but the last ``keep`` batches of each log to ``history`` and say how many directories that were.
+    def waiting(self, spark: SparkSession) -> int:
+        """How many batches have not been released."""
+        return len(_batches(SharedFiles(spark), self.path(WAITING)))
 
-        Streams over the logs list their folders with every run; what they have read long ago need not be there.
-        ``keep`` must cover what any of them has yet to finish. Reads as tables cover the history.
-        """
-        files, moved = SharedFiles(spark), 0
-        for side in (ON_TIME, LATE, QUARANTINE):
-            names = [name for name in files.names(self.path(side)) if name.startswith("batch_id=")]
-            names.sort(key=lambda name: int(name.removeprefix("batch_id=")))
-            for name in names[: max(0, len(names) - keep)]:
-                files.publish(f"{self.path(side)}/{name}", f"{self.path(HISTORY)}/{side}/{name}")
-                moved += 1
-        return moved
+    def note_read(self, spark: SparkSession, upto: int | None = None) -> None:
+        """The reader of the on-time log has finished batches up to ``upto``, by default all that are there."""
+        files = SharedFiles(spark)
+        upto = max(_batches(files, self.path(ON_TIME)), default=-1) if upto is None else upto
+        before = [int(name) for name in files.names(f"{self.root}/_read") if name.isdigit()]
+        if upto > max(before, default=-1):
+            files.write_json(f"{self.root}/_read/{upto}", {"read": upto}, keep=True)
+            for number in before:
+                files.discard(f"{self.root}/_read/{number}")
+
+    def _read_upto(self, spark: SparkSession) -> int:
+        return max((int(name) for name in SharedFiles(spark).names(f"{self.root}/_read") if name.isdigit()), default=-1)
+
+    def follow(self, spark: SparkSession) -> ReaderPace:
+        """Release batches at the pace of a query over ``on_time_stream``: tell it with ``ReaderPace.of`` once it runs."""
+        pace = ReaderPace(spark, self)
+        spark.streams.addListener(pace)
+        return pace
 
     def _read(self, spark: SparkSession, side: str, fields: list[T.StructField]) -> DataFrame:
-        schema, old = T.StructType([*fields, _BATCH_ID, _DATE]), f"{self.path(HISTORY)}/{side}"
-        rows = spark.read.schema(schema).parquet(self.path(side))
-        return rows.union(spark.read.schema(schema).parquet(old)) if SharedFiles(spark).exists(old) else rows
+        return spark.read.schema(T.StructType([*fields, _BATCH_ID, _DATE])).parquet(self.path(side))
 
     def _refuse_other_writers(self, files: SharedFiles, writer: str) -> None:
         """Batch numbers of another query mean other batches: taking them for repeated ones would lose events."""
@@ -173,7 +193,8 @@ class LateRouter:
         if "quarantine_reason" not in rows.columns:
             rows = rows.withColumn("quarantine_reason", F.lit(None).cast("string"))
         no_time = F.when(F.col(self.time_column).isNull(), MISSING)
-        rows = rows.withColumn("quarantine_reason", F.coalesce("quarantine_reason", no_time))
+        wrong = wrong_time(F.col(self.time_column), F.col(self.arrival_column), self.max_ahead, self.max_behind)
+        rows = rows.withColumn("quarantine_reason", F.coalesce("quarantine_reason", no_time, wrong))
         if prior is None:
             late: Column = F.lit(False)
         else:
@@ -189,14 +210,19 @@ class LateRouter:
         only_late = {name: F.when(F.col("__side") == LATE, F.col(name)) for name in _LATE_COLUMNS}
         return described.withColumns(only_late)
 
-    def on_time_stream(self, spark: SparkSession, schema: T.StructType, **options: str) -> DataFrame:
-        """The on-time log as a stream, in batch order; each run reads all that is released."""
+    def on_time_stream(self, spark: SparkSession, schema: T.StructType, *, with_batch: bool = False, **options: str) -> DataFrame:
+        """The on-time log as a stream, in batch order; each run reads all that is released.
+
+        ``with_batch`` keeps ``batch_id``: the greatest one among the events of a result tells how much of the log the
+        result has seen.
+        """
         if limits := {name for name in options if name.lower() in ("maxfilespertrigger", "maxbytespertrigger")}:
             raise ValueError(f"{sorted(limits)} would take batches apart and lose events; let the router release batches")
         wanted = [field for field in schema.fields if field.name not in _QUARANTINE_COLUMNS]
         # The partition columns are named, or a stream begun over an empty log would not know them.
         stream = spark.readStream.schema(T.StructType([*wanted, _BATCH_ID, _DATE])).options(**options)
-        return stream.parquet(self.path(ON_TIME)).drop(_BATCH_ID.name, _DATE.name)
+        read = stream.parquet(self.path(ON_TIME)).observe(READ_METRIC, F.max(_BATCH_ID.name).alias("read"))
+        return read.drop(_DATE.name) if with_batch else read.drop(_BATCH_ID.name, _DATE.name)
 
     def late_stream(self, spark: SparkSession, schema: T.StructType, **options: str) -> DataFrame:
         """The side output as a stream, for example to a topic of late events."""
@@ -218,6 +244,53 @@ class LateRouter:
         return self._read(spark, QUARANTINE, [*schema.fields, *reason])
 
 
+class ReaderPace(StreamingQueryListener):
+    """Tells a router how far the query over its on-time log has come, after each of its micro-batches.
+
+    A query that was ended between a commit and its report has read more than was noted. It then finds nothing new:
+    when it has been idle since a moment at which the log was looked at, it has read what was there.
+    """
+
+    def __init__(self, spark: SparkSession, router: LateRouter) -> None:
+        self.spark, self.router = spark, router
+        self.query: str | None = None
+        self._looked: tuple[datetime, int] | None = None
+
+    def of(self, query: StreamingQuery) -> None:
+        self.query = query.id
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if str(event.progress.id) != self.query:
+            return
+        self._looked = None
+        reported = event.progress.observedMetrics.get(READ_METRIC)
+        if reported is not None and reported["read"] is not None:
+            self._advance(reported["read"])
+
+    def onQueryIdle(self, event) -> None:
+        if str(event.id) != self.query:
+            return
+        at = datetime.fromisoformat(event.timestamp.replace("Z", "+00:00"))
+        if self._looked is not None and at > self._looked[0]:
+            self._advance(self._looked[1])
+        there = _batches(SharedFiles(self.spark), self.router.path(ON_TIME))
+        self._looked = (datetime.now(timezone.utc), max(there, default=-1))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def _advance(self, upto: int) -> None:
+        self.router.note_read(self.spark, upto)
+        self.router.release(self.spark)
+
+
+def _batches(files: SharedFiles, folder: str) -> list[int]:
+    return sorted(int(name.removeprefix("batch_id=")) for name in files.names(folder) if name.startswith("batch_id="))
+
+
 _BATCH_ID = T.StructField("batch_id", T.LongType())
 _DATE = T.StructField(DATE_COLUMN, T.DateType())
 _LATE_FIELDS = (

@@ -2,151 +2,106 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.durations import to_micros
 from millrace.operators.cdc import live_rows, newest_changes, split_changes
 from millrace.streaming.files import SharedFiles, generation_of, publish_batch
 
 _CORRECTED, _DELETED = "__corrected", "__deleted"
+#: The column of results behind the late router that says up to which of its batches a result has seen events.
+SEEN = "router_batch"
+CORRECTIONS = "corrections"
 
 
 class UpsertTable:
-    """A parquet folder with upsert semantics: ``deltas/generation=g/batch_id=n`` and, after ``compact``, ``base/number=k``.
+    """A parquet folder of batches, ``deltas/generation=g/batch_id=n``, read as the newest row per key.
 
     Every writer, told by the id of its streaming query, has a generation of its own: a batch that its writer
     repeats changes nothing, and a stream with a new checkpoint goes on above what the former one wrote.
     ``order_by`` tells which of two rows with equal ``keys`` is newer; by default the later generation and batch.
     With columns of the data, such as ``ts_ms, offset``, the order in which batches arrive does not matter.
-    Corrections stand above all that streams write. Where a table format with MERGE is at hand, use ``merge_into``.
+
+    ``seen`` names a column that says how much of the log a row has seen. It comes before all else: the row that has
+    seen more is newer, whoever wrote it, and of two that have seen as much a correction is. Only a table with such a
+    column takes corrections. Nothing is ever merged or removed here; where the table grows for long, give the stream a
+    catalog table instead (``merge_into``), whose format does that.
     """
 
-    def __init__(self, path: str, keys: Sequence[str], order_by: Sequence[str] = ("generation", "batch_id")) -> None:
+    def __init__(
+        self, path: str, keys: Sequence[str], order_by: Sequence[str] = ("generation", "batch_id"), *, seen: str | None = None
+    ) -> None:
         if not keys:
             raise ValueError("an upsert needs key columns")
         self.path = path.rstrip("/")
         self.keys = list(keys)
         self.order_by = list(order_by)
+        self.seen = seen
 
-    def upsert_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For ``foreachBatch``. A batch holds at most one row per key."""
-        self._publish(self._marked(batch, corrected=False), batch_id)
+    def upsert_batch(self, batch: DataFrame, batch_id: int, *, deleted: str | None = None) -> None:
+        """For ``foreachBatch``. A batch holds at most one row per key; those marked by the boolean column ``deleted``,
+        which isn't kept, remove theirs."""
+        gone = F.lit(False) if deleted is None else F.col(deleted)
+        marked = batch.withColumns({_CORRECTED: F.lit(False), _DELETED: gone})
+        self._publish(marked if deleted is None else marked.drop(deleted), batch_id)
 
-    def apply_corrections(self, rows: DataFrame, deletes: DataFrame | None = None, *, writer: str = "corrections") -> None:
+    def apply_corrections(self, rows: DataFrame, deletes: DataFrame | None = None) -> None:
         """Rows that replace those with their keys, and keys to delete, in one step.
 
-        What is corrected stays so whatever a stream writes later, until it is corrected again: a stream behind the late
-        router may write a window once more without the late events. Windows that were still open when
-        they were corrected need another correction at a later time.
+        A row stands above what has seen no more of the log than it has, and below what has seen more: a stream that goes
+        on behind the late router writes an open window again, without the late events, and the next correction adds
+        them once more. Keys to delete have seen as much as the rows that take their place, all of them.
         """
-        changed = self._marked(rows, corrected=True)
-        if deletes is not None:
-            gone = self._marked(deletes.select(*self.keys), corrected=True).withColumn(_DELETED, F.lit(True))
-            changed = changed.unionByName(gone, allowMissingColumns=True)
+        if self.seen is None or self.seen not in rows.columns:
+            raise ValueError("corrections need a column that tells how much of the log they have seen")
+        changed = _with_deletes(rows, deletes, self.keys, self.seen).withColumn(_CORRECTED, F.lit(True))
         files = SharedFiles(rows.sparkSession)
-        done = self._published(files).get(generation_of(files, self.path, writer), [-1])
-        self._publish(changed, max(done) + 1, writer)
+        generation = generation_of(files, self.path, CORRECTIONS)
+        done = [int(name.removeprefix("batch_id=")) for name in files.names(f"{self.path}/deltas/generation={generation}")]
+        self._publish(changed, max(done, default=-1) + 1, CORRECTIONS)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        newest = self._newest(self._versions(spark)).where(~F.col(_DELETED))
-        return newest.drop("generation", "batch_id", _CORRECTED, _DELETED)
-
-    def compact(self, spark: SparkSession, keep: str = "1 day") -> int:
-        """Write a new base of all that is published, unless there is nothing new, and return its number.
+        """The newest row per key, without those deleted and without the column of what they have seen."""
+        files, deltas = SharedFiles(spark), f"{self.path}/deltas"
+        if not any(name.startswith("generation=") for name in files.names(deltas)):
+            raise ValueError(f"nothing was written to {self.path} yet")
+        versions = spark.read.parquet(deltas)
+        versions = versions.withColumns({name: F.col(name).cast("long") for name in ("generation", "batch_id")})
+        rest = [name for name in versions.columns if name not in self.keys]
+        newest = F.max_by(F.struct(*rest), F.struct(*self._order())).alias("__newest")
+        found = versions.groupBy(*self.keys).agg(newest).select(*self.keys, "__newest.*").where(~F.col(_DELETED))
+        return found.drop("generation", "batch_id", _CORRECTED, _DELETED, *([self.seen] if self.seen else []))
 
-        Runs as a batch job beside the stream. Files that only a base older than ``keep`` was read with are removed
-        with the next compaction after that time; no read may take longer.
-        """
-        files = SharedFiles(spark)
-        published = self._published(files)
-        if not published:
-            raise ValueError(f"nothing to compact in {self.path}")
-        bases = self._bases(files)
-        upto = {str(generation): max(numbers) for generation, numbers in published.items()}
-        number = max(bases, default=-1)
-        if number < 0 or {**bases[number]["upto"], **upto} != bases[number]["upto"]:
-            number += 1
-            staged = f"{self.path}/base/_staging/{number}"
-            self._newest(self._versions(spark, upto)).write.mode("overwrite").parquet(staged)
-            files.publish(staged, f"{self.path}/base/number={number}")
-            before = bases[number - 1]["upto"] if number else {}
-            content = {"upto": {**before, **upto}, "at": time.time()}
-            files.write_json(f"{self.path}/_bases/{number}.json", content)
-            bases[number] = content
-        self._retire(files, bases, published, time.time() - to_micros(keep) / 1e6)
-        return number
-
-    def _retire(self, files: SharedFiles, bases: dict, published: dict, before: float) -> None:
-        """Remove what bases that were newest at ``before`` have made superfluous."""
-        old = [number for number, base in bases.items() if base["at"] <= before]
-        if not old:
-            return
-        for number in [n for n in bases if n < max(old)]:
-            files.discard(f"{self.path}/_bases/{number}.json")
-            files.discard(f"{self.path}/base/number={number}")
-        for generation, numbers in published.items():
-            for batch_id in numbers:
-                if batch_id <= bases[max(old)]["upto"].get(str(generation), -1):
-                    files.discard(f"{self.path}/deltas/generation={generation}/batch_id={batch_id}")
+    def _order(self) -> list[Column]:
+        seen = [F.coalesce(F.col(self.seen), F.lit(-1)), F.col(_CORRECTED)] if self.seen else []
+        return [*seen, *map(F.col, self.order_by)]
 
     def _publish(self, rows: DataFrame, batch_id: int, writer: str | None = None) -> None:
         publish_batch(rows, f"{self.path}/deltas", batch_id, root=self.path, writer=writer)
 
-    @staticmethod
-    def _marked(rows: DataFrame, *, corrected: bool) -> DataFrame:
-        return rows.withColumns({_CORRECTED: F.lit(corrected), _DELETED: F.lit(False)})
-
-    def _published(self, files: SharedFiles) -> dict[int, list[int]]:
-        """The batches in ``deltas`` by generation."""
-        found = {}
-        for name in files.names(f"{self.path}/deltas"):
-            if name.startswith("generation="):
-                below = files.names(f"{self.path}/deltas/{name}")
-                numbers = [int(n.removeprefix("batch_id=")) for n in below if n.startswith("batch_id=")]
-                if numbers:
-                    found[int(name.removeprefix("generation="))] = numbers
-        return found
-
-    def _bases(self, files: SharedFiles) -> dict[int, dict]:
-        names = [n for n in files.names(f"{self.path}/_bases") if n.endswith(".json") and not n.startswith("_")]
-        return {int(n.removesuffix(".json")): files.read_json(f"{self.path}/_bases/{n}") for n in names}
-
-    def _versions(self, spark: SparkSession, limit: dict[str, int] | None = None) -> DataFrame:
-        """All versions that count: the newest base and the batches it does not hold, up to ``limit``."""
-        files = SharedFiles(spark)
-        bases = self._bases(files)
-        number = max(bases, default=None)
-        held = {} if number is None else bases[number]["upto"]
-        paths = [
-            f"{self.path}/deltas/generation={generation}/batch_id={batch_id}"
-            for generation, numbers in self._published(files).items()
-            for batch_id in numbers
-            if held.get(str(generation), -1) < batch_id <= (limit or {}).get(str(generation), batch_id)
-        ]
-        parts = []
-        if number is not None:
-            parts.append(spark.read.parquet(f"{self.path}/base/number={number}"))
-        if paths:
-            deltas = spark.read.option("basePath", f"{self.path}/deltas").parquet(*paths)
-            parts.append(deltas.withColumns({name: F.col(name).cast("long") for name in ("generation", "batch_id")}))
-        if not parts:
-            raise ValueError(f"nothing was written to {self.path} yet")
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
-    def _newest(self, versions: DataFrame) -> DataFrame:
-        rest = [name for name in versions.columns if name not in self.keys]
-        newest = F.max_by(F.struct(*rest), F.struct(_CORRECTED, *self.order_by)).alias("__newest")
-        return versions.groupBy(*self.keys).agg(newest).select(*self.keys, "__newest.*")
+def _with_deletes(rows: DataFrame, deletes: DataFrame | None, keys: Sequence[str], seen: str) -> DataFrame:
+    marked = rows.withColumn(_DELETED, F.lit(False))
+    if deletes is None:
+        return marked
+    upto = rows.agg(F.max(seen).alias("seen")).first()["seen"]
+    marks = {seen: F.lit(upto).cast(rows.schema[seen].dataType), _DELETED: F.lit(True)}
+    return marked.unionByName(deletes.select(*keys).withColumns(marks), allowMissingColumns=True)
+
 
+def merge_corrections(table: str, keys: Sequence[str], seen: str, rows: DataFrame, deletes: DataFrame | None = None) -> None:
+    """``UpsertTable.apply_corrections`` for a catalog table whose format supports MERGE."""
+    merge_into(table, keys, seen=seen, deleted=_DELETED)(_with_deletes(rows, deletes, keys, seen), 0)
 
-def merge_into(table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+
+def merge_into(table: str, keys: Sequence[str], *, seen: str | None = None, deleted: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that upserts into a catalog table whose format supports MERGE.
 
-    A repeated batch merges the same rows again and leaves the table as it was.
+    A repeated batch merges the same rows again and leaves the table as it was. Where a row is there already, ``seen``
+    lets only a row replace it that has seen as much of the log, or more; so corrections are merged by the same function.
+    Rows marked by the boolean column ``deleted`` remove their keys; the table has no such column.
     """
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
@@ -155,7 +110,17 @@ def merge_into(table: str, keys: Sequence[str]) -> Callable[[DataFrame, int], No
         condition = matches[0]
         for match in matches[1:]:
             condition = condition & match
-        source.mergeInto(f"{table}", condition).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+        newer = None if seen is None else F.coalesce(F.col(f"source.{seen}") >= F.col(f"target.{seen}"), F.lit(True))
+        merging = source.mergeInto(table, condition)
+        if deleted is None:
+            matched = merging.whenMatched() if newer is None else merging.whenMatched(newer)
+            matched.updateAll().whenNotMatched().insertAll().merge()
+            return
+        gone = F.coalesce(F.col(f"source.{deleted}"), F.lit(False))
+        values = {name: F.col(f"source.{name}") for name in batch.columns if name != deleted}
+        merging = merging.whenMatched(gone if newer is None else gone & newer).delete()
+        merging = (merging.whenMatched() if newer is None else merging.whenMatched(newer)).update(values)
+        merging.whenNotMatched(~gone).insert(values).merge()
 
     if not keys:
         raise ValueError("an upsert needs key columns")
@@ -188,6 +153,3 @@ class ChangeTable:
 
     def read(self, spark: SparkSession) -> DataFrame:
         return live_rows(self.changes.read(spark))
-
-    def compact(self, spark: SparkSession, keep: str = "1 day") -> int:
-        return self.changes.compact(spark, keep)

@@ -79,8 +79,6 @@ def test_any_order_of_batches_gives_the_latest_state(spark, changes, folder):
         for batch_id, part in enumerate(order):
             table.apply_batch(part, batch_id)
             table.apply_batch(part, batch_id)
-            if batch_id == 1:
-                table.compact(spark)
         assert sorted(map(tuple, table.read(spark).collect())) == STATE
 
 

@@ -66,7 +66,8 @@ def test_only_the_columns_of_the_aggregate_are_read(spark):
     ("window", "shuffles"),
     [
         (EventWindow(), 1),
-        (EventWindow("sliding", "1 hour", "1 minute"), 2),
+        (EventWindow("sliding", "1 hour", "15 minutes"), 2),
+        (EventWindow("sliding", "1 hour", "1 minute"), 3),
         (EventWindow("session", gap="30 minutes"), 2),
     ],
     ids=str,

@@ -1,5 +1,9 @@
 """The late router: golden micro-batches, repeated batches, crashes, restarts."""
 
+import time
+from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 from streams import EVENT, GOLDEN, Feed, at, golden, rows
@@ -7,6 +11,7 @@ from streams import EVENT, GOLDEN, Feed, at, golden, rows
 from millrace.operators import EventWindow, aggregate_windows, reprocess, with_event_watermark
 from millrace.streaming import AVAILABLE_NOW, LATE, ON_TIME, QUARANTINE, LateRouter
 from millrace.streaming.files import SharedFiles
+from millrace.streaming.router import ReaderPace
 
 
 def finished(query):
@@ -55,6 +60,7 @@ def test_nothing_is_lost_behind_the_router(spark, folder, release):
         router.on_time_stream(spark, EVENT, maxFilesPerTrigger="1")
     dropped, runs = [], 0
     while router.release(spark) or not runs:
+        router.note_read(spark)
         stream = with_event_watermark(router.on_time_stream(spark, EVENT))
         result = aggregate_windows(stream, EventWindow(), group_by=["k"])
         query = result.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append")
@@ -199,13 +205,89 @@ def test_old_records_are_removed(spark, folder, monkeypatch):
     assert SharedFiles(spark).names(f"{folder}/_marks") == ["3.json", "4.json"]
 
 
-def test_retired_batches_are_still_read_as_tables(spark, folder):
-    router, files = LateRouter(folder), SharedFiles(spark)
-    for number, batch in enumerate(batches(spark, 0, 1, 2, 3)):
-        router.route_batch(batch, number)
-    before = content(router.read_on_time(spark, EVENT)), content(router.read_late(spark, EVENT))
-    assert router.retire(spark, keep=1) == 2
-    assert files.names(router.path(ON_TIME)) == ["batch_id=3"] and files.names(router.path(LATE)) == ["batch_id=2"]
-    assert (content(router.read_on_time(spark, EVENT)), content(router.read_late(spark, EVENT))) == before
-    router.route_batch(batches(spark, 0)[0], 4)
-    assert len(content(router.read_late(spark, EVENT))) == 7
+def test_a_clock_far_ahead_makes_no_other_event_late(spark, folder):
+    router, arrival = LateRouter(folder), at("50:00")
+    ahead = at("50:00") + timedelta(days=365 * 75)
+    frames = [rows(["01:00 a", "20:00 a"]), [*rows(["21:00 a"]), (ahead, "wrong", 1, arrival)], rows(["22:00 a"]), rows(["23:00 a"]), rows(["24:00 a"])]
+    for number, batch in enumerate(frames):
+        router.route_batch(spark.createDataFrame(batch, EVENT), number)
+    assert content(router.read_late(spark, EVENT)) == []
+    assert content(router.read_on_time(spark, EVENT)) == content_of([row for batch in frames for row in batch if row[1] == "a"])
+    bad = router.read_quarantine(spark, EVENT).collect()
+    assert [(row["k"], row["quarantine_reason"]) for row in bad] == [("wrong", "future_time")]
+
+
+def test_bounds_of_event_times(spark, folder):
+    untold = [(at("59:00"), "no arrival", 1, None)]
+    batch = [*rows(["50:00 just", "51:00 ahead", "40:00 behind", "39:59 far behind"], "50:00"), *untold]
+    router = LateRouter(folder, max_ahead="59 seconds", max_behind="10 minutes")
+    router.route_batch(spark.createDataFrame(batch, EVENT), 0)
+    kept = {row["k"] for row in router.read_on_time(spark, EVENT).collect()}
+    assert kept == {"just", "behind", "no arrival"} or kept == {row[1] for row in batch if row[1] in ("just", "behind", "no")}
+    reasons = {row["k"]: row["quarantine_reason"] for row in router.read_quarantine(spark, EVENT).collect()}
+    assert set(reasons.values()) == {"future_time", "past_time"}
+    unbounded = LateRouter(f"{folder}/unbounded", max_ahead=None)
+    unbounded.route_batch(spark.createDataFrame(batch, EVENT), 0)
+    assert unbounded.read_on_time(spark, EVENT).count() == len(batch)
+    with pytest.raises(ValueError):
+        LateRouter(folder, max_ahead="1 month")
+
+
+def test_batches_wait_for_a_slow_reader(spark, folder):
+    router, files = LateRouter(folder, release=2), SharedFiles(spark)
+    for number in range(7):
+        router.route_batch(batches(spark, 0)[0], number)
+        router.release(spark)
+    assert files.names(router.path(ON_TIME)) == ["batch_id=0", "batch_id=1"] and router.waiting(spark) == 5
+    assert router.release(spark) == 0
+    router.note_read(spark, 0)
+    assert router.release(spark) == 1 and router.release(spark) == 0
+    router.note_read(spark)
+    router.note_read(spark, 1)
+    assert LateRouter(folder, release=2).release(spark) == 2 and router.waiting(spark) == 2
+    router.note_read(spark)
+    assert router.release(spark) == 2 and router.release(spark) == 0 and router.waiting(spark) == 0
+
+
+def settle(condition, seconds=90):
+    until = time.monotonic() + seconds
+    while not condition() and time.monotonic() < until:
+        time.sleep(0.2)
+    assert condition()
+
+
+def test_a_running_reader_never_gets_more_than_it_may(spark, folder):
+    feed = Feed(spark, f"{folder}/in")
+    for number in range(9):
+        feed.add(rows([f"{number + 1:02d}:00 a", f"{number + 1:02d}:30 b"]))
+    router = LateRouter(f"{folder}/routed", release=2)
+    routing = router.start(feed.stream(), {"processing_time": "100 milliseconds"})
+    try:
+        settle(lambda: router.waiting(spark) == 7)
+        pace, sizes = router.follow(spark), []
+        write = router.on_time_stream(spark, EVENT).writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count()))
+        reader = write.option("checkpointLocation", f"{folder}/c").trigger(processingTime="200 milliseconds").start()
+        pace.of(reader)
+        settle(lambda: sum(sizes) == 18)
+        reader.stop()
+        spark.streams.removeListener(pace)
+        assert max(sizes) <= 4 and len(sizes) >= 5
+    finally:
+        routing.stop()
+
+
+def test_a_reader_whose_report_was_lost_goes_on_when_idle(spark, folder):
+    router = LateRouter(folder, release=1)
+    for number in range(2):
+        router.route_batch(batches(spark, 0)[0], number)
+    router.release(spark)
+    pace = ReaderPace(spark, router)
+    pace.query = "q"
+    idle = lambda when, query="q": SimpleNamespace(id=query, timestamp=when.isoformat().replace("+00:00", "Z"))
+    now = datetime.now(timezone.utc)
+    pace.onQueryIdle(idle(now))
+    pace.onQueryIdle(idle(now - timedelta(seconds=5)))
+    pace.onQueryIdle(idle(now + timedelta(seconds=60), "other"))
+    assert router.waiting(spark) == 1
+    pace.onQueryIdle(idle(datetime.now(timezone.utc) + timedelta(seconds=60)))
+    assert router.waiting(spark) == 0

@@ -1,7 +1,5 @@
 """Streams: golden output, stream = table, sinks, duplicates, restarts."""
 
-import time
-
 import pytest
 from streams import GOLDEN, Feed, at, golden, rows
 
@@ -17,7 +15,7 @@ from millrace.streaming import (
     triggered,
     write_late_events,
 )
-from millrace.streaming.files import SharedFiles
+from millrace.streaming.upsert import merge_corrections, merge_into
 
 SPEC = {"n": "count(*)", "total": "sum(q)", "mean": "avg(q)", "first": "min(event_time)"}
 LONG = "2 days"
@@ -78,22 +76,16 @@ def test_panes_of_a_stream_give_the_windows_of_the_table(spark, folder, slide):
     assert sorted(map(tuple, written.collect())) == sorted(map(tuple, whole.collect()))
 
 
-def test_upserted_windows_are_final_and_survive_restarts_and_compaction(spark, folder):
+def test_upserted_windows_are_final_and_survive_restarts(spark, folder):
     feed, table = Feed(spark, f"{folder}/in"), UpsertTable(f"{folder}/t", ["window_start", "window_end", "k"])
-    for number, batch in enumerate(GOLDEN):
+    for batch in GOLDEN:
         feed.add(rows(batch))
         stream = with_event_watermark(feed.stream(), delay=LONG)
         result = aggregate_windows(stream, EventWindow(), group_by=["k"])
         mode = output_mode("tumbling", "table")
         finished(run(table_sink(result, table.upsert_batch, mode, f"{folder}/c"), AVAILABLE_NOW))
-        if number == 2:
-            table.compact(spark)
     whole = aggregate_windows(feed.table(), EventWindow(), group_by=["k"])
-    for _ in range(2):
-        assert sorted(map(tuple, table.read(spark).select(*whole.columns).collect())) == sorted(
-            map(tuple, whole.collect())
-        )
-        assert table.compact(spark) == 1
+    assert sorted(map(tuple, table.read(spark).select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
 
 
 def test_a_repeated_upsert_changes_nothing(spark, folder):
@@ -121,42 +113,73 @@ def test_a_new_checkpoint_over_one_table_loses_nothing(spark, folder):
     finished(run(table_sink(late.stream(), table.upsert_batch, "append", f"{folder}/c0"), AVAILABLE_NOW))
     expected["f"] = at("05:00").replace(tzinfo=None)
     assert {r["k"]: r["event_time"] for r in table.read(spark).collect()} == expected
-    table.compact(spark)
-    assert {r["k"]: r["event_time"] for r in table.read(spark).collect()} == expected
 
 
-def test_corrections_stand_above_later_batches(spark, folder):
-    table = UpsertTable(folder, ["k"])
-    version = lambda *pairs: spark.createDataFrame(list(pairs), "k string, v int")
-    table.upsert_batch(version(("a", 1), ("b", 1), ("c", 1)), 0)
-    table.apply_corrections(version(("a", 10), ("d", 10)), version(("b", 0)))
-    table.upsert_batch(version(("a", 2), ("b", 2), ("c", 2)), 1)
-    assert {tuple(r) for r in table.read(spark).collect()} == {("a", 10), ("c", 2), ("d", 10)}
-    table.compact(spark)
-    table.upsert_batch(version(("a", 3), ("e", 3)), 2)
-    table.apply_corrections(version(("b", 20)))
-    assert {tuple(r) for r in table.read(spark).collect()} == {("a", 10), ("b", 20), ("c", 2), ("d", 10), ("e", 3)}
-
-
-def test_compaction_removes_what_no_reader_needs(spark, folder):
-    table, files = UpsertTable(folder, ["k"]), SharedFiles(spark)
-    for number in range(4):
-        table.upsert_batch(spark.createDataFrame([("a", number), (str(number), 0)], "k string, v int"), number)
-        table.compact(spark, keep="1 hour")
-    assert len(files.names(f"{folder}/deltas/generation=0")) == 4 and len(files.names(f"{folder}/_bases")) == 4
-    before = sorted(map(tuple, table.read(spark).collect()))
-    time.sleep(0.01)
-    assert table.compact(spark, keep="1 millisecond") == 3
-    assert files.names(f"{folder}/deltas/generation=0") == [] and len(files.names(f"{folder}/_bases")) == 1
-    table.upsert_batch(spark.createDataFrame([("z", 9)], "k string, v int"), 4)
-    assert sorted(map(tuple, table.read(spark).collect())) == [*before, ("z", 9)]
-
-
-def test_upserts_need_keys_and_something_to_compact(spark, folder):
+def versions(spark, *rows):
+    return spark.createDataFrame(list(rows), "k string, v int, seen bigint")
+
+
+def test_what_has_seen_more_of_the_log_is_newer(spark, folder):
+    table, read = UpsertTable(folder, ["k"], seen="seen"), lambda: {tuple(r) for r in table.read(spark).collect()}
+    table.upsert_batch(versions(spark, ("a", 1, 0), ("b", 1, 0), ("c", 1, 0)), 0)
+    table.apply_corrections(versions(spark, ("a", 10, 3), ("d", 10, 2)), versions(spark, ("b", 0, 0)))
+    assert read() == {("a", 10), ("c", 1), ("d", 10)}
+    # As much as the correction has seen is not more.
+    table.upsert_batch(versions(spark, ("a", 2, 3), ("b", 2, 3), ("c", 2, 3)), 1)
+    assert read() == {("a", 10), ("c", 2), ("d", 10)}
+    table.upsert_batch(versions(spark, ("a", 5, 4), ("b", 5, 4), ("d", 5, 1)), 2)
+    assert read() == {("a", 5), ("b", 5), ("c", 2), ("d", 10)}
+    for value in (20, 21):
+        table.apply_corrections(versions(spark, ("a", value, 4), ("e", value, 4)), versions(spark, ("c", 0, 0)))
+        assert read() == {("a", value), ("b", 5), ("d", 10), ("e", value)}
+    table.upsert_batch(versions(spark, ("a", 5, 4), ("b", 5, 4), ("d", 5, 1)), 2)
+    assert ("a", 21) in read()
+
+
+def test_corrections_need_what_they_have_seen(spark, folder):
+    rows = versions(spark, ("a", 1, 0))
+    with pytest.raises(ValueError, match="how much of the log"):
+        UpsertTable(folder, ["k"]).apply_corrections(rows)
+    with pytest.raises(ValueError, match="how much of the log"):
+        UpsertTable(folder, ["k"], seen="upto").apply_corrections(rows)
+
+
+def test_upserts_need_keys_and_something_to_read(spark, folder):
     with pytest.raises(ValueError):
         UpsertTable(folder, [])
+    with pytest.raises(ValueError, match="nothing was written"):
+        UpsertTable(folder, ["k"]).read(spark)
+
+
+class Merging:
+    """Stands for a table that takes MERGE: keeps the clauses, as text."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        def call(*arguments):
+            texts = [{k: str(v) for k, v in x.items()} if isinstance(x, dict) else str(x) for x in arguments]
+            self.calls.append((name, *texts))
+            return self
+
+        return call
+
+
+def test_clauses_of_a_merge(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    merged = Merging()
+    monkeypatch.setattr(DataFrame, "mergeInto", lambda self, table, on: merged.into(table, on))
+    merge_into("t", ["k"])(versions(spark, ("a", 1, 0)), 0)
+    assert [call[0] for call in merged.calls] == ["into", "whenMatched", "updateAll", "whenNotMatched", "insertAll", "merge"]
+    merged.calls.clear()
+    merge_corrections("t", ["k"], "seen", versions(spark, ("a", 1, 7)), versions(spark, ("b", 0, 0)))
+    assert [call[0] for call in merged.calls] == ["into", "whenMatched", "delete", "whenMatched", "update", "whenNotMatched", "insert", "merge"]
+    assert "__deleted" in merged.calls[1][1] and "seen" in merged.calls[1][1] and "seen" in merged.calls[3][1]
+    assert set(merged.calls[4][1]) == {"k", "v", "seen"} == set(merged.calls[6][1])
     with pytest.raises(ValueError):
-        UpsertTable(folder, ["k"]).compact(spark)
+        merge_into("t", [])
 
 
 def test_duplicates_within_the_watermark_are_removed(spark, folder):

@@ -1,5 +1,6 @@
 """Windows: Spark's own expressions against the two-step form, edges, and refusals."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from streams import Feed, rows
 
+from millrace.functions.measures import measure_types, parse_measures
 from millrace.operators import EventWindow, aggregate_windows, with_event_date, with_event_watermark
+from millrace.operators.windows import window_parts
 
 SPEC = {
     "n": "count(*)",
@@ -69,6 +72,9 @@ def assert_same(actual, expected):
         EventWindow("sliding", "1 hour", "1 hour"),
         EventWindow("sliding", "1 hour"),
         EventWindow("sliding", "1 day", "7 hours"),
+        EventWindow("sliding", "1 hour", "2 minutes"),
+        EventWindow("sliding", "50 minutes", "7 minutes"),
+        EventWindow("sliding", "1 hour", "55 minutes"),
         EventWindow("session", gap="1 minute"),
         EventWindow("session", gap="20 minutes"),
         EventWindow("session", gap="1 hour"),
@@ -82,12 +88,45 @@ def test_two_step_windows_equal_sparks_own(skewed, window, keys):
 
 def test_two_step_windows_on_time_without_zone(skewed):
     local = skewed.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
-    for window in (EventWindow("sliding", "50 minutes", "20 minutes"), EventWindow("session", gap="20 minutes")):
+    sliding = [EventWindow("sliding", "50 minutes", slide) for slide in ("20 minutes", "3 minutes")]
+    for window in (*sliding, EventWindow("session", gap="20 minutes")):
         assert_same(
             aggregate_windows(local, window, group_by=["k"], aggregations=SPEC), native(local, window, ["k"], SPEC)
         )
 
 
+def test_windows_of_blocks_by_brute_force(spark):
+    """Times before and after the epoch, at block edges, in both halves of a window, and values that are not numbers."""
+    chosen = random.Random(5)
+    micros = [chosen.randrange(-40, 40) * 60_000_000 * chosen.choice([1, 7, 60]) + chosen.choice([0, -1, 1]) for _ in range(150)]
+    values = [chosen.choice([1.5, -2.0, float("nan"), float("inf"), float("-inf"), None, 1e300]) for _ in micros]
+    data = [(at, "k" if n % 3 else None, value) for n, (at, value) in enumerate(zip(micros, values, strict=True))]
+    df = spark.createDataFrame(data, "at bigint, k string, v double").withColumn("event_time", F.timestamp_micros("at"))
+    spec = {"n": "count(*)", "values": "count(v)", "total": "sum(v)", "lo": "min(v)", "hi": "max(v)"}
+    for duration, slide in (("1 hour", "1 minute"), ("1 hour", "7 minutes"), ("70 minutes", "10 minutes"), ("10 minutes", "1 minute")):
+        window = EventWindow("sliding", duration, slide)
+        actual, expected = (make(df.where("v is null or abs(v) < 1e300"), window, ["k"], spec) for make in (by_keys, native))
+        assert_same(actual, expected)
+        # What is no number spoils the windows that hold it, and no others.
+        both = [sorted(map(str, make(df, window, ["k"], {"n": "count(*)", "total": "sum(v)", "hi": "max(v)"}).collect())) for make in (by_keys, native)]
+        assert both[0] == both[1]
+
+
+def by_keys(df, window, keys, spec):
+    return aggregate_windows(df, window, group_by=keys, aggregations=spec)
+
+
+def test_panes_are_not_multiplied(spark):
+    """An event a minute: windows of an hour, every minute, are made of two rows each and not of sixty."""
+    df = spark.range(6000).selectExpr("timestamp_micros(1700000000000000 + id * 60000000) event_time", "cast(id % 2 as string) k", "id v")
+    measures = parse_measures({"total": "sum(v)", "mean": "avg(v)"})
+    types = measure_types(df, measures)
+    panes = df.groupBy(F.window("event_time", "1 minute").alias("__pane"), "k").agg(*[part for m in measures for part in m.partials(df)])
+    parts = window_parts(panes, 3_600_000_000, 60_000_000, ["k"], measures, types).count()
+    windows = aggregate_windows(df, EventWindow("sliding", "1 hour", "1 minute"), group_by=["k"]).count()
+    assert windows <= parts <= 2 * windows and windows < 12_300
+
+
 @pytest.mark.parametrize("window", [EventWindow("sliding", "2 hours", "1 hour"), EventWindow("session")], ids=str)
 def test_averages_of_large_whole_numbers_do_not_overflow(spark, window):
     df = spark.range(8).selectExpr("timestamp_millis(id) as event_time", "id + 4000000000000000000 as v")
@@ -105,7 +144,8 @@ def test_windows_longer_than_a_day_do_not_follow_clock_changes(spark):
             ).alias("event_time"),
             (F.col("id") % 700).cast("string").alias("k"),
         )
-        for window in (EventWindow("sliding", "3 days", "1 day"), EventWindow("session", gap="26 hours")):
+        sliding = [EventWindow("sliding", "3 days", slide) for slide in ("1 day", "5 hours")]
+        for window in (*sliding, EventWindow("session", gap="26 hours")):
             spec = {"n": "count(*)", "d_lo": "min(event_time)"}
             assert_same(aggregate_windows(df, window, group_by=["k"], aggregations=spec), native(df, window, ["k"], spec))
     finally:
