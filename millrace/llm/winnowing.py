@@ -233,7 +233,7 @@ def find_contamination(
     """
     found = item_windows(items, item_column, item_text_column, window)
     by_window = found.groupBy("window", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    windows = stored(by_window.withColumn("set", F.sha2(F.concat_ws(",", "items"), 256)))
+    windows = stored(by_window.withColumn("set", F.sha2(F.to_json("items"), 256)))
     rows = windows.count()
     sizes = sorted(row["words"] for row in windows.select("words").distinct().collect())
     known = window_bitmap(windows, rows)
@@ -270,9 +270,9 @@ def find_contamination(
         )
     )
     lists = windows.groupBy("set").agg(F.first("items").alias("of_set"))
-    named = (
-        marked.where(F.size("sets") > 0)
-        .select("sets")
+    hit_rows, others = marked.where(F.size("sets") > 0), marked.where(F.size("sets") == 0)
+    named = stored(
+        hit_rows.select("sets")
         .distinct()
         .select("sets", F.explode("sets").alias("set"))
         .join(lists, "set")
@@ -280,7 +280,11 @@ def find_contamination(
         .groupBy("sets")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    result = marked.join(named, "sets", "left").withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+    # Many documents may have the same sets: their lists are broadcast as long as all of them together are small.
+    listed = named.agg(F.sum(F.size("items") + 1).alias("listed")).first()["listed"] or 0
+    with_items = join_lookup(hit_rows, named, ["sets"], rows=listed, limit=broadcast_rows)
+    every = with_items.unionByName(others, allowMissingColumns=True)
+    result = every.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
     return result.select(
         F.col("id").alias(id_column),
         "n_words",
