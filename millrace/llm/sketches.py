@@ -1,6 +1,8 @@
 """Operator 9: document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs, long ones cut after ``PIECE_WORDS`` words, are hashed to 64-bit digests. The sketch is a small
+A text's paragraphs, long ones cut after words whose hash is a multiple of ``CUT_AFTER`` and after ``PIECE_WORDS``
+words, are hashed to 64-bit digests. Such places depend on the words beside them alone, so an edit changes the pieces it
+touches and no others. The sketch is a small
 table of cells, three parts of ``CELLS`` each; every digest is in one cell of each part, and a cell holds how many
 digests it has, the exclusive or of them and of their check values. Sketches of two versions are subtracted cell by
 cell: what both have goes away. Cells with one digest left, told by the check value, give it; it is taken from its
@@ -10,13 +12,15 @@ other cells, and so on until nothing is left. If that fails, the digests are dea
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import shuffle_partitions
 from millrace.llm.registry import query
 
-PIECE_WORDS = 40
+PIECE_WORDS = 60
+CUT_AFTER = 20
 CELLS = 8
 LARGER = (8, 32, 128)
 BLOCK_DIGESTS = 8
@@ -28,7 +32,8 @@ LEAST_ID = -(1 << 63)
 
 def digests(text: str) -> str:
     """The distinct digests of a text's pieces, as an expression."""
-    pieces = f"regexp_extract_all({text}, '[^ \\\\n]+(?: +[^ \\\\n]+){{0,{PIECE_WORDS - 1}}}', 0)"
+    cut = f"array_join(transform(split({text}, ' '), word -> if(xxhash64(word) % {CUT_AFTER} = 0, concat(word, '\\n'), word)), ' ')"
+    pieces = f"regexp_extract_all({cut}, '[^ \\\\n]+(?: +[^ \\\\n]+){{0,{PIECE_WORDS - 1}}}', 0)"
     return f"array_distinct(transform({pieces}, piece -> xxhash64(piece)))"
 
 
@@ -98,7 +103,7 @@ def likeness(held: str, changed: str) -> str:
 
 def printed(cells: str) -> str:
     """A sketch as hex digits, cell by cell."""
-    return f"array_join(transform({cells}, c -> concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c & 4294967295L), 8, '0'))), '')"
+    return f"array_join(transform({cells}, c -> concat(lpad(hex(c.n), 8, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c & 4294967295L), 8, '0'))), '')"
 
 
 def with_following_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -119,8 +124,9 @@ def with_following_text(df: DataFrame, id_column: str, text_column: str) -> Data
     tops = {row["range"]: row["top"] for row in ranged.groupBy("range").agg(F.max("key").alias("top")).collect()}
     filled = sorted(tops) or [0]
     above = dict(zip(filled, [*filled[1:], filled[0]], strict=True))
-    top = F.array(*[F.lit(tops.get(k)).cast("long") for k in range(len(bounds) + 1)])
-    target = F.array(*[F.lit(above.get(k)).cast("int") for k in range(len(bounds) + 1)])
+    # One literal each, whatever number of ranges there is; ranges without rows are never looked up.
+    top = F.lit(np.array([tops.get(k, LEAST_ID) for k in range(len(bounds) + 1)], np.int64))
+    target = F.lit(np.array([above.get(k, 0) for k in range(len(bounds) + 1)], np.int32))
     own = F.struct(F.col("range"), F.lit(False).alias("copy"))
     sent = F.struct(target[F.col("range")].alias("range"), F.lit(True).alias("copy"))
     places = F.when(F.col("key") == top[F.col("range")], F.array(own, sent)).otherwise(F.array(own))
@@ -131,7 +137,7 @@ def with_following_text(df: DataFrame, id_column: str, text_column: str) -> Data
 
 def range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are below the key, by halving."""
-    listed = F.array(*[F.lit(bound).cast("long") for bound in bounds])
+    listed = F.lit(np.array(bounds, np.int64))
     steps = F.sequence(F.lit(1), F.lit(max(1, len(bounds)).bit_length()))
 
     def halve(state: Column, _: Column) -> Column:

@@ -29,6 +29,7 @@ from millrace.llm.sketches import (
     digests,
     document_fingerprints,
     in_blocks,
+    likeness,
     peeled,
     sketch,
     with_following_text,
@@ -255,7 +256,10 @@ def test_equal_suffixes_and_spans():
 
 
 def pieces(text):
-    return set(re.findall(r"[^ \n]+(?: +[^ \n]+){0,39}", text))
+    """Lines, cut after words whose signed 64-bit hash is a multiple of 20, and after 60 words."""
+    words = [(word, xxhash.xxh64_intdigest(word.encode(), 42)) for word in text.split(" ")]
+    cut = " ".join(f"{word}\n" if (hashed - (hashed >> 63 << 64)) % 20 == 0 else word for word, hashed in words)
+    return set(re.findall(r"[^ \n]+(?: +[^ \n]+){0,59}", cut))
 
 
 def brute_sketches(rows):
@@ -319,6 +323,15 @@ def test_peeling_recovers_the_difference(spark, sizes):
         assert sorted(small.plus) == sorted(one[25:]) and sorted(small.minus) == sorted(other[25:])
 
 
+def test_an_edit_changes_the_pieces_it_touches_alone(spark):
+    line = " ".join(prose(12, 400).split())
+    words = line.split(" ")
+    edits = [f"one {line}", " ".join(words[:200] + words[201:]), " ".join([*words[:100], "new", "words", *words[100:]])]
+    df = spark.createDataFrame([(line, edit) for edit in edits], "old string, new string")
+    compared = compare_sketches(df, ["old", "new"]).select(F.expr(likeness("digests_old", "changed_new")).alias("near")).collect()
+    assert all(0.8 < row.near < 1 for row in compared)
+
+
 def test_versions_compared(spark):
     df = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd")], "old string, new string")
     row = compare_sketches(df, ["old", "new"]).first()

@@ -20,7 +20,7 @@ from millrace.llm.quality import (
     least_divergence,
     repeated_words,
 )
-from millrace.llm.toxicity import Training, clean_documents, gradient, language_group, learn, score_documents, train
+from millrace.llm.toxicity import Training, best_threshold, clean_documents, gradient, language_group, learn, score_documents, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -204,5 +204,44 @@ def test_gradient_by_differences():
             assert abs((above - below) / 2e-5 - found[at]) < 1e-4
 
 
+def test_forward_pass_by_loops():
+    """Every filter at every place of every text, one after the other."""
+    draw = np.random.default_rng(4)
+    model = train([np.arange(30), np.arange(20), np.arange(10, 30)], np.zeros(3), ["plain"] * 3, Training(seen_in=0.0))
+    for array in (model.embedding, *model.kernels, *model.biases, model.weights):
+        array[...] = draw.normal(0, 1, array.shape)
+    model.embedding[0] = 0
+    texts = [draw.integers(0, len(model.embedding), size) for size in (0, 1, 2, 3, 17, 40)]
+    wanted = []
+    for text in texts:
+        logit = model.intercept
+        place = 0
+        for kernel, bias in zip(model.kernels, model.biases, strict=True):
+            for number in range(len(bias)):
+                found = []
+                for at in range(len(text) + 1):
+                    words = [text[at + step] if at + step < len(text) else 0 for step in range(len(kernel))]
+                    found.append(sum(model.embedding[word] @ kernel[step][:, number] for step, word in enumerate(words)) + bias[number])
+                logit += max(0, *found) * model.weights[place] if len(found) > 1 else max(0, found[0]) * model.weights[place]
+                place += 1
+        wanted.append(logit)
+    assert np.allclose(model.logits(texts), wanted, rtol=1e-4, atol=1e-4)
+
+
+def test_thresholds_by_trying_all():
+    draw = np.random.default_rng(9)
+    for _ in range(40):
+        scores, labels = draw.normal(0, 1, 30), draw.integers(0, 2, 30)
+        if not labels.sum():
+            continue
+
+        def f1(border, scores=scores, labels=labels):
+            called = scores >= border
+            return 2 * (called & (labels == 1)).sum() / max(1, called.sum() + labels.sum())
+
+        best = max(f1(border) for border in scores)
+        assert f1(best_threshold(scores, labels)) == best
+
+
 def test_languages_are_told_from_letters():
     assert [language_group(t) for t in ("plain words", "schöne große Wörter", "canción pequeña y más", "très élevé à côté", "")] == ["plain", "de", "es", "fr", "plain"]

@@ -1,5 +1,7 @@
 """Sharding, WARC, ranks and the pipeline."""
 
+import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -47,6 +49,35 @@ def test_shards_match_the_mixture(spark, shards):
     assert all(max(held.values()) - min(held.values()) <= 5 for held in mixture.values())
 
 
+def test_shards_by_sorting(spark):
+    """The order by fractional rank, made anew: rows ranked in their source, moved by its phase, sorted and cut."""
+    rows = [(k, f"text {k}", "en", "hot" if k % 3 == 0 else f"s{k % 9}", 0) for k in range(300)] + awkward_rows()
+    df = documents(spark, rows)
+    hashed = df.select(
+        "doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(7), "doc_id").alias("shuffled"),
+        F.pmod(F.xxhash64(F.lit(7), F.lit("phase"), "source"), F.lit(1 << 20)).alias("phase"),
+    ).collect()
+    least = -(1 << 70)
+    known = [
+        (row.source, row.shuffled, row.doc_id, zlib.crc32(row.text.encode()), len(row.text.encode()) + 1, row.phase / (1 << 20)) for row in hashed
+    ]
+    by_source = {}
+    for row in known:
+        by_source.setdefault(row[0], []).append((row[1], least if row[2] is None else row[2], *row[3:]))
+    order = []
+    for source, held in by_source.items():
+        for rank, row in enumerate(sorted(held)):
+            order.append(((rank + row[4]) / len(held), source or "", *row[:4]))
+    order.sort()
+    wanted, seen = [], {}
+    for place, (_, _, _, row, crc, size) in enumerate(order):
+        shard = place * 16 // len(order)
+        wanted.append((None if row == least else row, size, crc, shard, seen.setdefault(shard, 0)))
+        seen[shard] += 1
+    got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in interleaved_shards(df).collect()]
+    assert ordered(got) == ordered(wanted)
+
+
 def test_shards_do_not_depend_on_the_order_of_rows(spark):
     rows = [(k, str(k), "en", f"s{k % 5}", 0) for k in range(300)]
     shuffled = random.Random(1).sample(rows, 300)
@@ -128,6 +159,78 @@ def test_damage_is_an_error():
         read_record(b"WARC/1.1\r\nWARC-Record-ID: <r>\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n")
     with pytest.raises(ValueError, match="begin with a record"):
         read_record(b"HTTP/1.1 200 OK\r\n\r\n")
+    with pytest.raises(ValueError, match="no type"):
+        read_record(b"WARC/1.0\r\nWARC-Record-ID: <r>\r\n\r\n")
+    with pytest.raises(ValueError, match="ends within the record"):
+        list(read_members(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n"))
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+
+
+def foreign(kind, block, fields=(), version="WARC/1.0", name="<urn:uuid:1>", end="\r\n"):
+    """A record as other writers make it."""
+    lines = [version, f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def base32(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def foreign_records():
+    page, chunked = HTTP + b"Content-Length: 5\r\n\r\nhello", HTTP + b"Transfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    http = ["Content-Type: application/http; msgtype=response", "WARC-Target-URI: http://a/"]
+    return [
+        foreign("warcinfo", b"software: other\r\n", ["Content-Type: application/warc-fields"]),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", ["Content-Type: application/http; msgtype=request"]),
+        foreign("response", page, [*http, f"WARC-Payload-Digest: {base32(b'hello')}", f"WARC-Block-Digest: {base32(page)}"]),
+        foreign("response", page, [*http, f"WARC-Payload-Digest: sha256:{hashlib.sha256(b'hello').hexdigest()}"], "WARC/1.1"),
+        foreign("response", page, ["content-type:application/http;msgtype=response", "WARC-Target-URI:  http://b/\r\n  folded"]),
+        foreign("response", chunked, http),
+        foreign("response", HTTP + b"\r\nno length", [*http, "WARC-Payload-Digest: blake9:unknown"]),
+        foreign("response", HTTP + b"Content-Length: 99\r\n\r\ncut", [*http, "WARC-Truncated: length"]),
+        foreign("revisit", HTTP + b"Content-Length: 5\r\n\r\n", [*http, f"WARC-Payload-Digest: {base32(b'hello')}", "WARC-Refers-To: <urn:uuid:0>"]),
+        foreign("resource", b"\x00\xff plain", ["Content-Type: image/png"]),
+        foreign("metadata", b"a: b", ["Content-Type: application/warc-fields"]),
+        foreign("conversion", b"text", ["Content-Type: text/plain"], "WARC/1.1"),
+    ]
+
+
+@pytest.mark.parametrize("form", ["members", "plain", "mixed"])
+def test_archives_of_other_writers(spark, tmp_path, form):
+    records = foreign_records()
+    packed = [record if form == "plain" or (form == "mixed" and k % 2) else gzip.compress(record) for k, record in enumerate(records)]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(packed))
+    found = read_warc(spark, str(tmp_path), types=None).collect()
+    kinds = ["warcinfo", "request", *["response"] * 6, "revisit", "resource", "metadata", "conversion"]
+    assert [row.record_type for row in found] == kinds
+    assert {row.page_id for row in found} == {None} and {row.record_id for row in found} == {"<urn:uuid:1>"}
+    assert [row.payload and bytes(row.payload) for row in found[2:10]] == [
+        b"hello", b"hello", b"hello", b"5\r\nhello\r\n0\r\n\r\n", b"no length", b"cut", None, b"\x00\xff plain",
+    ]
+    sha1 = hashlib.sha1(b"hello").hexdigest()
+    assert [row.payload_digest for row in found[2:9]] == [sha1, hashlib.sha256(b"hello").hexdigest(), None, None, "unknown", None, sha1]
+    assert found[8].payload_bytes == 5 and found[4].url == "http://b/ folded"
+    pages = read_warc(spark, str(tmp_path)).collect()
+    assert len(pages) == 7
+
+
+def test_wrong_digests_of_other_writers():
+    page = HTTP + b"Content-Length: 5\r\n\r\nhello"
+    for digest in (base32(b"other"), "sha1:not base32!", "md5:00"):
+        with pytest.raises(ValueError, match="differs"):
+            read_record(foreign("response", page, ["Content-Type: application/http", f"WARC-Payload-Digest: {digest}"]))
+        with pytest.raises(ValueError, match="differs"):
+            read_record(foreign("response", page, [f"WARC-Block-Digest: {digest}"]))
+
+
+def test_any_bytes_pass_the_text_sink(spark):
+    """Members are written as text; Spark must neither check nor change the bytes."""
+    folder, every = new_folder(spark, "bytes"), bytes(range(1, 256)) * 40
+    rows = spark.createDataFrame([(every,), (bytes(reversed(every)),)], "b binary").coalesce(1)
+    rows.select(F.col("b").cast("string").alias("value")).write.option("lineSep", "\0").text(folder)
+    assert bytes(spark.read.format("binaryFile").load(folder).first().content) == every + b"\0" + bytes(reversed(every)) + b"\0"
 
 
 def test_no_pages(spark):
