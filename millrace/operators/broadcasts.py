@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+#: Bits of the filter of a large lookup per row of it, and the most there are, as a power of two: 64 bits make a row.
+FILTER_BITS, MOST_FILTER_BITS = 16, 24
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], *, rows: int, limit: int | None = None) -> DataFrame:
@@ -20,7 +22,13 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], *, rows: in
 
 
 def semi_join(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], *, rows: int, limit: int | None = None) -> DataFrame:
-    """The rows of ``df`` with a match in ``lookup``; ``on`` maps columns, and null matches null."""
+    """The rows of ``df`` with a match in ``lookup``; ``on`` maps columns, and null matches null.
+
+    A lookup above the limit is joined by shuffle. Rows that cannot match are left out before it, by a Bloom filter of
+    the lookup's keys, which is broadcast and whose size is bounded; the more keys, the more of the others it lets pass.
+    """
+    if rows > (BROADCAST_ROWS if limit is None else limit):
+        df = may_match(df, lookup, on, rows)
     return _match(df, lookup, on, rows, limit, "left_semi")
 
 
@@ -33,3 +41,14 @@ def _match(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], rows: int, l
     small = rows <= (BROADCAST_ROWS if limit is None else limit)
     same = [F.col(column).eqNullSafe(F.col(other)) for column, other in on.items()]
     return df.join(F.broadcast(lookup) if small else lookup, same, how)
+
+
+def may_match(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], rows: int) -> DataFrame:
+    """The rows of ``df`` whose key is in a Bloom filter of ``lookup``: all with a match, and some without one."""
+    bits = 1 << min(MOST_FILTER_BITS, max(10, (FILTER_BITS * rows).bit_length()))
+    held = lookup.select(F.pmod(F.xxhash64(*on.values()), F.lit(bits)).alias("__at"))
+    words = held.groupBy((F.col("__at") - F.pmod("__at", F.lit(64))).alias("__word"))
+    bitmap = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(__at % 64 as int))")).alias("__bits"))
+    placed = df.withColumn("__at", F.pmod(F.xxhash64(*on), F.lit(bits)))
+    found = placed.join(F.broadcast(bitmap), F.col("__at") - F.pmod("__at", F.lit(64)) == F.col("__word"))
+    return found.where("(shiftright(__bits, cast(__at % 64 as int)) & 1) = 1").select(*[df[name] for name in df.columns])

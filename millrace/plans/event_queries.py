@@ -19,8 +19,9 @@ from millrace.plans.pipeline import EventPipeline
 from millrace.plans.registry import query
 from millrace.plans.window_queries import METRICS, ORDERS, PASSED, cores, orders, plain, sessions, sliding, tumbling
 from millrace.sources.event_log import read_log, replay, stream_log, write_log
-from millrace.sources.tables import EXACT_ORDER, events, fed_in_turns, order_log, redelivered, spoiled_log
-from millrace.streaming.sinks import parquet_sink, run
+from millrace.sources.tables import EXACT_ORDER, events, events_stream, fed_in_turns, order_events, order_log, redelivered, spoiled_log
+from millrace.streaming.duplicates import UniqueEvents
+from millrace.streaming.sinks import parquet_sink, run, table_sink
 from millrace.streaming.triggers import AVAILABLE_NOW
 from millrace.streaming.upsert import UpsertTable
 
@@ -155,6 +156,44 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(spark.read.parquet(f"{work}/out").drop("copy"))
 
 
+@query("dedup_beyond_watermark", f"select order_id, event_time, arrival kafka_timestamp from ({ORDERS})")
+def dedup_beyond_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every thirtieth event comes once more a week later, long after any watermark has passed it."""
+    folder, source = new_folder(spark, "unique"), orders(spark, sf_dir)
+    zoned = source.withColumns({name: F.col(name).cast("timestamp") for name in ("event_time", "kafka_timestamp")})
+    again = zoned.where(F.col("order_id").cast("long") % 30 == 0).withColumn("kafka_timestamp", F.col("kafka_timestamp") + F.expr("interval 7 days"))
+    both = zoned.unionByName(again)
+    turns = both.withColumn("week", F.date_format(F.date_trunc("week", "kafka_timestamp"), "yyyy-MM-dd"))
+    unique = UniqueEvents(folder, ["order_id"])
+    for turn in fed_in_turns(turns, "week"):
+        stream = spark.readStream.schema(turns.schema).parquet(turn).drop("week")
+        run(table_sink(stream, unique.apply_batch, "append", f"{folder}-checkpoint"), AVAILABLE_NOW).awaitTermination()
+    return plain(unique.read(spark).select("order_id", "event_time", "kafka_timestamp"))
+
+
+@query("sink_console", "select count(*)::bigint rows_in, count(distinct date_trunc('day', ts))::bigint windows_out from events")
+def sink_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily count on the console, by the configured pipeline: what its progress says of rows read and windows kept."""
+    folder = new_folder(spark, "console")
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "events"},
+            "processing": {"window_duration": "1 day", "group_by": [], "aggregations": {"event_count": "count(*)"}},
+            "output": {"type": "console"},
+            "checkpoint": f"{folder}/checkpoint",
+            "trigger": AVAILABLE_NOW,
+            "shuffle_partitions": cores(spark),
+        }
+    )
+    stream = order_events(events_stream(spark, sf_dir))
+    pipeline.start(spark, stream.withColumn("event_time", F.col("event_time").cast("timestamp")))
+    pipeline.await_all()
+    progress = pipeline.queries[-1].recentProgress
+    rows = sum(batch["numInputRows"] for batch in progress)
+    updated = sum(state["numRowsUpdated"] for batch in progress for state in batch["stateOperators"])
+    return spark.createDataFrame([(rows, updated)], "rows_in bigint, windows_out bigint")
+
+
 @query(
     "sink_parquet_roundtrip",
     f"""select *, strftime(window_start, '%Y-%m-%d') event_date from ({tumbling(METRICS, "15 minutes")})

@@ -160,10 +160,10 @@ class EventPipeline:
         May run beside the stream and as often as wanted: what the stream writes later has seen more of the log, and
         the next correction more than that. ``schema`` is that of the events where they come decoded.
         """
-        config, router = self.config, self.router()
+        config = self.config
         if not self._corrected() or config.window.kind == "none":
             raise ValueError("corrections are for windows behind the late router, in a table")
-        schema = schema or config.schema
+        schema, router = schema or config.schema, self.router()
         on_time, late = router.read_on_time(spark, schema), router.read_late(spark, schema)
         parts = {"time_column": config.time_column, "group_by": config.group_by, "aggregations": self._measures(on_time)}
         if config.window.kind == "session":

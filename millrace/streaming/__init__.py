@@ -1,3 +1,4 @@
+from millrace.streaming.duplicates import UniqueEvents
 from millrace.streaming.router import LATE, ON_TIME, QUARANTINE, LateRouter, write_late_events
 from millrace.streaming.sessions import apply_session_changes, session_changes
 from millrace.streaming.sinks import console_sink, kafka_options, kafka_sink, output_mode, parquet_sink, run, table_sink
@@ -12,6 +13,7 @@ __all__ = [
     "LateRouter",
     "ON_TIME",
     "QUARANTINE",
+    "UniqueEvents",
     "UpsertTable",
     "apply_session_changes",
     "console_sink",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -98,7 +99,9 @@ def generation_of(files: SharedFiles, root: str, writer: str) -> int:
     raise OSError(f"no number for a new writer below {root}")
 
 
-def publish_batch(batch: DataFrame, folder: str, batch_id: int, *, root: str, writer: str | None = None) -> None:
+def publish_batch(
+    batch: DataFrame, folder: str, batch_id: int, *, root: str, writer: str | None = None, partition_by: Sequence[str] = ()
+) -> None:
     """Write one micro-batch as ``folder/generation=g/batch_id=n``; a batch its writer repeats changes nothing.
 
     ``root`` holds the writers' numbers. Readers never see a half-written batch where renaming a folder is atomic,
@@ -110,6 +113,6 @@ def publish_batch(batch: DataFrame, folder: str, batch_id: int, *, root: str, wr
     staged = f"{folder}/_staging/{generation}-{batch_id}"
     if files.exists(target):
         return
-    batch.write.mode("overwrite").parquet(staged)
+    batch.write.mode("overwrite").partitionBy(*partition_by).parquet(staged)
     if not files.publish(staged, target):
         raise OSError(f"{target} was published by another attempt at the same time")
