@@ -231,7 +231,7 @@ def cdc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "cdc_as_of",
     f"""select o_orderkey, row_key, at_ms, bal_after::double acctbal
-        from (select o_orderkey, o_custkey row_key, 1704067200000 + (o_orderkey * 7919) % 12000000 at_ms from orders) l
+        from (select o_orderkey, o_custkey::int row_key, 1704067200000 + (o_orderkey * 7919) % 12000000 at_ms from orders) l
         asof left join (select * from ({CHANGES}) where op <> 't' and source_table = 'customers') c
           on l.row_key = c.id and l.at_ms >= c.ts_ms""",
 )

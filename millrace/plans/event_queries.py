@@ -127,6 +127,28 @@ def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(decode_events(part, schema_from_config(EXACT_ORDER), lineage=True))
 
 
+@query(
+    "pipeline_replay",
+    f"""select window_start, window_start + interval '1 hour' window_end, event_type, {METRICS}
+        from (select *, time_bucket(interval '1 hour', event_time) window_start from ({ORDERS})
+              where arrival >= timestamp '2024-01-08' and arrival < timestamp '2024-01-22') group by window_start, event_type""",
+)
+def pipeline_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configured pipeline over two weeks of its file log, as a table."""
+    folder = new_folder(spark, "replay")
+    write_log(log_table(spark, sf_dir), folder)
+    pipeline = EventPipeline(
+        {
+            "source": {"type": "files", "path": folder},
+            "schema": EXACT_ORDER,
+            "required": ["order_id", "event_time"],
+            "processing": {"window_duration": "1 hour"},
+        }
+    )
+    since, until = (F.to_timestamp(F.lit(day)) for day in ("2024-01-08", "2024-01-22"))
+    return plain(pipeline.on_table(pipeline.log_table(spark, topics=["orders"], since=since, until=until)))
+
+
 @query("dedup_events", f"select {PASSED}, arrival kafka_timestamp from ({ORDERS})")
 def dedup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = redelivered(events(spark, sf_dir)).drop("copy")

@@ -17,7 +17,7 @@ from millrace.operators.dedup import deduplicate
 from millrace.operators.reprocess import reprocess, reprocess_sessions
 from millrace.operators.windows import aggregate_windows, with_event_watermark
 from millrace.plans.config import PipelineConfig
-from millrace.sources.event_log import read_log, stream_log
+from millrace.sources.event_log import read_log, replay, stream_log
 from millrace.sources.kafka import kafka_replay, kafka_stream
 from millrace.streaming.router import LateRouter, ReaderPace
 from millrace.streaming.sinks import console_sink, kafka_sink, output_mode, parquet_sink, table_sink
@@ -95,15 +95,19 @@ class EventPipeline:
         raise ValueError("events are handed to on_table or start, not read")
 
     def log_table(self, spark: SparkSession, **bounds: Any) -> DataFrame:
-        """The log as a table, to run the pipeline over its history; of topics the part between ``start`` and ``end``."""
+        """The log as a table, to run the pipeline over its history or a part of it.
+
+        Bounds of topics are ``start`` and ``end`` (``by_timestamp``), of file logs those of ``replay``: ``topics,
+        offsets, since, until``.
+        """
         source = self.config.source
         if source.kind == "kafka":
             names = ("bootstrap_servers", "topics", "min_partitions")
             kafka = {name: source.kafka[name] for name in names if name in source.kafka}
             return kafka_replay(spark, kafka.pop("bootstrap_servers"), kafka.pop("topics"), **kafka, **bounds)
-        if source.kind != "files" or bounds:
-            raise ValueError("only a file log, whole, and topics are read as tables; see replay for parts of a log")
-        return read_log(spark, source.path, format=source.format)
+        if source.kind != "files":
+            raise ValueError("only file logs and topics are read as tables")
+        return replay(read_log(spark, source.path, format=source.format), **bounds)
 
     def decode(self, log: DataFrame) -> DataFrame:
         """Good events of a log; events of an ``events`` source come decoded and checked already.

@@ -204,6 +204,9 @@ def test_one_pipeline_for_a_log_as_table_and_as_stream(spark, folder):
     }
     pipeline = EventPipeline(config)
     whole = pipeline.on_table(pipeline.log_table(spark))
+    every = pipeline.log_table(spark).count()
+    parts = [pipeline.log_table(spark, **bounds).count() for bounds in ({"offsets": {0: (0, 1 << 60)}}, {"topics": ["none"]}, {"offsets": {1: (0, 9)}})]
+    assert parts == [every, 0, 0] and every
     queries = pipeline.start(spark)
     pipeline.await_all()
     assert len(queries) == 1 and queries[0].exception() is None
