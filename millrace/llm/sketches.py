@@ -1,8 +1,8 @@
 """Operator 9: document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs, long ones cut after words whose hash is a multiple of ``CUT_AFTER`` and after ``PIECE_WORDS``
-words, are hashed to 64-bit digests. Such places depend on the words beside them alone, so an edit changes the pieces it
-touches and no others. The sketch is a small
+A text's paragraphs, cut after ``PIECE_WORDS`` words, are hashed to 64-bit digests. Paragraphs of more than ``LONG_LINE``
+characters are cut after words whose hash is a multiple of ``CUT_AFTER`` as well: such places depend on the words beside
+them alone, so an edit changes the pieces it touches and not all that come after it. The sketch is a small
 table of cells, three parts of ``CELLS`` each; every digest is in one cell of each part, and a cell holds how many
 digests it has, the exclusive or of them and of their check values. Sketches of two versions are subtracted cell by
 cell: what both have goes away. Cells with one digest left, told by the check value, give it; it is taken from its
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from millrace.llm.batches import shuffle_partitions
 from millrace.llm.registry import query
 
-PIECE_WORDS = 60
+PIECE_WORDS = 40
+LONG_LINE = 1000
 CUT_AFTER = 20
 CELLS = 8
 LARGER = (8, 32, 128)
@@ -32,7 +33,9 @@ LEAST_ID = -(1 << 63)
 
 def digests(text: str) -> str:
     """The distinct digests of a text's pieces, as an expression."""
-    cut = f"array_join(transform(split({text}, ' '), word -> if(xxhash64(word) % {CUT_AFTER} = 0, concat(word, '\\n'), word)), ' ')"
+    marked = f"array_join(transform(split(line, ' '), word -> if(xxhash64(word) % {CUT_AFTER} = 0, concat(word, '\\n'), word)), ' ')"
+    lines = f"array_join(transform(split({text}, '\\n'), line -> if(length(line) > {LONG_LINE}, {marked}, line)), '\\n')"
+    cut = f"if(length({text}) > {LONG_LINE}, {lines}, {text})"
     pieces = f"regexp_extract_all({cut}, '[^ \\\\n]+(?: +[^ \\\\n]+){{0,{PIECE_WORDS - 1}}}', 0)"
     return f"array_distinct(transform({pieces}, piece -> xxhash64(piece)))"
 
