@@ -44,11 +44,16 @@ def _match(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], rows: int, l
 
 
 def may_match(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], rows: int) -> DataFrame:
-    """The rows of ``df`` whose key is in a Bloom filter of ``lookup``: all with a match, and some without one."""
+    """The rows of ``df`` whose key is in a Bloom filter of ``lookup``: all with a match, and some without one.
+
+    All columns of ``df`` are read, so it should have no more than are needed.
+    """
     bits = 1 << min(MOST_FILTER_BITS, max(10, (FILTER_BITS * rows).bit_length()))
     held = lookup.select(F.pmod(F.xxhash64(*on.values()), F.lit(bits)).alias("__at"))
     words = held.groupBy((F.col("__at") - F.pmod("__at", F.lit(64))).alias("__word"))
     bitmap = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(__at % 64 as int))")).alias("__bits"))
     placed = df.withColumn("__at", F.pmod(F.xxhash64(*on), F.lit(bits)))
     found = placed.join(F.broadcast(bitmap), F.col("__at") - F.pmod("__at", F.lit(64)) == F.col("__word"))
-    return found.where("(shiftright(__bits, cast(__at % 64 as int)) & 1) = 1").select(*[df[name] for name in df.columns])
+    passed = found.where("(shiftright(__bits, cast(__at % 64 as int)) & 1) = 1")
+    # A semi-join that follows would be moved below this join, and the filter be of no use. It isn't moved below a generator.
+    return passed.select(F.inline(F.array(F.struct(*[F.col(f"`{name}`") for name in df.columns]))))

@@ -45,7 +45,7 @@ def reprocess(
         raise ValueError(f"not for windows of kind {window.kind!r}")
     panes = stored(_touched_panes(late, window, time_column, group_by))
     days = [row["day"] for row in panes.select(F.floor(_micros(panes, "__pane_start") / _DAY).alias("day")).distinct().collect()]
-    near = _in_days(on_time, time_column, [(day, day + 1) for day in days])
+    near = _in_days(on_time, time_column, [(day, day + 1) for day in days]).select(*_used(time_column, group_by, aggregations))
     width = as_text(math.gcd(window.slide_micros, to_micros(window.duration)))
     placed = near.withColumn("__pane", F.window(time_column, width)["start"])
     keys = {"__pane": "__pane_start", **{key: f"__touched_{key}" for key in group_by}}
@@ -141,7 +141,8 @@ def reprocess_sessions(
     while True:
         ranges = _joined([(day - reach, day + 1 + reach) for day in days])
         count = pending.count()
-        near = semi_join(_in_days(on_time, time_column, ranges), pending, wanted, rows=count, limit=broadcast_rows)
+        nearby = _in_days(on_time, time_column, ranges).select(*_used(time_column, keys, aggregations))
+        near = semi_join(nearby, pending, wanted, rows=count, limit=broadcast_rows)
         mine = semi_join(touched, pending, wanted, rows=count, limit=broadcast_rows)
         sessions = stored(_touched(near, mine, window, time_column, keys, aggregations))
         # A session this near to an edge might go on in the part of the log not read.
@@ -176,6 +177,12 @@ def touched_windows(
     return result.where(_TOUCHED).drop(_TOUCHED)
 
 
+def _used(time_column: str, group_by: Sequence[str], aggregations: Mapping[str, str] | None) -> list[str]:
+    """The columns that the windows are made of."""
+    measured = [m.column for m in parse_measures(aggregations) if m.column != "*"]
+    return list(dict.fromkeys([time_column, *group_by, *measured]))
+
+
 def _touched(
     near: DataFrame,
     late: DataFrame,
@@ -184,8 +191,7 @@ def _touched(
     group_by: Sequence[str],
     aggregations: Mapping[str, str] | None,
 ) -> DataFrame:
-    measured = [m.column for m in parse_measures(aggregations) if m.column != "*"]
-    used = list(dict.fromkeys([time_column, *group_by, *measured]))
+    used = _used(time_column, group_by, aggregations)
     marked = near.select(*used, F.lit(False).alias("__late")).unionByName(late.select(*used, F.lit(True).alias("__late")))
     return touched_windows(
         marked,
