@@ -2,10 +2,12 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 from cases import DOCUMENTS, awkward_rows, documents, ordered, prose
+from pyspark.sql import functions as F
 
 from millrace.llm.quality import (
     CLASSES,
@@ -163,6 +165,23 @@ def test_toxicity_on_documents_not_learned_from(spark):
     assert ordered([row.doc_id] for row in clean.collect()) == ordered([k] for k, row in scored.items() if not row.predicted)
 
 
+def test_toxicity_is_learned_from_all_labels(spark):
+    """Words that only the last half of many toxic documents have, by the hash that once chose some, and very long texts."""
+    ids = [k for k in range(12_500) if zlib.crc32(str(k).encode()) % 5]
+    toxic = spark.createDataFrame([(k,) for k in ids[:6000]], "doc_id bigint").orderBy(F.xxhash64(F.lit(5), "doc_id")).collect()
+    word = {row.doc_id: "early" if place < 3000 else "later" for place, row in enumerate(toxic)}
+    rows = [(k, f"{prose(k, 6)} {word.get(k, 'plain')} {prose(k + 1, 3)}", "en", "s", 0) for k in ids]
+    rows += [(k, "long " * 41_000 + "endless", "en", "s", 0) for k in range(20_001, 20_120) if zlib.crc32(str(k).encode()) % 5]
+    asked = [(30_001, "one early day", "en", "s", 0), (30_002, "one later day", "en", "s", 0), (30_003, "one plain day", "en", "s", 0), (30_004, "an endless day", "en", "s", 0)]
+    labels = [(row[0], 1, int(row[0] in word or row[0] > 20_000)) for row in rows]
+    held = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = learn(documents(spark, rows).repartition(7), held, Training(epochs=3))
+    assert model.learned_from == len(rows)
+    assert [row.predicted for row in score_documents(documents(spark, asked), model).orderBy("doc_id").collect()] == [1, 1, 0, 1]
+    again = learn(documents(spark, rows).repartition(3), held.repartition(5), Training(epochs=3))
+    assert again.thresholds == model.thresholds and (again.embedding == model.embedding).all() and again.intercept == model.intercept
+
+
 def test_scores_depend_on_the_text_alone(spark):
     model = train([np.array([1, 2, 3]), np.array([4, 5, 6])] * 30, np.array([0, 1] * 30), ["plain"] * 60, Training())
     one = spark.createDataFrame([(1, "some text", "en", "a", 9)], DOCUMENTS)
