@@ -17,6 +17,9 @@ from millrace.streaming.files import SharedFiles
 STATUSES = ("PENDING", "CONFIRMED", "SHIPPED", "DELIVERED")
 PAYMENT_METHODS = ("CREDIT_CARD", "PAYPAL", "APPLE_PAY", "DEBIT_CARD")
 
+#: Rows of a table that one task makes messages of.
+ROWS_OF_A_TASK = 20_000
+
 EVENTS_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -156,7 +159,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("updated"),
         F.lit(True).alias("truncated"),
     )
-    rows = customers.unionByName(suppliers)
+    rows = dealt(customers.unionByName(suppliers), "table", "id")
     was = F.struct("id", "name", "acctbal")
     gained = F.struct("id", "name", (F.col("acctbal") + 100).alias("acctbal"))
     now = F.when(F.col("updated"), gained).otherwise(was)
@@ -202,6 +205,12 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` of tables, dealt over tasks by their keys: a file is read by few tasks, and messages are many times as large."""
+    tasks = -(-rows.count() // ROWS_OF_A_TASK)
+    return rows.repartition(tasks, *keys) if tasks > 1 else rows
+
+
 def spoiled_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``change_log`` where the messages of some rows are spoiled, by the last digit of the key (``offset div 4 % 10``).
 

@@ -5,6 +5,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import LOG_SCHEMA
@@ -19,6 +20,7 @@ from millrace.operators import (
     row_image,
     split_changes,
 )
+from millrace.sources.tables import change_log, spoiled_change_log
 from millrace.streaming import ChangeTable
 
 ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
@@ -123,3 +125,16 @@ def test_counts_per_window_and_delay(changes):
     ] == 2
     delay = {r["source_table"]: tuple(r)[1:] for r in capture_delay(changes).collect()}
     assert delay == {"customers": (9, 40, 40, 40.0), "suppliers": (1, 40, 40, 40.0)}
+
+
+def test_large_change_logs_are_made_by_many_tasks(spark, folder):
+    """Tables of one row group each: the log has as many parts as its rows need, and the same messages."""
+    customers = spark.range(0, 90_000, 1, 1).selectExpr(
+        "id c_custkey", "concat('c', id) c_name", "cast(id % 7 - 1 as double) c_acctbal", "if(id % 2 = 0, 'MACHINERY', 'BUILDING') c_mktsegment"
+    )
+    customers.write.parquet(f"{folder}/customer.parquet")
+    spark.range(0, 10, 1, 1).selectExpr("id s_suppkey", "concat('s', id) s_name", "1.0D s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    for log in (change_log(spark, folder), spoiled_change_log(spark, folder)):
+        counts = [row["n"] for row in log.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+        assert len(counts) == 5 and max(counts) < 40_000
+        assert sum(counts) == 90_000 + 45_000 + len(range(0, 90_000, 7)) + 30
