@@ -27,7 +27,7 @@ from millrace.plans.window_queries import (
     sliding,
     tumbling,
 )
-from millrace.sources.tables import events_stream, fed_in_turns, order_events
+from millrace.sources.tables import EVENTS_OF_A_TASK, dealt, events, events_stream, fed_in_turns, order_events
 from millrace.streaming.router import LATE, ON_TIME, QUARANTINE, LateRouter
 from millrace.streaming.sessions import apply_session_changes, session_changes
 from millrace.streaming.sinks import run, table_sink
@@ -179,7 +179,7 @@ def late_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order events with zoned times and the week they arrived in, to be fed as one micro-batch per week."""
-    source = orders(spark, sf_dir)
+    source = order_events(dealt(events(spark, sf_dir), "event_id", each=EVENTS_OF_A_TASK))
     zoned = source.withColumns({name: F.col(name).cast("timestamp") for name in ("event_time", "kafka_timestamp")})
     return zoned.withColumn("week", F.date_format(F.date_trunc("week", "kafka_timestamp"), "yyyy-MM-dd"))
 

@@ -19,6 +19,8 @@ PAYMENT_METHODS = ("CREDIT_CARD", "PAYPAL", "APPLE_PAY", "DEBIT_CARD")
 
 #: Rows of a table that one task makes messages of.
 ROWS_OF_A_TASK = 20_000
+#: Rows of the events table that one task feeds to a stream, as a file for each turn.
+EVENTS_OF_A_TASK = 200_000
 
 EVENTS_SCHEMA = T.StructType(
     [
@@ -205,9 +207,9 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, each: int = ROWS_OF_A_TASK) -> DataFrame:
     """``rows`` of tables, dealt over tasks by their keys: a file is read by few tasks, and messages are many times as large."""
-    tasks = -(-rows.count() // ROWS_OF_A_TASK)
+    tasks = -(-rows.count() // each)
     return rows.repartition(tasks, *keys) if tasks > 1 else rows
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from math import isnan
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -39,7 +39,8 @@ def session_changes(
     the changes give at any time what ``aggregate_windows`` gives for a table of all events that have come, open
     sessions included. No watermark is needed and none is used.
 
-    State per key is one row per session within the horizon. Rows without event time are in no session. Needs the RocksDB
+    State per key is one value, an array of its sessions within the horizon: it is read and written at once, however many
+    sessions there are. Rows without event time are in no session. Needs the RocksDB
     state store, which the pipeline's settings name.
     """
     if not group_by:
@@ -58,7 +59,7 @@ def session_changes(
         *[F.col(column).alias(f"value_{k}") for k, column in enumerate(used)],
     )
     processor = _Sessions(keys, measures, T.StructType([*bounds, *parts]), to_micros(gap), to_micros(horizon))
-    changed = timed.groupBy(*keys).transformWithStateInPandas(processor, output, "Update", "None")
+    changed = timed.groupBy(*keys).transformWithState(processor, output, "Update", "None")
     width = F.when(F.col(CHANGE) == TOO_LATE, 0).otherwise(to_micros(gap))
     return changed.select(
         F.timestamp_micros("first").alias("window_start"),
@@ -90,62 +91,57 @@ def apply_session_changes(table: UpsertTable) -> Callable[[DataFrame, int], None
 
 
 class _Sessions(StatefulProcessor):
-    """The sessions of one key, as rows of first and last event time and partial results."""
+    """The sessions of one key, as tuples of first and last event time and partial results."""
 
     def __init__(self, keys: list[str], measures: list[Measure], schema: T.StructType, gap: int, horizon: int) -> None:
         self.keys, self.measures, self.schema, self.gap, self.horizon = keys, measures, schema, gap, horizon
         self.merges = [how for m in measures for how in m.merges().values()]
+        self.result = Row(*keys, *schema.names, CHANGE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("sessions", self.schema)
+        held = T.StructType([T.StructField("sessions", T.ArrayType(self.schema, False))])
+        self.held = handle.getValueState("sessions", held)
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        before = [tuple(row) for row in self.held.get()] if self.held.exists() else []
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.held.get()
+        before = [] if held is None else [tuple(row) for row in held[0]]
         oldest = max((row[1] for row in before), default=None)
         oldest = None if oldest is None else oldest - self.horizon
         new: list[tuple] = []
         late: list[tuple] = []
-        for frame in rows:
-            for row in self._entries(frame):
-                (late if oldest is not None and row[0] < oldest else new).append(row)
+        for row in map(self._entry, rows):
+            (late if oldest is not None and row[0] < oldest else new).append(row)
         after = self._chained(sorted([*before, *new], key=lambda row: row[:2]))
-        changes = [(*row, IS) for row in set(after) - set(before)]
+        newest = max((row[1] for row in after), default=0)
+        self.held.update(([row for row in after if row[1] >= newest - self.horizon],))
         bounds = {row[:2] for row in after}
-        changes += [(*row, WAS) for row in before if row[:2] not in bounds]
-        changes += [(*row, TOO_LATE) for row in late]
-        newest = max(row[1] for row in after) if after else 0
-        self.held.put([row for row in after if row[1] >= newest - self.horizon])
-        if changes:
-            columns = [*[name for name in self.schema.names], CHANGE]
-            result = pd.DataFrame(changes, columns=columns, dtype=object)
-            for place, name in enumerate(self.keys):
-                result.insert(place, name, pd.Series([key[place]] * len(result), dtype=object))
-            yield result
-
-    def _entries(self, frame: pd.DataFrame) -> Iterator[tuple]:
-        """An entry per event, in the shape of a session of that event alone."""
-        used = [m.column for m in self.measures if m.column != "*"]
-        columns = {(k, name): frame[f"value_{k}"].tolist() for k, name in enumerate(used)}
-        values: list[list] = []
+        for row in set(after) - set(before):
+            yield self.result(*key, *row, IS)
+        for row in before:
+            if row[:2] not in bounds:
+                yield self.result(*key, *row, WAS)
+        for row in late:
+            yield self.result(*key, *row, TOO_LATE)
+
+    def _entry(self, row: Row) -> tuple:
+        """An event in the shape of a session of that event alone."""
+        values: list = []
         place = 0
         for m in self.measures:
             if m.column == "*":
-                values.append([1] * len(frame))
+                values.append(1)
                 continue
-            own = [None if pd.isna(value) else value for value in columns[place, m.column]]
+            own = row[f"value_{place}"]
             place += 1
             kind = self.schema[next(iter(m.merges()))].dataType
-            if isinstance(kind, T.DoubleType):
-                own = [None if value is None else float(value) for value in own]
-            elif isinstance(kind, T.LongType):
-                own = [None if value is None else int(value) for value in own]
-            there = [int(value is not None) for value in own]
+            if own is not None and isinstance(kind, T.DoubleType):
+                own = None if isnan(own) else float(own)
+            there = int(own is not None)
             values += [there] if m.function == "count" else [own, there] if m.function == "avg" else [own]
-        times = frame["event_micros"].tolist()
-        return zip(times, times, *values, strict=True)
+        return (row["event_micros"], row["event_micros"], *values)
 
     def _chained(self, rows: list[tuple]) -> list[tuple]:
         """Sessions from rows by first event: those at most a gap apart become one."""

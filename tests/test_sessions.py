@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from streams import EVENT, Feed, at, rows
 
 from millrace.operators import EventWindow, aggregate_windows
 from millrace.plans.config import PipelineConfig
+from millrace.plans.late_queries import weekly
 from millrace.plans.pipeline import query_settings, session_settings
 from millrace.streaming import AVAILABLE_NOW, UpsertTable, apply_session_changes, run, session_changes, table_sink
 
@@ -78,3 +80,24 @@ def test_events_beyond_the_horizon_are_told(spark, folder):
 def test_sessions_of_streams_need_keys(spark, folder):
     with pytest.raises(ValueError, match="group_by"):
         session_changes(Feed(spark, folder, EVENT).stream(), "5 minutes", group_by=[])
+
+
+def test_state_of_a_key_is_one_value(spark, folder):
+    """However many sessions a key has, they are read and written at once; and one file of events feeds many tasks."""
+    feed, table = Feed(spark, f"{folder}/in"), UpsertTable(f"{folder}/t", KEYS)
+    for batch in ([f"{minute}:00 a" for minute in range(0, 600, 10)], ["05:00 a", "300:30 a"]):
+        feed.add(rows(batch))
+        take(spark, folder, feed, table)
+        same_as_table(spark, feed, table)
+    held = spark.read.format("statestore").option("stateVarName", "sessions").load(f"{folder}/c").collect()
+    assert [len(row["value"]["sessions"]) for row in held] == [59]
+
+
+def test_large_tables_feed_streams_by_many_tasks(spark, folder):
+    made = spark.range(0, 500_000, 1, 1).selectExpr(
+        "id event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) ts", "id % 9 user_id", "'view' event_type", "1.0D value", """'{"k":1}' props"""
+    )
+    made.write.parquet(f"{folder}/events.parquet")
+    fed = weekly(spark, folder)
+    counts = [row["n"] for row in fed.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+    assert len(counts) == 3 and sum(counts) == 500_000 and max(counts) < 250_000
