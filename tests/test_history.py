@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import EventWindow, as_of, chain_breaks, history, pane_sketches, rank_error, window_quantiles
+from millrace.operators import EventWindow, as_of, chain_breaks, decode_changes, history, pane_sketches, rank_error, split_changes, window_quantiles
 from millrace.operators.history import with_previous
+from millrace.sources.tables import ACCOUNT_ROW, change_log
 
 CHANGE = "source_table string, op string, ts_ms bigint, offset bigint, before struct<id: bigint, v: string>, after struct<id: bigint, v: string>"
 
@@ -126,3 +127,16 @@ def test_quantiles_of_few_values_are_exact(spark):
         window_quantiles(df, EventWindow("sliding", "1 hour", "7 minutes"), "2 minutes")
     with pytest.raises(ValueError, match="kind"):
         window_quantiles(df, EventWindow("session"), "2 minutes")
+
+
+def test_history_of_a_large_table_is_made_by_many_tasks(spark, folder):
+    """One row group of customers: no task decodes more than its share of the changes, and no interval is lost."""
+    spark.range(0, 50_000, 1, 1).selectExpr(
+        "id c_custkey", "concat('c', id) c_name", "cast(id % 5 - 1 as double) c_acctbal", "if(id % 2 = 0, 'MACHINERY', 'BUILDING') c_mktsegment"
+    ).write.parquet(f"{folder}/customer.parquet")
+    spark.range(0, 10, 1, 1).selectExpr("id s_suppkey", "concat('s', id) s_name", "1.0D s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    known = split_changes(decode_changes(change_log(spark, folder), ACCOUNT_ROW))[0]
+    counts = [row["n"] for row in known.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+    assert sum(counts) == 50_000 + 25_000 + 10_000 + 20 and max(counts) < sum(counts) / 2
+    found = history(known)
+    assert found.count() == 50_000 + 25_000 + 20 and found.where("valid_to is null").count() == 40_000 + 10
