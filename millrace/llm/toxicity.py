@@ -147,8 +147,7 @@ def train(texts: Sequence[np.ndarray], labels: np.ndarray, groups: Sequence[str]
     kept_back = np.arange(len(rows)) % KEPT_BACK == KEPT_BACK - 1
     weight = class_weights(len(labels) - labels.sum(), labels.sum())[labels]
     learned_from = np.flatnonzero(~kept_back)
-    for epoch in range(settings.epochs):
-        descend(model, [rows[i] for i in learned_from], labels[learned_from], weight[learned_from], settings, epoch)
+    descend(model, [rows[i] for i in learned_from], labels[learned_from], weight[learned_from], settings, range(settings.epochs))
     scores = np.concatenate([model.logits(rows[i : i + 256]) for i in range(0, len(rows), 256)])
     if not enough(kept_back.sum() - labels[kept_back].sum(), labels[kept_back].sum()):
         kept_back[:] = True  # too few to calibrate on
@@ -196,22 +195,25 @@ def class_weights(clean: int, toxic: int) -> np.ndarray:
 
 
 def descend(
-    model: Classifier, rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, settings: Training, *seeds: int
+    model: Classifier, rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, settings: Training, epochs: Sequence[int], shard: int = 0
 ) -> None:
-    """Once over all texts, given as their words' rows, in an order drawn by ``seeds``; ``model`` is changed."""
-    order = np.random.default_rng([settings.seed, *seeds]).permutation(len(rows))
+    """Once an epoch over all texts, given as their words' rows, in an order drawn for it; ``model`` is changed."""
     parameters = [model.embedding, *model.kernels, *model.biases, model.weights]
     means, squares = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-    for step, begin in enumerate(range(0, len(order), settings.batch), 1):
-        chosen = order[begin : begin + settings.batch]
-        gradients, intercept = gradient(model, [rows[i] for i in chosen], labels[chosen], weight[chosen])
-        model.intercept -= settings.rate * intercept
-        for p, g, mean, square in zip(parameters, gradients, means, squares, strict=True):
-            g += settings.decay * p
-            mean += 0.1 * (g - mean)
-            square += 0.001 * (g * g - square)
-            p -= settings.rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        model.embedding[0] = 0
+    step = 0
+    for epoch in epochs:
+        order = np.random.default_rng([settings.seed, epoch, shard]).permutation(len(rows))
+        for begin in range(0, len(order), settings.batch):
+            chosen = order[begin : begin + settings.batch]
+            gradients, intercept = gradient(model, [rows[i] for i in chosen], labels[chosen], weight[chosen])
+            step += 1
+            model.intercept -= settings.rate * intercept
+            for p, g, mean, square in zip(parameters, gradients, means, squares, strict=True):
+                g += settings.decay * p
+                mean += 0.1 * (g - mean)
+                square += 0.001 * (g * g - square)
+                p -= settings.rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+            model.embedding[0] = 0
 
 
 def enough(clean: int, toxic: int) -> bool:
@@ -335,10 +337,12 @@ def _fitted(encoded: DataFrame, settings: Training) -> Classifier:
     model.learned_from = sum(every)
     shards = math.ceil(max((clean[0] + toxic[0]) / settings.shard_texts, (clean[1] + toxic[1]) / settings.shard_words))
     weight = class_weights(clean[0], toxic[0])
-    dealt = stored(_dealt(encoded.where("not kept_back"), model, max(1, shards)))
+    dealt = stored(_dealt(encoded.where("not kept_back"), model, shards))
     try:
-        for epoch in range(settings.epochs):
-            model = _after_round(dealt, model, weight, clean[0] + toxic[0], settings, epoch)
+        every_epoch = range(settings.epochs)
+        # One shard has no other to wait for.
+        for epochs in [every_epoch] if shards == 1 else [[epoch] for epoch in every_epoch]:
+            model = _after_round(dealt, model, weight, clean[0] + toxic[0], settings, epochs)
     finally:
         remove_stored(dealt)
     # With too few kept back, all of them calibrate.
@@ -383,8 +387,8 @@ def _dealt(encoded: DataFrame, model: Classifier, shards: int) -> DataFrame:
     return rows.groupBy(shard).agg(F.sort_array(F.collect_list(F.struct("place", "toxic", "words"))).alias("texts"))
 
 
-def _after_round(dealt: DataFrame, model: Classifier, weight: np.ndarray, texts: int, settings: Training, epoch: int) -> Classifier:
-    """``model`` after each shard has descended from it once: the mean of all, by their texts.
+def _after_round(dealt: DataFrame, model: Classifier, weight: np.ndarray, texts: int, settings: Training, epochs: Sequence[int]) -> Classifier:
+    """``model`` after each shard has descended from it: the mean of all, by their texts.
 
     Changes are whole numbers when they are added up, so the sum does not depend on the order.
     """
@@ -402,7 +406,7 @@ def _after_round(dealt: DataFrame, model: Classifier, weight: np.ndarray, texts:
                 labels = own.field("toxic").to_numpy().astype(np.int64)
                 rows = [np.frombuffer(text.as_buffer(), "<u4").astype(np.int64) for text in own.field("words")]
                 mine = copy.deepcopy(held.value)
-                descend(mine, rows, labels, weight[labels], settings, epoch, batch.column(0)[k].as_py())
+                descend(mine, rows, labels, weight[labels], settings, epochs, batch.column(0)[k].as_py())
                 change += np.rint((flat(mine, settings.size) - former) * (1 << FRACTION_BITS)).astype(np.int64) * len(rows)
         changed = np.flatnonzero(change.any(axis=1))
         for begin in range(0, len(changed), 4096):
