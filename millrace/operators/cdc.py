@@ -27,8 +27,7 @@ def decode_changes(log: DataFrame, row: T.StructType = CUSTOMER_ROW) -> DataFram
     """
     envelope = F.from_json(F.col("value").cast("string"), change_envelope(row))
     return (
-        log.where(F.col("value").isNotNull())
-        .select(parsed_once(envelope["payload"]), "partition", "offset")
+        log.select(parsed_once(envelope["payload"], F.col("value").isNotNull()), "partition", "offset")
         .select(*_change_columns(), "partition", "offset")
     )
 
@@ -55,8 +54,7 @@ def decode_changes_checked(log: DataFrame, row: T.StructType = CUSTOMER_ROW, key
     envelope = T.StructType([*change_envelope(row).fields, T.StructField("__corrupt", T.StringType())])
     parsed = F.from_json(F.col("value").cast("string"), envelope, {"columnNameOfCorruptRecord": "__corrupt"})
     decoded = (
-        log.where(F.col("value").isNotNull())
-        .select(parsed_once(parsed), F.col("value").cast("string").alias("raw_value"), "topic", "partition", "offset")
+        log.select(parsed_once(parsed, F.col("value").isNotNull()), F.col("value").cast("string").alias("raw_value"), "topic", "partition", "offset")
         .select(*_change_columns("payload."), "topic", "partition", "offset", "__corrupt", "raw_value")
     )
     reason = F.when(F.col("__corrupt").isNotNull(), MALFORMED).otherwise(_fault(key))

@@ -33,13 +33,15 @@ def _lineage(log: DataFrame) -> list[Column]:
     return [_text("key").alias("key") if name == "key" else F.col(name) for name in LINEAGE if name in log.columns]
 
 
-def parsed_once(structs: Column) -> Column:
-    """The fields of a struct column as columns, computed once per row.
+def parsed_once(structs: Column, where: Column | None = None) -> Column:
+    """The fields of a struct column as columns, computed once per row; rows for which ``where`` does not hold are left out.
 
     A filter on fields selected from a parsed struct would be moved below the parsing and repeat it, once per
-    field it names. Filters are not moved below a generator.
+    field it names. Filters are not moved below a generator. A filter on the text would in the same way be moved
+    below what makes the text and make it twice, so it is part of the generator.
     """
-    return F.inline(F.array(structs))
+    parsed = F.array(structs)
+    return F.inline(parsed if where is None else F.when(where, parsed))
 
 
 def decode_events(log: DataFrame, schema: T.StructType = ORDER_EVENT, *, lineage: bool = False) -> DataFrame:

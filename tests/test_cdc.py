@@ -15,6 +15,7 @@ from millrace.operators import (
     change_counts_per_window,
     changed_fields,
     decode_changes,
+    decode_changes_checked,
     latest_state,
     operation_counts,
     row_image,
@@ -138,3 +139,14 @@ def test_large_change_logs_are_made_by_many_tasks(spark, folder):
         counts = [row["n"] for row in log.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
         assert len(counts) == 5 and max(counts) < 40_000
         assert sum(counts) == 90_000 + 45_000 + len(range(0, 90_000, 7)) + 30
+
+
+def test_messages_are_made_once_before_they_are_decoded(spark, folder):
+    """Leaving out messages without a value is no filter that moves below what makes the messages."""
+    spark.range(10).selectExpr("id c_custkey", "'c' c_name", "1.0D c_acctbal", "'BUILDING' c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    spark.range(2).selectExpr("id s_suppkey", "'s' s_name", "1.0D s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    log = change_log(spark, folder)
+    for decoded in (decode_changes(log, ROW), decode_changes_checked(log, ROW)):
+        plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("StructsToJsonEvaluator") == 1
+        assert decoded.count() == 26
